@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +24,16 @@ _PID, _MONO, _OFF, _N = "__vf_pid", "__vf_mono", "__vf_off", "__vf_n"
 def dense_index(df: DataFrame, order_by: Sequence[str], name: str = "id", start: int = 0,
                 as_int: bool = True) -> DataFrame:
     ensure_checkpoint_dir(df.sparkSession)
+    # The range sort samples its input before sorting it: keep the input so the
+    # source is read once (spills to disk if large; recomputable if lost).
+    source = df.persist(StorageLevel.MEMORY_AND_DISK)
     placed = (
-        df.orderBy(*order_by)
+        source.orderBy(*order_by)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MONO, F.monotonically_increasing_id())
         .checkpoint(eager=True)
     )
+    source.unpersist()
     offsets = (
         placed.groupBy(_PID)
         .agg(F.count(F.lit(1)).alias(_N))
