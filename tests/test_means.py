@@ -92,13 +92,19 @@ def test_scale_by_matrix_rows_sums_to_matrix_mean(spark):
         assert math.isclose(per[k], means[k])
 
 
-def test_vector_sum_nd_both_paths(spark):
+def test_vector_sum_nd(spark):
     rows = [(i % 3, [float(i), float(2 * i), 1.0]) for i in range(30)]
     df = spark.createDataFrame(rows, "k int, v array<float>")
-    a = sorted(tuple(r) for r in ops.vector_sum_nd(df, "v", ["k"], width=3).collect())
-    b = sorted(tuple(r) for r in ops.vector_sum_nd(df, "v", ["k"]).collect())
-    assert a == b and len(a) == 9
-    assert (0, 2, 10.0) in a
+    a = sorted(tuple(r) for r in ops.vector_sum_nd(df, "v", ["k"]).collect())
+    assert len(a) == 9
+    assert (0, 0, float(sum(range(0, 30, 3)))) in a and (0, 2, 10.0) in a
+
+
+def test_scale_by_matrix_rows_shuffle_path(spark):
+    df = _unequal(spark)
+    a = sorted(ops.scale_by_matrix_rows(df).collect())
+    b = sorted(ops.scale_by_matrix_rows(df, max_broadcast_rows=1).collect())  # bound exceeded: shuffle join
+    assert a == b
 
 
 def test_phase_counts(spark):

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecflow.session import ensure_checkpoint_dir
+
 DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
+# Rows of a narrow key/count table that fit well under the broadcast limit.
+DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -26,3 +30,18 @@ def checked_broadcast(small: DataFrame, limit: int = DEFAULT_BROADCAST_LIMIT) ->
     if size is not None and size <= limit:
         return F.broadcast(small)
     return small
+
+
+def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """Materialise ``small`` once (reliable checkpoint in the shared folder) and
+    count it exactly; return ``(broadcast(small), True)`` only if it has at
+    most ``max_rows`` rows, else ``(small, False)`` for a shuffle join.
+
+    Unlike Catalyst's estimate (an aggregate is estimated at its input's size),
+    this bound is proven, and the side is computed only once either way.
+    """
+    ensure_checkpoint_dir(small.sparkSession)
+    pinned = small.checkpoint(eager=True)
+    if pinned.count() <= max_rows:
+        return F.broadcast(pinned), True
+    return pinned, False

@@ -171,7 +171,7 @@ def q_vector_shift_nd(spark, sf_dir):
 
 def q_vector_sum_nd(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
-    s = ops.vector_sum_nd(emb, "embedding", ["label"], width=WIDE)
+    s = ops.vector_sum_nd(emb, "embedding", ["label"])
     return s.select("label", "pos", _r("sum_v"))
 
 
