@@ -63,3 +63,26 @@ def test_load_vectors_choice(spark, files):
     assert load_vectors(spark, src=files).count() == 1002
     with pytest.raises(ValueError):
         load_vectors(spark)
+
+
+def test_filter_pushdown_prunes_files_and_rows(spark, files):
+    df = read_vec3(spark, files)
+    only_b = df.filter("block_id = 1")
+    assert only_b.rdd.getNumPartitions() == 1
+    assert sorted((r.x, r.y, r.z) for r in only_b.collect()) == [(0.0, 2.0, 4.0), (1.0, 3.0, 5.0)]
+    rng = df.filter("block_id in (0) and row_id >= 10 and row_id < 20")
+    assert sorted(r.row_id for r in rng.collect()) == list(range(10, 20))
+    # a filter the source does not handle stays with Spark
+    assert df.filter("x > 997").count() == 2
+    assert df.filter("block_id > 0 or row_id = 5").count() == 3
+
+
+def test_writer_splits_large_partitions(spark, tmp_dir):
+    src = spark.range(0, 1000, 1, 1).selectExpr("cast(id as double) x", "0.0 y", "1.0 z")
+    out = os.path.join(tmp_dir, "split")
+    src.write.format("vec3").option("maxRowsPerFile", 300).mode("overwrite").save(out)
+    bins = sorted(n for n in os.listdir(out) if n.endswith(".bin"))
+    assert len(bins) == 4
+    sizes = sorted(os.path.getsize(os.path.join(out, n)) // 24 for n in bins)
+    assert sizes == [100, 300, 300, 300]
+    assert sorted(r.x for r in read_vec3(spark, out).collect()) == [float(i) for i in range(1000)]

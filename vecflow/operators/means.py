@@ -60,16 +60,22 @@ def matrix_means_hybrid(df: DataFrame, cols: Sequence[str] = XYZ) -> DataFrame:
         F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in cols])
 
 
-def block_means(df: DataFrame, method: str = "functional", cols: Sequence[str] = XYZ) -> DataFrame:
-    """A3: block average = unweighted mean of its matrix means."""
+def block_means(df: DataFrame, method: str = "functional", cols: Sequence[str] = XYZ,
+                with_rows: bool = False) -> DataFrame:
+    """A3: block average = unweighted mean of its matrix means.
+
+    ``with_rows`` adds ``n_rows`` (vectors per block), a by-product of the
+    matrix counts that lets callers count rows without another pass.
+    """
     if method == "functional":
         mm = matrix_means(df, cols)
     elif method == "hybrid":
         mm = matrix_means_hybrid(df, cols)
     else:
         raise ValueError(f"method must be one of {METHODS}, got {method!r}")
+    extra = [F.sum("n").alias("n_rows")] if with_rows else []
     return mm.groupBy("block_id").agg(
-        F.count(F.lit(1)).alias("n_matrices"), *[F.avg(c).alias(c) for c in cols])
+        F.count(F.lit(1)).alias("n_matrices"), *extra, *[F.avg(c).alias(c) for c in cols])
 
 
 def choose_method(functional: bool = False, hybrid: bool = False, imperative: bool = False) -> str:

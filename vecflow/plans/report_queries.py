@@ -120,19 +120,19 @@ def series_for(results: DataFrame, kind: str, key: int, nparts: int = 4) -> Data
 def scaling_points(results: DataFrame, kinds=("weak", "strong"), metric: str | None = None,
                    nparts: int = 4) -> DataFrame:
     """Plot feed ``(kind, series, nodes, metric, t)`` for weak and strong scaling,
-    long format; ``metric`` picks one of map_time, shift_time, avg_time."""
-    parts = []
-    for kind in kinds:
-        s = weak_series(results, nparts) if kind == "weak" else strong_series(results, nparts)
-        key = "blocks" if kind == "weak" else "gb"
-        long = s.select(F.lit(kind).alias("kind"), F.col(key).cast("bigint").alias("series"), "nodes",
-                        *METRICS).unpivot(["kind", "series", "nodes"], list(METRICS), "metric", "t")
-        parts.append(long)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    long format; ``metric`` picks one of map_time, shift_time, avg_time.
+
+    One scan: each run is expanded to its (kind, series key) pairs with
+    ``inline`` and its metrics are unpivoted, instead of one query (or one
+    union branch) per kind and metric.
+    """
+    metrics = list(METRICS)
     if metric is not None:
         if metric not in METRICS:
             raise ValueError(f"metric must be one of {METRICS}")
-        out = out.filter(F.col("metric") == metric)
-    return out
+        metrics = [metric]
+    keys = {"weak": F.col("blocks").cast("bigint"), "strong": data_gb()}
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), keys[k].alias("series")) for k in kinds])
+    runs = results.filter(F.col("nparts") == nparts)
+    wide = runs.select(F.inline(pairs), "nodes", *[ns_to_s(m).alias(m) for m in metrics])
+    return wide.unpivot(["kind", "series", "nodes"], metrics, "metric", "t")

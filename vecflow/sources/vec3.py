@@ -8,12 +8,14 @@ is the file's position in the sorted listing.
 Reading: the driver lists files and sizes only (like Spark's file index) and
 cuts every file into row ranges; each task seeks to the three plane slices
 of its range and yields Arrow batches. Planes missing from a user-given
-schema are not read at all.
-
-Writing (``df.write.format("vec3")``): every task writes one planar file of
-its partition into ``_temporary``; the driver's commit moves the files of
-successful attempts into place, so retried or lost tasks leave no partial
-output.
+schema are not read at all. Comparisons on ``block_id`` prune whole files and
+comparisons on ``row_id`` narrow the row ranges (exact, so Spark does not
+re-check them); other filters stay with Spark.
+
+Writing (``df.write.format("vec3")``): every task writes planar files of its
+partition (at most ``maxRowsPerFile`` rows each, which bounds task memory)
+into ``_temporary``; the driver's commit moves the files of successful
+attempts into place, so retried or lost tasks leave no partial output.
 """
 
 from __future__ import annotations
@@ -27,7 +29,14 @@ from pyspark.sql.datasource import (
     DataSource,
     DataSourceArrowWriter,
     DataSourceReader,
+    EqualTo,
+    GreaterThan,
+    GreaterThanOrEqual,
+    In,
     InputPartition,
+    IsNotNull,
+    LessThan,
+    LessThanOrEqual,
     WriterCommitMessage,
 )
 from pyspark.sql.types import StructType
@@ -40,6 +49,15 @@ FILE_SCHEMA = "path string, block_id bigint, row_id bigint, x double, y double,
 PLANES = ("x", "y", "z")
 DEFAULT_ROWS_PER_SPLIT = 4 * 1024 * 1024  # ~96 MiB of vectors per task
 DEFAULT_BATCH_ROWS = 64 * 1024
+DEFAULT_MAX_ROWS_PER_FILE = 8 * 1024 * 1024  # ~192 MiB buffered per writing task
+PUSHDOWN_CONF = "spark.sql.python.filterPushdown.enabled"
+_COMPARE = {
+    EqualTo: lambda a, v: a == v,
+    GreaterThan: lambda a, v: a > v,
+    GreaterThanOrEqual: lambda a, v: a >= v,
+    LessThan: lambda a, v: a < v,
+    LessThanOrEqual: lambda a, v: a <= v,
+}
 
 
 def _visible(name: str) -> bool:
@@ -87,13 +105,49 @@ class Vec3Reader(DataSourceReader):
         unknown = set(self.fields) - {"path", "block_id", "row_id", *PLANES}
         if unknown:
             raise ValueError(f"vec3: unknown columns {sorted(unknown)}")
+        self.block_tests: list = []  # (compare, value) or ("in", set)
+        self.row_lo, self.row_hi = 0, None  # row_id range [lo, hi)
+
+    def pushFilters(self, filters):
+        for f in filters:
+            attr = getattr(f, "attribute", None)
+            name = attr[0] if attr and len(attr) == 1 else None
+            if isinstance(f, IsNotNull) and name in ("block_id", "row_id"):
+                continue  # never null
+            if name == "block_id" and type(f) in _COMPARE and isinstance(f.value, int):
+                self.block_tests.append((_COMPARE[type(f)], f.value))
+                continue
+            if name == "block_id" and isinstance(f, In) and all(isinstance(v, int) for v in f.value):
+                self.block_tests.append(("in", frozenset(f.value)))
+                continue
+            if name == "row_id" and type(f) in _COMPARE and isinstance(f.value, int):
+                self._narrow_rows(type(f), f.value)
+                continue
+            yield f
+
+    def _narrow_rows(self, kind, v: int) -> None:
+        lo, hi = {EqualTo: (v, v + 1), GreaterThan: (v + 1, None), GreaterThanOrEqual: (v, None),
+                  LessThan: (0, v), LessThanOrEqual: (0, v + 1)}[kind]
+        self.row_lo = max(self.row_lo, lo)
+        if hi is not None:
+            self.row_hi = hi if self.row_hi is None else min(self.row_hi, hi)
+
+    def _block_wanted(self, block_id: int) -> bool:
+        for test, v in self.block_tests:
+            if (block_id not in v) if test == "in" else not test(block_id, v):
+                return False
+        return True
 
     def partitions(self):
         splits = []
         for block_id, (path, size) in enumerate(list_vector_files(self.path)):
+            if not self._block_wanted(block_id):
+                continue
             rows = (size // DOUBLE_BYTES) // 3
-            for start in range(0, rows, self.rows_per_split):
-                splits.append(Vec3Split(path, block_id, rows, start, min(rows, start + self.rows_per_split)))
+            lo = max(0, self.row_lo)
+            hi = rows if self.row_hi is None else min(rows, self.row_hi)
+            for start in range(lo, hi, self.rows_per_split):
+                splits.append(Vec3Split(path, block_id, rows, start, min(hi, start + self.rows_per_split)))
         return splits or [Vec3Split("", -1, 0, 0, 0)]
 
     def read(self, split: Vec3Split):
@@ -121,9 +175,7 @@ class Vec3Reader(DataSourceReader):
 
 @dataclass
 class Vec3Written(WriterCommitMessage):
-    temp_path: str
-    final_path: str
-    rows: int
+    files: list  # (temp_path, final_path, rows)
 
 
 class Vec3Writer(DataSourceArrowWriter):
@@ -132,30 +184,42 @@ class Vec3Writer(DataSourceArrowWriter):
         if not self.path:
             raise ValueError("vec3: a path is required")
         self.overwrite = overwrite
+        self.max_rows = int(options.get("maxRowsPerFile", DEFAULT_MAX_ROWS_PER_FILE))
         self.job = uuid.uuid4().hex[:8]
 
+    def _flush(self, filesystem, root, planes, rows, pid, attempt, seq):
+        name = f"part-{pid:05d}-{seq:04d}-{self.job}.bin"
+        temp = f"{root}/_temporary/{self.job}-{pid:05d}-{seq:04d}-{attempt}.bin"
+        with filesystem.open_output_stream(temp) as out:
+            for p in PLANES:
+                for chunk in planes[p]:
+                    out.write(chunk.tobytes())
+        return temp, f"{root}/{name}", rows
+
     def write(self, batches):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
         pid = ctx.partitionId() if ctx else 0
         attempt = ctx.attemptNumber() if ctx else 0
-        planes = {p: [] for p in PLANES}
-        rows = 0
-        for batch in batches:
-            for p in PLANES:
-                planes[p].append(batch.column(p).to_numpy(zero_copy_only=False).astype(">f8", copy=False))
-            rows += batch.num_rows
         filesystem, root = _filesystem(self.path)
-        name = f"part-{pid:05d}-{self.job}.bin"
-        temp = f"{root}/_temporary/{self.job}-{pid:05d}-{attempt}.bin"
         filesystem.create_dir(f"{root}/_temporary", recursive=True)
-        with filesystem.open_output_stream(temp) as out:
-            if rows:
+        files, planes, rows = [], {p: [] for p in PLANES}, 0
+        for batch in batches:
+            offset = 0
+            while offset < batch.num_rows:
+                take = min(batch.num_rows - offset, self.max_rows - rows)
+                part = batch.slice(offset, take)
                 for p in PLANES:
-                    for chunk in planes[p]:
-                        out.write(chunk.tobytes())
-        return Vec3Written(temp, f"{root}/{name}", rows)
+                    planes[p].append(part.column(p).to_numpy(zero_copy_only=False).astype(">f8", copy=False))
+                rows += take
+                offset += take
+                if rows == self.max_rows:
+                    files.append(self._flush(filesystem, root, planes, rows, pid, attempt, len(files)))
+                    planes, rows = {p: [] for p in PLANES}, 0
+        if rows:
+            files.append(self._flush(filesystem, root, planes, rows, pid, attempt, len(files)))
+        return Vec3Written(files)
 
     def commit(self, messages):
         filesystem, root = _filesystem(self.path)
@@ -164,12 +228,8 @@ class Vec3Writer(DataSourceArrowWriter):
                 if path.endswith(".bin"):
                     filesystem.delete_file(_filesystem(path)[1])
         for m in messages:
-            if m is None:
-                continue
-            if m.rows:
-                filesystem.move(m.temp_path, m.final_path)
-            else:
-                filesystem.delete_file(m.temp_path)
+            for temp, final, _rows in (m.files if m is not None else []):
+                filesystem.move(temp, final)
         filesystem.delete_dir(f"{root}/_temporary")
 
     def abort(self, messages):
@@ -199,5 +259,10 @@ class Vec3DataSource(DataSource):
 
 
 def register(spark) -> None:
-    """Make ``spark.read.format("vec3")`` and ``df.write.format("vec3")`` available."""
+    """Make ``spark.read.format("vec3")`` and ``df.write.format("vec3")`` available.
+
+    Also enables filter pushdown for Python data sources (off by default in
+    Spark 4.1; a source that implements it must have it on).
+    """
+    spark.conf.set(PUSHDOWN_CONF, "true")
     spark.dataSource.register(Vec3DataSource)
