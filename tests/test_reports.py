@@ -96,3 +96,24 @@ def test_dense_index_many_partitions(spark):
     rows = sorted((r.i, r.k) for r in out.collect())
     assert [i for i, _ in rows] == list(range(10000))
     assert [k for _, k in rows] == sorted(k for _, k in rows)
+
+
+def test_native_writer_roundtrip_and_layout(spark, tmp_dir):
+    from vecflow.sinks.reports import write_reports
+
+    runs = spark.createDataFrame(
+        [("e", i % 2, 4, 12, 4, 8, 64 * (i + 1), 3e9, 4.5e9, 1e9, f"j{i}", "", "out", 1 + i % 2) for i in range(6)],
+        "experiment_id string, generate int, nodes int, cores int, nparts int, blocks int, block_size int, "
+        "map_time double, shift_time double, avg_time double, job_id string, src string, dst string, v int")
+    cols = [c for c in RESULT_COLUMNS if c != "id"]
+    for fmt in ("json", "xml"):
+        d = os.path.join(tmp_dir, "native-" + fmt)
+        write_reports(runs, d, fmt, version="v")
+        assert sorted(n for n in os.listdir(d) if n.startswith("job_id=")) == [f"job_id=j{i}" for i in range(6)]
+        back = read_reports(spark, d, fmt)
+        assert sorted(back.select(*cols).collect()) == sorted(runs.select(*cols).collect())
+    one = os.path.join(tmp_dir, "native-json", "job_id=j1")
+    text = open(os.path.join(one, [n for n in os.listdir(one) if n.endswith(".json")][0])).read()
+    doc = json.loads(text)
+    assert doc["performance"]["shift"] == "4.5" and doc["args"]["block_size_unit"] == "MB"
+    assert doc["args"]["generate"] == "true" and "results" not in doc

@@ -1,4 +1,4 @@
-"""Size-checked broadcast: broadcast a side only when its size is proven small."""
+"""Row-bounded broadcast: broadcast a side only when its size is proven small."""
 
 from __future__ import annotations
 
@@ -7,31 +7,11 @@ from pyspark.sql import functions as F
 
 from vecflow.session import ensure_checkpoint_dir
 
-DEFAULT_BROADCAST_LIMIT = 64 * 1024 * 1024
-# Rows of a narrow key/count table that fit well under the broadcast limit.
+# Rows of a narrow key/count table (tens of bytes each) that stay well under
+# a 64 MiB broadcast.
 DEFAULT_BROADCAST_ROWS = 1_000_000
 
 
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of ``df`` (None when it cannot tell)."""
-    try:
-        jdf = df._jdf
-        stats = jdf.queryExecution().optimizedPlan().stats()
-        return int(str(stats.sizeInBytes()))
-    except Exception:  # pragma: no cover - Spark Connect / private API changes
-        return None
-
-
-def checked_broadcast(small: DataFrame, limit: int = DEFAULT_BROADCAST_LIMIT) -> DataFrame:
-    """``broadcast(small)`` if its estimated size is under ``limit``; else unchanged,
-    which leaves a shuffle join (AQE may still turn it into a broadcast at run time
-    from real sizes)."""
-    size = estimated_bytes(small)
-    if size is not None and size <= limit:
-        return F.broadcast(small)
-    return small
-
-
 def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Materialise ``small`` once (reliable checkpoint in the shared folder) and
     count it exactly; return ``(broadcast(small), True)`` only if it has at

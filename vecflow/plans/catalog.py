@@ -25,6 +25,7 @@ from vecflow.plans.pipeline import run_pipeline
 from vecflow.session import ensure_checkpoint_dir, scratch_dir, ship_package
 from vecflow.sinks.export import export_text, read_text
 from vecflow.sinks.report_files import write_report_files
+from vecflow.sinks.reports import write_reports
 from vecflow.sinks.table import results_table
 from vecflow.sinks.vectors import write_vec3, write_vectors
 from vecflow.sources.generate import generate_vectors
@@ -236,6 +237,21 @@ def q_report_xml(spark, sf_dir):
     return _written_reports(spark, sf_dir, "xml")
 
 
+def _native_reports(spark, sf_dir, fmt):
+    path = scratch_dir(spark, f"reports-native-{fmt}")
+    r = runs(spark, sf_dir).withColumn("__version", F.when(F.col("id") % 2 == 0, 1).otherwise(2))
+    write_reports(r, path, fmt, version="__version")
+    return read_reports(spark, path, fmt)
+
+
+def q_report_json_native(spark, sf_dir):
+    return _native_reports(spark, sf_dir, "json")
+
+
+def q_report_xml_native(spark, sf_dir):
+    return _native_reports(spark, sf_dir, "xml")
+
+
 def q_results_table(spark, sf_dir):
     return results_table(_written_reports(spark, sf_dir, "json"))
 
@@ -318,6 +334,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline_report": q_pipeline_report,
     "reports_flatten": q_reports_flatten,
     "report_xml": q_report_xml,
+    "report_json_native": q_report_json_native,
+    "report_xml_native": q_report_xml_native,
     "results_table": q_results_table,
     "report_stream": q_report_stream,
     "overall_sorted": q_overall_sorted,
@@ -379,6 +397,8 @@ ORACLE_SQL: dict[str, str] = {
     "vectors_sink_roundtrip": SQL_SHIFT,
     "reports_flatten": SQL_FLAT,
     "report_xml": SQL_FLAT,
+    "report_json_native": SQL_FLAT,
+    "report_xml_native": SQL_FLAT,
     "results_table": SQL_RESULTS,
     "report_stream": SQL_RESULTS,
     "overall_sorted": _with(SQL_RUNS) + f"SELECT {SQL_SIZED} FROM runs ORDER BY nodes, cores, blocks, block_size",

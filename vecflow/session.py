@@ -89,3 +89,34 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
     sc.addPyFile(zip_path)
     _SHIPPED.add(key)
+
+
+LISTING_PARALLELISM = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+class bounded_listing:
+    """Scope in which Spark lists many paths with at most one task per core.
+
+    Past 32 paths Spark lists files with a Spark job of up to 10,000 tasks --
+    one per path for thousands of small report folders. File listing happens
+    when the DataFrame is created, so the setting only needs to hold around
+    ``load()``.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.previous = None
+
+    def __enter__(self):
+        self.previous = self.spark.conf.get(LISTING_PARALLELISM, None)
+        cores = self.spark.sparkContext.defaultParallelism
+        current = int(self.previous) if self.previous else 10000
+        self.spark.conf.set(LISTING_PARALLELISM, str(max(1, min(current, cores))))
+        return self
+
+    def __exit__(self, *exc):
+        if self.previous is None:
+            self.spark.conf.unset(LISTING_PARALLELISM)
+        else:
+            self.spark.conf.set(LISTING_PARALLELISM, self.previous)
+        return False

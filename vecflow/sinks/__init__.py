@@ -2,8 +2,9 @@
 
 from vecflow.sinks.export import export_text
 from vecflow.sinks.report_files import write_report_files
+from vecflow.sinks.reports import report_records, write_reports
 from vecflow.sinks.table import results_table, write_results_table
 from vecflow.sinks.vectors import write_vec3, write_vectors
 
-__all__ = ["write_vectors", "write_vec3", "write_report_files", "results_table", "write_results_table",
-           "export_text"]
+__all__ = ["write_vectors", "write_vec3", "write_report_files", "write_reports", "report_records",
+           "results_table", "write_results_table", "export_text"]

@@ -19,6 +19,9 @@ from vecflow.functions.random import uniform_double
 MEGA_MULTIPLIER = 1024 * 1024  # vectors per matrix by default
 DEFAULT_LOW, DEFAULT_HIGH = -1000.0, 1000.0  # coordinate range
 DEFAULT_CORES = 12
+# Upper bound on generated rows per task (about 400 MiB of vectors as rows),
+# so a large generation gets more partitions than the reference's formula.
+DEFAULT_MAX_ROWS_PER_PARTITION = 16 * 1024 * 1024
 
 COORDS = ("x", "y", "z")
 
@@ -41,16 +44,19 @@ def generate_vectors(
     seed: int = 0,
     inclusive: bool = True,
     num_partitions: int | None = None,
+    max_rows_per_partition: int = DEFAULT_MAX_ROWS_PER_PARTITION,
 ) -> DataFrame:
     """``block_id BIGINT, matrix_id INT, row_id BIGINT, x, y, z DOUBLE``.
 
     ``block_size`` matrices per block, ``multiplier`` vectors per matrix.
+    Partitions: ``num_partitions`` if given, else ``nodes * cores * nparts``,
+    raised so that no task generates more than ``max_rows_per_partition`` rows.
     """
     if blocks < 0 or block_size <= 0 or multiplier <= 0:
         raise ValueError("blocks >= 0, block_size > 0 and multiplier > 0 are required")
     per_block = block_size * multiplier
     total = block_count(blocks, inclusive) * per_block
-    parts = num_partitions or max(1, nodes * cores * nparts)
+    parts = num_partitions or max(1, nodes * cores * nparts, -(-total // max_rows_per_partition))
     idx = F.col("id")
     return spark.range(0, total, 1, parts).select(
         F.expr(f"id div {per_block}").alias("block_id"),

@@ -12,8 +12,16 @@ VECTOR_COLUMNS = ("block_id", "matrix_id", "row_id", "x", "y", "z")
 
 
 def read_vec3(spark: SparkSession, src: str, **options) -> DataFrame:
-    """Planar binary files as vectors; one file is one block of one matrix."""
+    """Planar binary files as vectors; one file is one block of one matrix.
+
+    Unless ``rowsPerSplit`` is given, a task reads as many vectors as fit in
+    ``spark.sql.files.maxPartitionBytes`` (24 bytes per vector), like Spark's
+    own file sources.
+    """
     vec3.register(spark)
+    if "rowsPerSplit" not in options:
+        max_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
+        options["rowsPerSplit"] = max(1, _bytes(max_bytes) // (3 * vec3.DOUBLE_BYTES))
     reader = spark.read.format(vec3.FORMAT)
     for k, v in options.items():
         reader = reader.option(k, v)
@@ -21,6 +29,14 @@ def read_vec3(spark: SparkSession, src: str, **options) -> DataFrame:
     return df.select("path", "block_id", F.lit(0).alias("matrix_id"), "row_id", "x", "y", "z")
 
 
+def _bytes(text: str) -> int:
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30, "t": 1 << 40}
+    t = str(text).strip().lower().rstrip("b") or "0"
+    if t[-1] in units:
+        return int(float(t[:-1]) * units[t[-1]])
+    return int(t)
+
+
 def load_vectors(spark: SparkSession, generate: bool = False, src: str | None = None,
                  **generate_options) -> DataFrame:
     if generate:

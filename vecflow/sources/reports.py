@@ -6,7 +6,8 @@ camelCase keys and times in ns, and v2 with ``experiment``/``args``/
 superset schema -- no inference pass -- and normalised to nanoseconds.
 Missing keys default to 0 (or '' for the experiment id), ``generate`` is 1
 only for the text 'true', and text that is not a number fails the job.
-``job_id`` is the file name without its extension.
+``job_id`` is the file name without its extension, or the ``job_id=`` folder
+of a partitioned layout (see ``sinks.reports``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecflow.functions.report_columns import NS_PER_S, strict_cast
+from vecflow.session import bounded_listing
 
 _S = T.StringType()
 
@@ -41,6 +43,7 @@ JSON_SCHEMA = T.StructType([
     T.StructField("experiment", _struct("id")),
     T.StructField("args", _struct(*V2_ARG_KEYS)),
     T.StructField("performance", _struct(*V2_TIME_KEYS)),
+    T.StructField("job_id", _S),  # partition column of folders written by sinks.reports
 ])
 
 _PROPS = T.StructType([T.StructField("property", T.ArrayType(_struct("_key", "_value", "_unit")))])
@@ -51,6 +54,7 @@ XML_SCHEMA = T.StructType([
     T.StructField("report", _TIMES),       # v1
     T.StructField("args", _PROPS),         # v2
     T.StructField("performance", _TIMES),  # v2
+    T.StructField("job_id", _S),           # partition column, as above
 ])
 
 RESULTS_SCHEMA = T.StructType([
@@ -73,9 +77,11 @@ RESULT_COLUMNS = [f.name for f in RESULTS_SCHEMA.fields]
 FLAT_COLUMNS = RESULT_COLUMNS[1:]  # everything but the id
 
 
-def _job_id(ext: str) -> Column:
-    # os.path.splitext of the base name: drop the final extension only.
-    return F.regexp_replace(F.col("_metadata.file_name"), rf"\.{ext}$", "")
+def _job_id(ext: str, file_name: Column | None = None) -> Column:
+    """The ``job_id=`` folder of a partitioned layout, else the file name without
+    its final extension (os.path.splitext of the base name)."""
+    name = file_name if file_name is not None else F.col("_metadata.file_name")
+    return F.coalesce(F.col("job_id"), F.regexp_replace(name, rf"\.{ext}$", ""))
 
 
 def _int(c: Column, key: str) -> Column:
@@ -113,13 +119,14 @@ def _flatten(experiment: Column, cfg, times_ns: dict[str, Column], job_id: Colum
 
 
 def read_reports_json(spark: SparkSession, path: str) -> DataFrame:
-    raw = (
-        spark.read.schema(JSON_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "FAILFAST")
-        .option("pathGlobFilter", "*.json")
-        .json(path)
-    )
+    with bounded_listing(spark):
+        raw = (
+            spark.read.schema(JSON_SCHEMA)
+            .option("multiLine", True)
+            .option("mode", "FAILFAST")
+            .option("pathGlobFilter", "*.json")
+            .json(path)
+        )
     return normalise_json(raw)
 
 
@@ -144,14 +151,15 @@ def normalise_json(raw: DataFrame) -> DataFrame:
 
 
 def read_reports_xml(spark: SparkSession, path: str) -> DataFrame:
-    raw = (
-        spark.read.format("xml")
-        .schema(XML_SCHEMA)
-        .option("rowTag", "results")
-        .option("mode", "FAILFAST")
-        .option("pathGlobFilter", "*.xml")
-        .load(path)
-    )
+    with bounded_listing(spark):
+        raw = (
+            spark.read.format("xml")
+            .schema(XML_SCHEMA)
+            .option("rowTag", "results")
+            .option("mode", "FAILFAST")
+            .option("pathGlobFilter", "*.xml")
+            .load(path)
+        )
     is_v1 = F.col("config").isNotNull() | F.col("report").isNotNull()
     props = F.when(is_v1, F.col("config.property")).otherwise(F.col("args.property"))
     times = F.when(is_v1, F.col("report.time")).otherwise(F.col("performance.time"))
@@ -159,7 +167,7 @@ def read_reports_xml(spark: SparkSession, path: str) -> DataFrame:
         F.col("experiment._id").alias("experiment"),
         F.map_from_entries(F.transform(props, lambda p: F.struct(p["_key"], p["_value"]))).alias("cfg"),
         times.alias("times"),
-        F.col("_metadata.file_name").alias("_file"),
+        _job_id("xml").alias("_job"),
         is_v1.alias("_v1"),
     )
 
@@ -174,8 +182,7 @@ def read_reports_xml(spark: SparkSession, path: str) -> DataFrame:
         return F.coalesce(ns, F.lit(0.0))
 
     times_ns = {"map": t("mapTime", "map"), "shift": t("shiftTime", "shift"), "average": t("avgTime", "average")}
-    job_id = F.regexp_replace(F.col("_file"), r"\.xml$", "")
-    return raw.select(*_flatten(F.col("experiment"), cfg, times_ns, job_id))
+    return raw.select(*_flatten(F.col("experiment"), cfg, times_ns, F.col("_job")))
 
 
 def read_reports(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
