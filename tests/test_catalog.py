@@ -37,7 +37,7 @@ def _digest(cols, rows):
 
 def test_every_query_has_an_oracle_or_is_timing_only():
     missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"pipeline_report"}
+    assert missing == {"timed_run_report"}
 
 
 def test_entry_smoke(spark):
@@ -55,7 +55,7 @@ def test_query_matches_oracle(spark, con, name):
     assert _digest(df.columns, rows) == _digest(rel.columns, rel.fetchall())
 
 
-def test_pipeline_report_runs(spark):
-    df = E.queries()["pipeline_report"](spark, SF_SMALL)
+def test_timed_run_report_runs(spark):
+    df = E.queries()["timed_run_report"](spark, SF_SMALL)
     r = df.first()
     assert df.count() == 1 and r.map_time >= 0 and r.job_id == "lineitem-eager"

@@ -214,7 +214,7 @@ def q_vectors_sink_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-def q_pipeline_report(spark, sf_dir):
+def q_timed_run_report(spark, sf_dir):
     _prepare(spark)
     run = run_pipeline(spark, vectors(spark, sf_dir), lazy=False, job_id="lineitem-eager")
     return run.report
@@ -331,7 +331,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "uniform_buckets": q_uniform_buckets,
     "vec3_roundtrip": q_vec3_roundtrip,
     "vectors_sink_roundtrip": q_vectors_sink_roundtrip,
-    "pipeline_report": q_pipeline_report,
+    "timed_run_report": q_timed_run_report,
     "reports_flatten": q_reports_flatten,
     "report_xml": q_report_xml,
     "report_json_native": q_report_json_native,
