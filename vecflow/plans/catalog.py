@@ -241,7 +241,7 @@ def _native_reports(spark, sf_dir, fmt):
     path = scratch_dir(spark, f"reports-native-{fmt}")
     r = runs(spark, sf_dir).withColumn("__version", F.when(F.col("id") % 2 == 0, 1).otherwise(2))
     write_reports(r, path, fmt, version="__version")
-    return read_reports(spark, path, fmt)
+    return read_reports(spark, path, fmt, layout="records")
 
 
 def q_report_json_native(spark, sf_dir):

@@ -1,11 +1,13 @@
 """K2/K3 with Spark's own writers: report structs built from run rows with
-built-in expressions, written by the JSON or XML data source, one folder per
-run (``job_id=<id>/``) through ``partitionBy``. No Python runs in the tasks.
+built-in expressions and written by the JSON or XML data source as record
+files -- one JSON line or one ``<results>`` element per run, many runs per
+file, each record carrying its ``job_id``. No Python runs in the tasks, and a
+campaign of millions of runs does not turn into millions of files.
 
 Layout v2 (what the reference writes today) or v1 (the documented older
-layout), chosen per writer call or per row. ``read_reports`` reads these
-folders (``job_id`` comes from the partition folder) as well as flat folders
-of ``<job_id>.json`` files.
+layout), chosen per writer call or per row. ``read_reports(..., layout=
+"records")`` reads them back; the reference's one-file-per-run folders are
+written by ``sinks.report_files``.
 """
 
 from __future__ import annotations
@@ -120,12 +122,8 @@ def report_records(df: DataFrame, fmt: str = "json", version: int | str = 2) ->
 
 def write_reports(df: DataFrame, path: str, fmt: str = "json", version: int | str = 2,
                   mode: str = "overwrite") -> str:
-    """Write every run's report under ``path/job_id=<id>/`` with the built-in writer."""
-    records = report_records(df, fmt, version)
-    # one folder per run: spread the runs over the cluster's cores so that
-    # folders are written in parallel (hash on job_id: a retry rewrites the same)
-    records = records.repartition(df.sparkSession.sparkContext.defaultParallelism, "job_id")
-    writer = records.write.mode(mode).partitionBy("job_id").format(fmt)
+    """Write every run's report as a record (with its ``job_id``) into part files."""
+    writer = report_records(df, fmt, version).write.mode(mode).format(fmt)
     if fmt == "xml":
         writer = writer.option("rowTag", "results").option("rootTag", "reports")
     writer.save(path)

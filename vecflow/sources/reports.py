@@ -6,8 +6,9 @@ camelCase keys and times in ns, and v2 with ``experiment``/``args``/
 superset schema -- no inference pass -- and normalised to nanoseconds.
 Missing keys default to 0 (or '' for the experiment id), ``generate`` is 1
 only for the text 'true', and text that is not a number fails the job.
-``job_id`` is the file name without its extension, or the ``job_id=`` folder
-of a partitioned layout (see ``sinks.reports``).
+``job_id`` is the file name without its extension (one report per file, the
+reference layout), or the ``job_id`` carried by each record in record files
+written by ``sinks.reports`` (``layout="records"``).
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ JSON_SCHEMA = T.StructType([
     T.StructField("experiment", _struct("id")),
     T.StructField("args", _struct(*V2_ARG_KEYS)),
     T.StructField("performance", _struct(*V2_TIME_KEYS)),
-    T.StructField("job_id", _S),  # partition column of folders written by sinks.reports
+    T.StructField("job_id", _S),  # carried by record files (sinks.reports)
 ])
 
 _PROPS = T.StructType([T.StructField("property", T.ArrayType(_struct("_key", "_value", "_unit")))])
@@ -54,7 +55,7 @@ XML_SCHEMA = T.StructType([
     T.StructField("report", _TIMES),       # v1
     T.StructField("args", _PROPS),         # v2
     T.StructField("performance", _TIMES),  # v2
-    T.StructField("job_id", _S),           # partition column, as above
+    T.StructField("job_id", _S),           # carried by record files, as above
 ])
 
 RESULTS_SCHEMA = T.StructType([
@@ -78,7 +79,7 @@ FLAT_COLUMNS = RESULT_COLUMNS[1:]  # everything but the id
 
 
 def _job_id(ext: str, file_name: Column | None = None) -> Column:
-    """The ``job_id=`` folder of a partitioned layout, else the file name without
+    """The record's own ``job_id`` (record files), else the file name without
     its final extension (os.path.splitext of the base name)."""
     name = file_name if file_name is not None else F.col("_metadata.file_name")
     return F.coalesce(F.col("job_id"), F.regexp_replace(name, rf"\.{ext}$", ""))
@@ -118,11 +119,13 @@ def _flatten(experiment: Column, cfg, times_ns: dict[str, Column], job_id: Colum
     ]
 
 
-def read_reports_json(spark: SparkSession, path: str) -> DataFrame:
+def read_reports_json(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
+    if layout not in ("files", "records"):
+        raise ValueError("layout is 'files' (one report per file) or 'records' (JSON lines)")
     with bounded_listing(spark):
         raw = (
             spark.read.schema(JSON_SCHEMA)
-            .option("multiLine", True)
+            .option("multiLine", layout == "files")
             .option("mode", "FAILFAST")
             .option("pathGlobFilter", "*.json")
             .json(path)
@@ -185,10 +188,15 @@ def read_reports_xml(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*_flatten(F.col("experiment"), cfg, times_ns, F.col("_job")))
 
 
-def read_reports(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Flat report rows (results columns without ``id``) from a folder."""
+def read_reports(spark: SparkSession, path: str, fmt: str = "json", layout: str = "files") -> DataFrame:
+    """Flat report rows (results columns without ``id``) from a folder.
+
+    ``layout="files"``: one report per file (the reference's folders);
+    ``"records"``: record files from ``sinks.reports.write_reports`` (for XML
+    both layouts read the same way).
+    """
     if fmt == "json":
-        return read_reports_json(spark, path)
+        return read_reports_json(spark, path, layout)
     if fmt == "xml":
         return read_reports_xml(spark, path)
     raise ValueError(f"unknown report format {fmt!r}")
