@@ -1,3 +1,5 @@
+import contextlib
+import io
 import json
 import os
 
@@ -119,3 +121,25 @@ def test_native_writer_roundtrip_and_layout(spark, tmp_dir):
     assert docs["j1"]["performance"]["shift"] == "4.5" and docs["j1"]["args"]["block_size_unit"] == "MB"
     assert docs["j1"]["args"]["generate"] == "true" and "results" not in docs["j1"]
     assert docs["j0"]["results"]["report"]["shiftTime"] == "4.5E9" and "args" not in docs["j0"]
+
+
+def test_json_report_format():
+    text = render_report({"experiment_id": "e", "job_id": "7", "map_time": 1e9}, "json", 2)
+    assert text.startswith('{\n  "experiment" : {\n    "id" : "e"\n  },\n  "args" : {')
+    assert '"map" : "1.0"' in text and '"block_size_unit" : "MB"' in text
+
+
+def test_results_table_parquet_pushdown(spark, tmp_dir):
+    from vecflow.plans import report_queries as rq
+    from vecflow.sinks.table import write_results_table
+
+    d = _folder(tmp_dir, {f"{j}.json": V1 for j in ("a", "b")})
+    path = os.path.join(tmp_dir, "results.parquet")
+    write_results_table(results_table(read_reports(spark, d)), path=path)
+    table = spark.read.parquet(path)
+    q = rq.runs_by_nodes(table, 16)
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        q.explain("formatted")
+    assert "PushedFilters: [IsNotNull(nodes), EqualTo(nodes,16)]" in out.getvalue()
+    assert q.count() == 2
