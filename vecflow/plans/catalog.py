@@ -206,7 +206,7 @@ def q_vec3_roundtrip(spark, sf_dir):
     _prepare(spark)
     path = scratch_dir(spark, "vec3")
     write_vec3(vectors(spark, sf_dir), path)
-    return read_vec3(spark, path).select(*XYZ)
+    return read_vec3(spark, path, columns=XYZ)
 
 
 def q_vectors_sink_roundtrip(spark, sf_dir):

@@ -123,7 +123,7 @@ def run_pipeline(
         a = generate_vectors(spark, blocks=blocks, block_size=block_size, multiplier=multiplier,
                              nodes=nodes, cores=cores, nparts=nparts, seed=seed)
     elif src:
-        a = read_vec3(spark, src).drop("path")
+        a = read_vec3(spark, src, columns=("block_id", "row_id", "x", "y", "z"))
     else:
         raise ValueError("no vector source: pass vectors, generate=True or src=<path>")
     if not lazy:

@@ -11,22 +11,33 @@ from vecflow.sources.generate import generate_vectors
 VECTOR_COLUMNS = ("block_id", "matrix_id", "row_id", "x", "y", "z")
 
 
-def read_vec3(spark: SparkSession, src: str, **options) -> DataFrame:
+def read_vec3(spark: SparkSession, src: str, columns=("path", "block_id", "row_id", "x", "y", "z"),
+              **options) -> DataFrame:
     """Planar binary files as vectors; one file is one block of one matrix.
 
+    Python Data Sources get no column pruning from Catalyst, so the wanted
+    ``columns`` are passed to the source as its schema: unrequested planes are
+    not read and no per-row ``path`` string is built unless asked for.
+    ``matrix_id`` (always 0: a file holds one matrix) is added here.
+
     Unless ``rowsPerSplit`` is given, a task reads as many vectors as fit in
     ``spark.sql.files.maxPartitionBytes`` (24 bytes per vector), like Spark's
     own file sources.
     """
     vec3.register(spark)
+    types = {"path": "string", "block_id": "bigint", "row_id": "bigint", "x": "double", "y": "double",
+             "z": "double"}
+    wanted = [c for c in types if c in columns]
     if "rowsPerSplit" not in options:
         max_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
         options["rowsPerSplit"] = max(1, _bytes(max_bytes) // (3 * vec3.DOUBLE_BYTES))
-    reader = spark.read.format(vec3.FORMAT)
+    reader = spark.read.format(vec3.FORMAT).schema(", ".join(f"{c} {types[c]}" for c in wanted))
     for k, v in options.items():
         reader = reader.option(k, v)
     df = reader.load(src)
-    return df.select("path", "block_id", F.lit(0).alias("matrix_id"), "row_id", "x", "y", "z")
+    out = [c for c in wanted if c in ("path", "block_id")] + (["matrix_id"] if "block_id" in wanted else [])
+    out += [c for c in wanted if c not in ("path", "block_id")]
+    return df.withColumn("matrix_id", F.lit(0)).select(*out)
 
 
 def _bytes(text: str) -> int:
@@ -42,5 +53,5 @@ def load_vectors(spark: SparkSession, generate: bool = False, src: str | None =
     if generate:
         return generate_vectors(spark, **generate_options)
     if src:
-        return read_vec3(spark, src).drop("path")
+        return read_vec3(spark, src, columns=VECTOR_COLUMNS)
     raise ValueError("no vector source: pass generate=True or src=<path>")
