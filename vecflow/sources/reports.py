@@ -27,6 +27,7 @@ def _struct(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, _S) for n in names])
 
 
+# Key names of the two report layouts, as the reports spell them.
 V1_CONFIG_KEYS = ("src", "dst", "cores", "generate", "blocks", "blockSize", "nparts", "size", "nodes",
                   "jsonFilename", "xmlFilename")
 V1_TIME_KEYS = ("mapTime", "shiftTime", "avgTime")
