@@ -22,7 +22,9 @@ sys.path.insert(0, HERE)
 
 from vecflow.plans import catalog  # noqa: E402
 from vecflow.plans.pipeline import run_pipeline  # noqa: E402
-from vecflow.session import get_spark  # noqa: E402
+from vecflow.session import get_spark, scratch_dir  # noqa: E402
+from vecflow.sinks.vectors import write_vec3  # noqa: E402
+from vecflow.sources.generate import generate_vectors  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = int(os.environ.get("BENCH_CPUS", "8"))
@@ -31,6 +33,8 @@ GEN = dict(blocks=int(os.environ.get("BENCH_GEN_BLOCKS", "1")),
            block_size=int(os.environ.get("BENCH_GEN_BLOCK_SIZE", "8")),
            multiplier=int(os.environ.get("BENCH_GEN_MULTIPLIER", str(1024 * 1024))),
            nodes=1, cores=CPUS, nparts=int(os.environ.get("BENCH_GEN_NPARTS", "2")))
+# File-source run (the reference's --src mode): vectors written once as vec3 files.
+SRC_BLOCK_SIZE = int(os.environ.get("BENCH_SRC_BLOCK_SIZE", "2"))
 
 HEADLINE = [
     "shift_vectors", "matrix_sums", "matrix_means", "block_means", "block_means_hybrid",
@@ -84,6 +88,20 @@ def main() -> None:
             extra["timed_run_eager_map_vectors_per_sec_per_core"] = round(n_vec / run.timings["map"] / CPUS)
             extra["timed_run_eager_shift_vectors_per_sec_per_core"] = round(n_vec / run.timings["shift"] / CPUS)
 
+    # file source: one planar file per task, written untimed, then timed runs reading them
+    src = scratch_dir(spark, "bench-vec3")
+    gen_src = generate_vectors(spark, blocks=1, block_size=SRC_BLOCK_SIZE, multiplier=GEN["multiplier"],
+                               num_partitions=CPUS)
+    write_vec3(gen_src, src)
+    n_src = 2 * SRC_BLOCK_SIZE * GEN["multiplier"]
+    for mode, lazy in (("eager", False), ("lazy", True)):
+        runs = [run_pipeline(spark, src=src, lazy=lazy) for _ in range(REPEAT)]
+        run = min(runs, key=lambda r: r.timings["overall"])
+        for phase in ("map", "shift", "average", "reduce", "overall"):
+            times[f"timed_run_src_{mode}_{phase}"] = round(run.timings[phase], 4)
+        extra[f"timed_run_src_{mode}_vectors_per_sec_per_core"] = round(n_src / run.timings["overall"] / CPUS)
+    extra["src_vectors"] = n_src
+
     total = sum(v for k, v in times.items() if not k.startswith("timed_run_") or k.endswith("_overall"))
     out = {
         "metric": "total_query_time",
