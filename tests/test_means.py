@@ -100,11 +100,15 @@ def test_vector_sum_nd(spark):
     assert (0, 0, float(sum(range(0, 30, 3)))) in a and (0, 2, 10.0) in a
 
 
-def test_scale_by_matrix_rows_shuffle_path(spark):
-    df = _unequal(spark)
+def test_scale_by_matrix_rows_split_path(spark):
+    # one hot matrix (a third of the rows and more) plus many light ones
+    hot = [(0, 0, i, float(i), 1.0, 2.0) for i in range(400)]
+    light = [(1 + i % 7, i % 11, i, float(i), 3.0, 4.0) for i in range(800)]
+    df = spark.createDataFrame(hot + light, "block_id long, matrix_id int, row_id long, x double, y double, z double")
     a = sorted(ops.scale_by_matrix_rows(df).collect())
-    b = sorted(ops.scale_by_matrix_rows(df, max_broadcast_rows=1).collect())  # bound exceeded: shuffle join
-    assert a == b
+    b = sorted(ops.scale_by_matrix_rows(df, max_broadcast_rows=1).collect())  # bound exceeded: split join
+    assert a == b and len(b) == 1200
+    assert {r.y for r in b if r.block_id == 0} == {1.0 / 400}
 
 
 def test_phase_counts(spark):

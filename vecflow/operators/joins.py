@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from vecflow.session import ensure_checkpoint_dir
 
-# Rows of a narrow key/count table (tens of bytes each) that stay well under
-# a 64 MiB broadcast.
-DEFAULT_BROADCAST_ROWS = 1_000_000
+# Rows of a narrow key/count table that may be broadcast: about 64 bytes per row
+# in the hashed relation, so 4 Mi rows stay near 256 MiB.
+DEFAULT_BROADCAST_ROWS = 4 * 1024 * 1024
 
 
 def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
@@ -25,3 +25,31 @@ def bounded_broadcast(small: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS)
     if pinned.count() <= max_rows:
         return F.broadcast(pinned), True
     return pinned, False
+
+
+def join_key_counts(big: DataFrame, counts: DataFrame, keys, count_col: str,
+                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Inner-join ``big`` with ``counts`` (one row per key of ``big``, ``count_col``
+    = rows of ``big`` with that key) without moving a hot key into one task.
+
+    * If the count table has at most ``max_broadcast_rows`` rows: one broadcast
+      join, the big side is not shuffled.
+    * Otherwise the keys are split by weight. A key holding more rows than one
+      shuffle partition's fair share (``total / spark.sql.shuffle.partitions``)
+      is hot; there are at most ``shuffle.partitions`` hot keys, so they are
+      broadcast and their rows join in place. The remaining rows (no key above
+      the fair share) join through a normal shuffle join.
+    """
+    keys = list(keys)
+    spark = big.sparkSession
+    small, fits = bounded_broadcast(counts, max_broadcast_rows)
+    if fits:
+        return big.join(small, keys)
+    total = small.agg(F.sum(count_col)).first()[0] or 0
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    fair = max(1, total // max(1, parts))
+    hot = small.filter(F.col(count_col) > fair)        # <= parts rows: proven bound
+    cold = small.filter(F.col(count_col) <= fair)
+    hot_rows = big.join(F.broadcast(hot), keys)
+    cold_rows = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return hot_rows.unionByName(cold_rows)

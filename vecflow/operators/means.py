@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecflow.operators.joins import DEFAULT_BROADCAST_ROWS, bounded_broadcast
+from vecflow.operators.joins import DEFAULT_BROADCAST_ROWS, join_key_counts
 
 XYZ = ("x", "y", "z")
 MATRIX_KEYS = ("block_id", "matrix_id")
@@ -103,11 +103,10 @@ def scale_by_matrix_rows(df: DataFrame, cols: Sequence[str] = XYZ,
     """P3 as the reference uses it: every vector divided by its matrix's row count
     (the per-row share of the matrix mean). Counts come from a partial
     aggregation and are materialised; the count table (one row per matrix) is
-    broadcast only when its exact row count is under the bound, otherwise the
-    join shuffles (AQE splits skewed matrices)."""
+    broadcast when its exact row count is under the bound, otherwise hot
+    matrices are split from the rest (see ``joins.join_key_counts``)."""
     counts = df.groupBy(*MATRIX_KEYS).agg(F.count(F.lit(1)).alias("__n"))
-    small, _ = bounded_broadcast(counts, max_broadcast_rows)
-    joined = df.join(small, list(MATRIX_KEYS))
+    joined = join_key_counts(df, counts, MATRIX_KEYS, "__n", max_broadcast_rows)
     return joined.withColumns({c: F.col(c) / F.col("__n") for c in cols}).drop("__n")
 
 
