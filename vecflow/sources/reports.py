@@ -179,7 +179,9 @@ def read_reports_xml(spark: SparkSession, path: str) -> DataFrame:
         return F.when(F.col("_v1"), F.col("cfg")[v1]).otherwise(F.col("cfg")[v2])
 
     def t(v1: str, v2: str) -> Column:
-        entry = F.filter("times", lambda e: e["_id"] == F.when(F.col("_v1"), F.lit(v1)).otherwise(F.lit(v2)))[0]
+        wanted = F.when(F.col("_v1"), F.lit(v1)).otherwise(F.lit(v2))
+        # get(): NULL (then 0) when the report has no such entry, also under ANSI mode
+        entry = F.get(F.filter("times", lambda e: e["_id"] == wanted), 0)
         value = strict_cast(entry["_t"], "double", v1)
         unit = F.coalesce(entry["_unit"], F.when(F.col("_v1"), F.lit("ns")).otherwise(F.lit("s")))
         ns = F.when(unit == "s", F.round(value * F.lit(NS_PER_S))).otherwise(value)
