@@ -170,3 +170,12 @@ def test_xml_v1_sample_with_missing_entries(spark, tmp_dir):
     assert (r.job_id, r.generate, r.nodes, r.blocks, r.block_size, r.nparts) == ("883987", 1, 16, 2000, 10, 0)
     assert (r.map_time, r.shift_time, r.avg_time) == (208551858.0, 227948975.0, 0.0)
     assert (r.src, r.dst) == ("", "0")
+
+
+def test_json_numbers_and_booleans_not_quoted(spark, tmp_dir):
+    doc = {"experiment": {"id": "e"}, "args": {"cores": 12, "generate": True, "nodes": 4, "block_size": 8},
+           "performance": {"map": 1.25, "shift": 2}}
+    d = _folder(tmp_dir, {"n.json": doc})
+    r = read_reports(spark, d).first()
+    assert (r.cores, r.generate, r.nodes, r.block_size) == (12, 1, 4, 8)
+    assert (r.map_time, r.shift_time, r.avg_time) == (1.25e9, 2e9, 0.0)
