@@ -218,6 +218,22 @@ def q_timed_run_report(spark, sf_dir):
     return run.report
 
 
+def q_timed_run_result(spark, sf_dir):
+    """X3's answer and A7's phase counts from whole timed runs, eager and lazy
+    (the timings themselves are in ``timed_run_report``)."""
+    _prepare(spark)
+    rows = []
+    for mode, lazy in (("eager", False), ("lazy", True)):
+        run = run_pipeline(spark, vectors(spark, sf_dir), lazy=lazy)
+        rows.append((mode, *[run.result[f"sum_of_block_means_{c}"] for c in XYZ],
+                     run.counts["generate"], run.counts["shift"], run.counts["average"]))
+    df = spark.createDataFrame(rows, "mode string, sum_of_block_means_x double, sum_of_block_means_y double, "
+                                     "sum_of_block_means_z double, generate_rows bigint, shift_rows bigint, "
+                                     "average_rows bigint")
+    return df.select("mode", *[_r(f"sum_of_block_means_{c}") for c in XYZ], "generate_rows", "shift_rows",
+                     "average_rows")
+
+
 # ---------------------------------------------------------------- report queries
 def _written_reports(spark, sf_dir, fmt):
     _prepare(spark)
@@ -330,6 +346,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vec3_roundtrip": q_vec3_roundtrip,
     "vectors_sink_roundtrip": q_vectors_sink_roundtrip,
     "timed_run_report": q_timed_run_report,
+    "timed_run_result": q_timed_run_result,
     "reports_flatten": q_reports_flatten,
     "report_xml": q_report_xml,
     "report_json_native": q_report_json_native,
@@ -425,3 +442,7 @@ ORACLE_SQL: dict[str, str] = {
     "export_tsv": _with(SQL_RUNS) + f"SELECT {SQL_SIZED} FROM runs ORDER BY nodes, cores, blocks, block_size",
 }
 ORACLE_SQL["block_means_hybrid"] = ORACLE_SQL["block_means"]
+ORACLE_SQL["timed_run_result"] = _with(SQL_V, SQL_SH, SQL_M, SQL_B, "r AS (SELECT " + ", ".join(
+    f"round(sum({c}), {DIGITS}) AS sum_of_block_means_{c}" for c in XYZ) + """,
+       (SELECT count(*) FROM sh) AS generate_rows, (SELECT count(*) FROM sh) AS shift_rows,
+       count(*) AS average_rows FROM b)""") + """SELECT m.mode, r.* FROM r, (VALUES ('eager'), ('lazy')) m(mode)"""
