@@ -179,3 +179,20 @@ def test_json_numbers_and_booleans_not_quoted(spark, tmp_dir):
     r = read_reports(spark, d).first()
     assert (r.cores, r.generate, r.nodes, r.block_size) == (12, 1, 4, 8)
     assert (r.map_time, r.shift_time, r.avg_time) == (1.25e9, 2e9, 0.0)
+
+
+def test_write_report_single_file_and_series(spark, tmp_dir):
+    from vecflow.plans import report_queries as rq
+    from vecflow.sinks import write_report
+
+    run = spark.createDataFrame([("e", 1, 4, 12, 4, 8, 64, 3e9, 4e9, 1e9)],
+                                "experiment_id string, generate int, nodes int, cores int, nparts int, blocks int, "
+                                "block_size int, map_time double, shift_time double, avg_time double")
+    path = os.path.join(tmp_dir, "logs", "883987.xml")
+    write_report(run, path, "xml")
+    assert os.listdir(os.path.dirname(path)) == ["883987.xml"]
+    r = read_reports(spark, os.path.dirname(path), "xml").first()
+    assert (r.job_id, r.nodes, r.map_time) == ("883987", 4, 3e9)
+    table = results_table(read_reports(spark, os.path.dirname(path), "xml"))
+    pts = rq.scaling_series(table, "strong", "shift_time").collect()
+    assert [(p.kind, p.series, p.nodes, p.metric, p.t) for p in pts] == [("strong", 0, 4, "shift_time", 4.0)]

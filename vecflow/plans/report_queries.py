@@ -136,3 +136,10 @@ def scaling_points(results: DataFrame, kinds=("weak", "strong"), metric: str | N
     runs = results.filter(F.col("nparts") == nparts)
     wide = runs.select(F.inline(pairs), "nodes", *[ns_to_s(m).alias(m) for m in metrics])
     return wide.unpivot(["kind", "series", "nodes"], metrics, "metric", "t")
+
+
+def scaling_series(results: DataFrame, kind: str = "weak", metric: str | None = None, nparts: int = 4) -> DataFrame:
+    """G3 for one kind of report ("weak" or "strong"), optionally one metric."""
+    if kind not in ("weak", "strong"):
+        raise ValueError("kind is 'weak' or 'strong'")
+    return scaling_points(results, kinds=(kind,), metric=metric, nparts=nparts)
