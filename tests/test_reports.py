@@ -196,3 +196,11 @@ def test_write_report_single_file_and_series(spark, tmp_dir):
     table = results_table(read_reports(spark, os.path.dirname(path), "xml"))
     pts = rq.scaling_series(table, "strong", "shift_time").collect()
     assert [(p.kind, p.series, p.nodes, p.metric, p.t) for p in pts] == [("strong", 0, 4, "shift_time", 4.0)]
+
+
+def test_empty_folders(spark, tmp_dir):
+    d = _folder(tmp_dir, {"notes.txt": "no reports here"})
+    assert read_reports(spark, d).count() == 0
+    assert read_reports(spark, d, "xml").count() == 0
+    t = results_table(read_reports(spark, d))
+    assert t.columns == RESULT_COLUMNS and t.count() == 0

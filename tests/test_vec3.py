@@ -86,3 +86,9 @@ def test_writer_splits_large_partitions(spark, tmp_dir):
     sizes = sorted(os.path.getsize(os.path.join(out, n)) // 24 for n in bins)
     assert sizes == [100, 300, 300, 300]
     assert sorted(r.x for r in read_vec3(spark, out).collect()) == [float(i) for i in range(1000)]
+
+
+def test_empty_folder(spark, tmp_dir):
+    d = os.path.join(tmp_dir, "none")
+    os.makedirs(d)
+    assert read_vec3(spark, d).count() == 0
