@@ -29,3 +29,18 @@ def test_hybrid_and_reports(spark, tmp_dir):
         assert r.job_id == "job1" and r.generate == 1 and r.blocks == 1 and r.block_size == 2
         assert r.map_time == round(run.timings["map"] * 1e9)
     assert run.report.first().hybrid == 1
+
+
+def test_disk_only_and_extra_columns(spark):
+    from pyspark import StorageLevel
+    from pyspark.sql import functions as F
+
+    from vecflow.sources.generate import generate_vectors
+
+    v = generate_vectors(spark, blocks=1, block_size=2, multiplier=50, num_partitions=3).withColumn(
+        "payload", F.repeat(F.lit("x"), 100))
+    a = run_pipeline(spark, v, storage_level=StorageLevel.DISK_ONLY)
+    b = run_pipeline(spark, v, lazy=True)
+    assert a.counts == b.counts == {"generate": 200, "shift": 200, "average": 2}
+    for k in a.result:
+        assert math.isclose(a.result[k], b.result[k], rel_tol=1e-12)

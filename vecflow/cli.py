@@ -33,6 +33,9 @@ def run_parser() -> argparse.ArgumentParser:
     p.add_argument("--hybrid", action="store_true")
     p.add_argument("--imperative", action="store_true")
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--checkpoint", action="store_true",
+                   help="eager phases as reliable checkpoints in spark.checkpoint.dir instead of caches")
+    p.add_argument("--disk-only", action="store_true", help="eager phase caches on disk only")
     p.add_argument("--master", default=None, help="Spark master for a local run (default: session's)")
     return p
 
@@ -70,6 +73,8 @@ def _session(master: str | None):
 
 
 def cmd_run(argv) -> int:
+    from pyspark import StorageLevel
+
     from vecflow.plans.pipeline import run_pipeline
 
     a = run_parser().parse_args(argv)
@@ -82,7 +87,8 @@ def cmd_run(argv) -> int:
         spark, generate=a.generate, src=a.src, dst=a.dst, lazy=a.lazy, functional=a.functional, hybrid=a.hybrid,
         imperative=a.imperative, blocks=a.blocks, block_size=a.block_size, multiplier=a.multiplier,
         nodes=a.nodes, cores=a.cores, nparts=a.nparts, seed=a.seed, job_id=json_job or xml_job,
-        json_dir=json_dir, xml_dir=xml_dir,
+        json_dir=json_dir, xml_dir=xml_dir, checkpoint=a.checkpoint,
+        storage_level=StorageLevel.DISK_ONLY if a.disk_only else StorageLevel.MEMORY_AND_DISK,
     )
     r = run.result
     print(f"sum of block means: x={r['sum_of_block_means_x']} y={r['sum_of_block_means_y']} "

@@ -8,9 +8,10 @@ into one codegen stage; the row count rides along in the aggregation (the sum
 of the matrix counts -- shift is one-to-one), so it costs no extra pass and no
 metrics node in the fused stage.
 
-Materialisation is ``persist(MEMORY_AND_DISK)`` (recomputable after executor
-loss -- the generator is deterministic, so recomputation gives identical data)
-or, with ``checkpoint=True``, a reliable checkpoint in the shared folder.
+Materialisation is ``persist(storage_level)``, ``MEMORY_AND_DISK`` by default
+(recomputable after executor loss -- the generator is deterministic, so
+recomputation gives identical data), or, with ``checkpoint=True``, a reliable
+checkpoint in the shared folder. Only the columns the phases read are kept.
 """
 
 from __future__ import annotations
@@ -74,17 +75,22 @@ class _cache_settings:
         return False
 
 
-def _materialise(df: DataFrame, use_checkpoint: bool) -> tuple[DataFrame, int]:
+def _materialise(df: DataFrame, use_checkpoint: bool,
+                 level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> tuple[DataFrame, int]:
     """Store a phase and count it (the reference's persist + count)."""
     if use_checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         stored = df.checkpoint(eager=False)
         return stored, stored.count()
     with _cache_settings(df.sparkSession):
-        stored = df.persist(StorageLevel.MEMORY_AND_DISK)
+        stored = df.persist(level)
         return stored, stored.count()
 
 
+# The phases read only these columns; anything else is dropped before caching.
+PHASE_COLUMNS = ("block_id", "matrix_id", "x", "y", "z")
+
+
 def run_pipeline(
     spark: SparkSession,
     vectors: DataFrame | None = None,
@@ -106,6 +112,7 @@ def run_pipeline(
     seed: int = 0,
     displacement=SHIFT,
     checkpoint: bool = False,
+    storage_level: StorageLevel = StorageLevel.MEMORY_AND_DISK,
     experiment_id: str = DEFAULT_EXPERIMENT,
     job_id: str | None = None,
     json_dir: str | None = None,
@@ -126,15 +133,16 @@ def run_pipeline(
         a = read_vec3(spark, src, columns=("block_id", "row_id", "x", "y", "z"))
     else:
         raise ValueError("no vector source: pass vectors, generate=True or src=<path>")
+    a = a.select(*PHASE_COLUMNS)
     if not lazy:
-        a, counts["generate"] = _materialise(a, checkpoint)
+        a, counts["generate"] = _materialise(a, checkpoint, storage_level)
     timings["map"] = time.perf_counter() - t0
 
     # --- shift ---
     t0 = time.perf_counter()
     b = shift(a, displacement)
     if not lazy:
-        b, counts["shift"] = _materialise(b, checkpoint)
+        b, counts["shift"] = _materialise(b, checkpoint, storage_level)
         if not checkpoint:
             a.unpersist()
     timings["shift"] = time.perf_counter() - t0
@@ -143,7 +151,7 @@ def run_pipeline(
     t0 = time.perf_counter()
     c = block_means(b, method, with_rows=lazy)
     if not lazy:
-        c, counts["average"] = _materialise(c, checkpoint)
+        c, counts["average"] = _materialise(c, checkpoint, storage_level)
         if not checkpoint:
             b.unpersist()
     timings["average"] = time.perf_counter() - t0
