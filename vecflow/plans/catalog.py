@@ -425,14 +425,18 @@ ORACLE_SQL: dict[str, str] = {
     "runs_by_nodes": _with(SQL_RUNS) + "SELECT * FROM runs WHERE nodes = 16",
     "runs_by_blocks_and_size": _with(SQL_RUNS) + "SELECT * FROM runs WHERE blocks = 48 AND block_size = 128",
     "distinct_blocks": _with(SQL_RUNS) + "SELECT DISTINCT blocks FROM runs ORDER BY blocks",
-    "distinct_gb": _with(SQL_RUNS) + "SELECT DISTINCT (CAST(blocks AS BIGINT) * block_size) // 1024 AS gb FROM runs ORDER BY gb",
-    "weak_series": _with(SQL_RUNS) + """SELECT blocks, nodes, map_time / 1E9 AS map_time, shift_time / 1E9 AS shift_time,
-       avg_time / 1E9 AS avg_time FROM runs WHERE nparts = 4 ORDER BY blocks, nodes""",
-    "strong_series": _with(SQL_RUNS) + """SELECT gb, nodes, map_time, shift_time, avg_time FROM (SELECT (CAST(blocks AS BIGINT) * block_size) // 1024 AS gb, nodes,
-       map_time / 1E9 AS map_time, shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time, nparts
-       FROM runs) s WHERE nparts = 4 ORDER BY gb, nodes""",
+    "distinct_gb": _with(SQL_RUNS) + """SELECT DISTINCT (CAST(blocks AS BIGINT) * block_size) // 1024 AS gb
+       FROM runs ORDER BY gb""",
+    "weak_series": _with(SQL_RUNS) + """SELECT blocks, nodes, map_time / 1E9 AS map_time,
+       shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time FROM runs WHERE nparts = 4
+       ORDER BY blocks, nodes""",
+    "strong_series": _with(SQL_RUNS) + """SELECT gb, nodes, map_time, shift_time, avg_time FROM (
+       SELECT (CAST(blocks AS BIGINT) * block_size) // 1024 AS gb, nodes, map_time / 1E9 AS map_time,
+       shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time, nparts FROM runs) s
+       WHERE nparts = 4 ORDER BY gb, nodes""",
     "scaling_points": _with(SQL_RUNS, """w AS (SELECT 'weak' AS kind, CAST(blocks AS BIGINT) AS series, nodes,
-       map_time / 1E9 AS map_time, shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time FROM runs WHERE nparts = 4)""",
+       map_time / 1E9 AS map_time, shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time
+       FROM runs WHERE nparts = 4)""",
                             """s AS (SELECT 'strong' AS kind, (CAST(blocks AS BIGINT) * block_size) // 1024 AS series,
        nodes, map_time / 1E9 AS map_time, shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time
        FROM runs WHERE nparts = 4)""", "ws AS (SELECT * FROM w UNION ALL SELECT * FROM s)")
