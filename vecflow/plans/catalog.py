@@ -120,57 +120,69 @@ def _rounded(df: DataFrame, keys, cols) -> DataFrame:
 
 # ---------------------------------------------------------------- vector queries
 def q_shift_vectors(spark, sf_dir):
+    """Every vector shifted by the fixed displacement."""
     return ops.shift(vectors(spark, sf_dir))
 
 
 def q_matrix_sums(spark, sf_dir):
+    """A1: column sums and row count per matrix."""
     return _rounded(ops.matrix_sums(vectors(spark, sf_dir)), ["block_id", "matrix_id", "n"], XYZ)
 
 
 def q_matrix_means(spark, sf_dir):
+    """A2: column means per matrix after the shift."""
     return _rounded(ops.matrix_means(ops.shift(vectors(spark, sf_dir))), ["block_id", "matrix_id", "n"], XYZ)
 
 
 def q_block_means(spark, sf_dir):
+    """A3 (A4 functional): block average = unweighted mean of matrix means."""
     return _rounded(ops.block_means(ops.shift(vectors(spark, sf_dir))), ["block_id", "n_matrices"], XYZ)
 
 
 def q_block_means_hybrid(spark, sf_dir):
+    """A4 hybrid: Arrow per-batch partial sums, native final aggregation."""
     _prepare(spark)
     bm = ops.block_means(ops.shift(vectors(spark, sf_dir)), method="hybrid")
     return _rounded(bm, ["block_id", "n_matrices"], XYZ)
 
 
 def q_reduce_block_means(spark, sf_dir):
+    """A5 (flagship, X3's answer): element-wise sum of block means."""
     red = ops.reduce_block_means(ops.block_means(ops.shift(vectors(spark, sf_dir))))
     return red.select(*[_r(c) for c in red.columns])
 
 
 def q_global_mean(spark, sf_dir):
+    """A6 weighted: mean over all rows."""
     g = ops.global_mean(ops.shift(vectors(spark, sf_dir)), weighted=True)
     return g.select(*[_r(c) for c in g.columns])
 
 
 def q_mean_of_block_means(spark, sf_dir):
+    """A6 unweighted: mean of the block means."""
     g = ops.global_mean(ops.shift(vectors(spark, sf_dir)), weighted=False)
     return g.select(*[_r(c) for c in g.columns])
 
 
 def q_phase_counts(spark, sf_dir):
+    """Elements after generate, shift and average."""
     v = vectors(spark, sf_dir)
     return ops.phase_counts(v, ops.shift(v))
 
 
 def q_scale_vectors(spark, sf_dir):
+    """Each vector divided by its matrix's row count (bounded broadcast join)."""
     return ops.scale_by_matrix_rows(vectors(spark, sf_dir))
 
 
 def q_vector_shift_nd(spark, sf_dir):
+    """64-wide row-broadcast add with width check."""
     emb = table(spark, sf_dir, "embeddings")
     return ops.vector_shift(emb, WIDE_SHIFT, array_col="embedding", out_col="v").select("vec_id", "label", "v")
 
 
 def q_vector_sum_nd(spark, sf_dir):
+    """Element-wise sums of 64-wide vectors per label."""
     emb = table(spark, sf_dir, "embeddings")
     s = ops.vector_sum_nd(emb, "embedding", ["label"])
     return s.select("label", "pos", _r("sum_v"))
@@ -201,6 +213,7 @@ def q_uniform_buckets(spark, sf_dir):
 
 
 def q_vec3_roundtrip(spark, sf_dir):
+    """S3 (+ writer): lineitem vectors as planar files, read back."""
     _prepare(spark)
     path = scratch_dir(spark, "vec3")
     write_vec3(vectors(spark, sf_dir), path)
@@ -208,11 +221,13 @@ def q_vec3_roundtrip(spark, sf_dir):
 
 
 def q_vectors_sink_roundtrip(spark, sf_dir):
+    """K1: shifted vectors written to <dst>/results and read back."""
     path = write_vectors(ops.shift(vectors(spark, sf_dir)), scratch_dir(spark, "dst"))
     return spark.read.parquet(path)
 
 
 def q_timed_run_report(spark, sf_dir):
+    """Timings of an eager timed run as one results-shaped row (rows-only check)."""
     _prepare(spark)
     run = run_pipeline(spark, vectors(spark, sf_dir), lazy=False, job_id="lineitem-eager")
     return run.report
@@ -244,10 +259,12 @@ def _written_reports(spark, sf_dir, fmt):
 
 
 def q_reports_flatten(spark, sf_dir):
+    """K2 + S5/S6/P8: per-run JSON report files (v1 and v2) read back flat."""
     return _written_reports(spark, sf_dir, "json")
 
 
 def q_report_xml(spark, sf_dir):
+    """K3 + S5: per-run XML report files (v1 and v2) read back flat."""
     return _written_reports(spark, sf_dir, "xml")
 
 
@@ -259,18 +276,22 @@ def _native_reports(spark, sf_dir, fmt):
 
 
 def q_report_json_native(spark, sf_dir):
+    """K2 via Spark's JSON writer (record files) read back flat."""
     return _native_reports(spark, sf_dir, "json")
 
 
 def q_report_xml_native(spark, sf_dir):
+    """K3 via Spark's XML writer (record files) read back flat."""
     return _native_reports(spark, sf_dir, "xml")
 
 
 def q_results_table(spark, sf_dir):
+    """K4: the results table with ids 0..n-1 in job_id order."""
     return results_table(_written_reports(spark, sf_dir, "json"))
 
 
 def q_report_stream(spark, sf_dir):
+    """S5 + K4 with a file stream over a report folder."""
     from vecflow.streaming.reports import ingest_reports
 
     _prepare(spark)
@@ -283,46 +304,57 @@ def q_report_stream(spark, sf_dir):
 
 
 def q_overall_sorted(spark, sf_dir):
+    """O1 + P4/P5/P7/P9: all runs with size, partitions and seconds."""
     return rq.overall_sorted(runs(spark, sf_dir))
 
 
 def q_overall_sorted_gb(spark, sf_dir):
+    """O2 + F1: runs with base nparts = 4, ordered by gb."""
     return rq.overall_sorted_gb(runs(spark, sf_dir))
 
 
 def q_overall_sum_gb(spark, sf_dir):
+    """O3 + P6: the published overview."""
     return rq.overall_sum_gb(runs(spark, sf_dir))
 
 
 def q_runs_by_nodes(spark, sf_dir):
+    """runs on 16 nodes."""
     return rq.runs_by_nodes(runs(spark, sf_dir), nodes=16)
 
 
 def q_runs_by_blocks_and_size(spark, sf_dir):
+    """runs with a given blocks and block_size."""
     return rq.runs_by_blocks_and_size(runs(spark, sf_dir), blocks=48, block_size=128)
 
 
 def q_distinct_blocks(spark, sf_dir):
+    """Distinct block counts."""
     return rq.distinct_blocks(runs(spark, sf_dir))
 
 
 def q_distinct_gb(spark, sf_dir):
+    """A10: distinct data sizes."""
     return rq.distinct_gb(runs(spark, sf_dir))
 
 
 def q_weak_series(spark, sf_dir):
+    """G1 + F2: weak-scaling series."""
     return rq.weak_series(runs(spark, sf_dir))
 
 
 def q_strong_series(spark, sf_dir):
+    """G2 + F3: strong-scaling series."""
     return rq.strong_series(runs(spark, sf_dir))
 
 
 def q_scaling_points(spark, sf_dir):
+    """Plot feed for weak and strong scaling, all metrics."""
     return rq.scaling_points(runs(spark, sf_dir))
 
 
 def q_export_tsv(spark, sf_dir):
+    """K5: O1 exported as tab-separated text with header and read back."""
     df = rq.overall_sorted(runs(spark, sf_dir))
     path = export_text(df, scratch_dir(spark, "tsv"), sep="\t")
     return read_text(spark, path, df.schema, sep="\t")
