@@ -189,7 +189,7 @@ def q_vector_sum_nd(spark, sf_dir):
 
 
 def q_generate_structure(spark, sf_dir):
-    """Generate as many vectors as ``lineitem`` holds, in the adapter's block
+    """Generate as many vectors as ``lineitem`` holds, in the adapter's block
     layout (blocks 0..max inclusive, matrices = max line number), and check the
     structure: rows per (block, matrix) and that every coordinate is in range."""
     p = vectors(spark, sf_dir).agg(
@@ -206,7 +206,7 @@ def q_generate_structure(spark, sf_dir):
 
 
 def q_uniform_buckets(spark, sf_dir):
-    """One draw in [-3, 3) per event; every truncated bucket -2..2 is hit."""
+    """One draw in [-3, 3) per event; every truncated bucket -2..2 is hit."""
     e = table(spark, sf_dir, "events").select("event_id")
     d = uniform_draws(e, "event_id", -3.0, 3.0, seed=UNIFORM_SEED)
     return d.groupBy(F.col("u").cast("int").alias("bucket")).agg((F.count(F.lit(1)) > 0).alias("hit"))
