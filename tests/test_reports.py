@@ -204,3 +204,17 @@ def test_empty_folders(spark, tmp_dir):
     assert read_reports(spark, d, "xml").count() == 0
     t = results_table(read_reports(spark, d))
     assert t.columns == RESULT_COLUMNS and t.count() == 0
+
+
+def test_bad_number_fails_without_ansi(spark, tmp_dir):
+    d = _folder(tmp_dir, {"bad.json": {"experiment": {"id": "e"}, "args": {"blocks": "12x"}, "performance": {}},
+                          "good.json": {"experiment": {"id": "e"}, "args": {"blocks": " 12 "}, "performance": {}}})
+    previous = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        with pytest.raises(PySparkException):
+            read_reports(spark, d).collect()
+        good = read_reports(spark, d).filter("job_id = 'good'").first()
+        assert good.blocks == 12
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", previous)
