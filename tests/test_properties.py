@@ -4,7 +4,7 @@ import os
 import uuid
 
 import numpy as np
-from hypothesis import HealthCheck, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -45,3 +45,51 @@ def test_uniform_double_in_range(spark, seed, low, width):
     df = spark.range(0, 2000, 1, 3).select(uniform_double(seed, low, high, F.col("id")).alias("u"))
     lo, hi = df.agg(F.min("u"), F.max("u")).first()
     assert low <= lo and hi <= high
+
+
+RUN = st.tuples(
+    st.text(alphabet=st.characters(min_codepoint=32, max_codepoint=126),
+            min_size=0, max_size=12),
+    st.integers(0, 1), st.integers(1, 4096), st.integers(1, 64), st.integers(1, 256), st.integers(0, 10**6),
+    st.integers(1, 10**6),
+    st.floats(0, 1e15), st.floats(0, 1e15), st.floats(0, 1e15),
+)
+
+
+@SLOW
+@given(rows=st.lists(RUN, min_size=1, max_size=6), fmt=st.sampled_from(["json", "xml"]),
+       version=st.sampled_from([1, 2]))
+@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="xml", version=2)
+@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="json", version=1)
+def test_report_files_roundtrip(spark, tmp_path, rows, fmt, version):
+    from vecflow.sinks.report_files import write_report_files
+    from vecflow.sources.reports import read_reports
+
+    # v1 stores ns as written; v2 stores seconds and is read back as whole ns
+    data = [(e, g, n, c, p, b, k, float(round(m)), float(round(s)), float(round(a)), f"j{i}")
+            for i, (e, g, n, c, p, b, k, m, s, a) in enumerate(rows)]
+    df = spark.createDataFrame(data, "experiment_id string, generate int, nodes int, cores int, nparts int, "
+                                     "blocks int, block_size int, map_time double, shift_time double, "
+                                     "avg_time double, job_id string")
+    d = os.path.join(str(tmp_path), uuid.uuid4().hex)
+    write_report_files(df, d, fmt, version)
+    cols = ["experiment_id", "generate", "nodes", "cores", "nparts", "blocks", "block_size", "job_id"]
+    back = read_reports(spark, d, fmt)
+    got = sorted(tuple(r) for r in back.select(*cols, "map_time", "shift_time", "avg_time").collect())
+    want = sorted(tuple(r) for r in df.select(*cols, "map_time", "shift_time", "avg_time").collect())
+    assert got == want
+
+
+@SLOW
+@given(hot=st.integers(0, 600), light=st.integers(0, 400), keys=st.integers(1, 30), bound=st.integers(1, 40))
+def test_split_join_equals_broadcast_join(spark, hot, light, keys, bound):
+    from vecflow.operators.joins import join_key_counts
+
+    rows = [(0, i) for i in range(hot)] + [(1 + i % keys, i) for i in range(light)]
+    if not rows:
+        return
+    big = spark.createDataFrame(rows, "k long, v long")
+    counts = big.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    a = sorted(tuple(r) for r in join_key_counts(big, counts, ["k"], "n").collect())
+    b = sorted(tuple(r) for r in join_key_counts(big, counts, ["k"], "n", max_broadcast_rows=bound).collect())
+    assert a == b and len(a) == len(rows)

@@ -160,6 +160,7 @@ def read_reports_xml(spark: SparkSession, path: str) -> DataFrame:
             spark.read.format("xml")
             .schema(XML_SCHEMA)
             .option("rowTag", "results")
+            .option("ignoreSurroundingSpaces", False)  # values are kept as written, like the JSON reader
             .option("mode", "FAILFAST")
             .option("pathGlobFilter", "*.xml")
             .load(path)
