@@ -58,11 +58,14 @@ RUN = st.tuples(
 
 @SLOW
 @given(rows=st.lists(RUN, min_size=1, max_size=6), fmt=st.sampled_from(["json", "xml"]),
-       version=st.sampled_from([1, 2]))
-@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="xml", version=2)
-@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="json", version=1)
-def test_report_files_roundtrip(spark, tmp_path, rows, fmt, version):
+       version=st.sampled_from([1, 2]), layout=st.sampled_from(["files", "records"]))
+@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="xml", version=2, layout="files")
+@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="json", version=1, layout="files")
+@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="xml", version=1, layout="records")
+@example(rows=[(' a<b>&"c\' ', 1, 2, 3, 4, 5, 6, 1e-3, 7.5e14, 0.0)], fmt="json", version=2, layout="records")
+def test_report_files_roundtrip(spark, tmp_path, rows, fmt, version, layout):
     from vecflow.sinks.report_files import write_report_files
+    from vecflow.sinks.reports import write_reports
     from vecflow.sources.reports import read_reports
 
     # v1 stores ns as written; v2 stores seconds and is read back as whole ns
@@ -72,9 +75,12 @@ def test_report_files_roundtrip(spark, tmp_path, rows, fmt, version):
                                      "blocks int, block_size int, map_time double, shift_time double, "
                                      "avg_time double, job_id string")
     d = os.path.join(str(tmp_path), uuid.uuid4().hex)
-    write_report_files(df, d, fmt, version)
+    if layout == "files":
+        write_report_files(df, d, fmt, version)
+    else:
+        write_reports(df, d, fmt, version)
     cols = ["experiment_id", "generate", "nodes", "cores", "nparts", "blocks", "block_size", "job_id"]
-    back = read_reports(spark, d, fmt)
+    back = read_reports(spark, d, fmt, layout)
     got = sorted(tuple(r) for r in back.select(*cols, "map_time", "shift_time", "avg_time").collect())
     want = sorted(tuple(r) for r in df.select(*cols, "map_time", "shift_time", "avg_time").collect())
     assert got == want
