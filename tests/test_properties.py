@@ -99,3 +99,25 @@ def test_split_join_equals_broadcast_join(spark, hot, light, keys, bound):
     a = sorted(tuple(r) for r in join_key_counts(big, counts, ["k"], "n").collect())
     b = sorted(tuple(r) for r in join_key_counts(big, counts, ["k"], "n", max_broadcast_rows=bound).collect())
     assert a == b and len(a) == len(rows)
+
+
+@SLOW
+@given(values=st.lists(st.tuples(st.floats(allow_nan=True, allow_infinity=True, width=64),
+                                 st.floats(allow_nan=True, allow_infinity=True, width=64),
+                                 st.floats(allow_nan=True, allow_infinity=True, width=64)), min_size=0, max_size=300),
+       parts=st.integers(1, 4))
+def test_vec3_write_read_preserves_bits(spark, tmp_path, values, parts):
+    import struct
+
+    from vecflow.sinks.vectors import write_vec3
+
+    def bits(v):
+        return struct.pack(">d", v)
+
+    df = spark.createDataFrame(values, "x double, y double, z double").repartition(parts)
+    d = os.path.join(str(tmp_path), uuid.uuid4().hex)
+    write_vec3(df, d)
+    back = read_vec3(spark, d, columns=("x", "y", "z")).collect()
+    got = sorted(tuple(bits(v) for v in (r.x, r.y, r.z)) for r in back)
+    want = sorted(tuple(bits(v) for v in row) for row in values)
+    assert got == want
