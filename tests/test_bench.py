@@ -18,3 +18,5 @@ def test_bench_prints_one_json_line():
     assert d["unit"] == "sec" and d["sf"] == 0.001 and d["value"] > 0
     assert {"reduce_block_means", "timed_run_lazy_overall", "timed_run_src_eager_map"} <= set(d["queries"])
     assert d["generated_vectors"] == 2 * 2 * 1024
+    assert d["input_records"]["reduce_block_means"] > 0
+    assert d["shuffle_bytes_written"]["shift_vectors"] == 0  # a projection moves nothing
