@@ -31,8 +31,8 @@ from vecflow.operators.shift import SHIFT, shift
 from vecflow.session import ensure_checkpoint_dir
 from vecflow.sinks.report_files import DEFAULT_EXPERIMENT, write_report_files
 from vecflow.sinks.vectors import write_vectors
-from vecflow.sources.generate import DEFAULT_CORES, MEGA_MULTIPLIER, generate_vectors
-from vecflow.sources.load import read_vec3
+from vecflow.sources.generate import DEFAULT_CORES, MEGA_MULTIPLIER
+from vecflow.sources.load import load_vectors
 
 PHASES = ("map", "shift", "average", "reduce")
 
@@ -126,13 +126,9 @@ def run_pipeline(
     t0 = time.perf_counter()
     if vectors is not None:
         a = vectors
-    elif generate:
-        a = generate_vectors(spark, blocks=blocks, block_size=block_size, multiplier=multiplier,
-                             nodes=nodes, cores=cores, nparts=nparts, seed=seed)
-    elif src:
-        a = read_vec3(spark, src, columns=("block_id", "row_id", "x", "y", "z"))
-    else:
-        raise ValueError("no vector source: pass vectors, generate=True or src=<path>")
+    else:  # S4: generate wins over src; neither raises
+        a = load_vectors(spark, generate=generate, src=src, blocks=blocks, block_size=block_size,
+                         multiplier=multiplier, nodes=nodes, cores=cores, nparts=nparts, seed=seed)
     a = a.select(*PHASE_COLUMNS)
     if not lazy:
         a, counts["generate"] = _materialise(a, checkpoint, storage_level)
