@@ -218,3 +218,12 @@ def test_bad_number_fails_without_ansi(spark, tmp_dir):
         assert good.blocks == 12
     finally:
         spark.conf.set("spark.sql.ansi.enabled", previous)
+
+
+def test_subfolders_are_not_read(spark, tmp_dir):
+    # like the reference's directory listing, only the folder's own files count
+    d = _folder(tmp_dir, {"top.json": V2})
+    os.makedirs(os.path.join(d, "old"))
+    with open(os.path.join(d, "old", "nested.json"), "w") as f:
+        json.dump(V2, f)
+    assert [r.job_id for r in read_reports(spark, d).collect()] == ["top"]
