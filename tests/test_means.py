@@ -115,3 +115,14 @@ def test_phase_counts(spark):
     df = generate_vectors(spark, blocks=2, block_size=2, multiplier=10, num_partitions=3)
     r = ops.phase_counts(df, ops.shift(df)).first()
     assert (r.generate_rows, r.shift_rows, r.average_rows) == (60, 60, 3)
+
+
+def test_hybrid_skips_nulls_like_avg(spark):
+    rows = [(0, 0, 0, 1.0, None, 5.0), (0, 0, 1, None, None, 7.0), (0, 1, 0, 3.0, 2.0, None),
+            (1, 0, 0, None, None, None)]
+    df = spark.createDataFrame(rows, "block_id long, matrix_id int, row_id long, x double, y double, z double")
+    f = sorted(tuple(r) for r in ops.matrix_means(df).collect())
+    h = sorted(tuple(r) for r in ops.matrix_means_hybrid(df).collect())
+    assert f == h
+    assert sorted(tuple(r) for r in ops.block_means(df, "hybrid").collect()) == \
+        sorted(tuple(r) for r in ops.block_means(df).collect())

@@ -34,7 +34,8 @@ def matrix_means(df: DataFrame, cols: Sequence[str] = XYZ) -> DataFrame:
 
 
 def _partial_sums_arrow(cols: Sequence[str]):
-    """Per Arrow batch: one (block, matrix) row of partial count and sums."""
+    """Per Arrow batch: one (block, matrix) row of row count, and per column the
+    sum and count of non-null values (so means skip NULLs exactly as ``avg``)."""
     keys = list(MATRIX_KEYS)
 
     def run(batches):
@@ -42,10 +43,10 @@ def _partial_sums_arrow(cols: Sequence[str]):
             if batch.num_rows == 0:
                 continue
             grouped = pa.Table.from_batches([batch]).group_by(keys).aggregate(
-                [(keys[0], "count")] + [(c, "sum") for c in cols])
-            names = keys + ["n"] + list(cols)
-            arrays = [grouped.column(k) for k in keys] + [grouped.column(f"{keys[0]}_count")] + [
-                grouped.column(f"{c}_sum") for c in cols]
+                [([], "count_all")] + [(c, "sum") for c in cols] + [(c, "count") for c in cols])
+            names = keys + ["n"] + [f"{c}_sum" for c in cols] + [f"{c}_count" for c in cols]
+            arrays = [grouped.column(k) for k in keys] + [grouped.column("count_all")] + [
+                grouped.column(f"{c}_sum") for c in cols] + [grouped.column(f"{c}_count") for c in cols]
             yield from pa.Table.from_arrays(arrays, names=names).to_batches()
 
     return run
@@ -54,10 +55,12 @@ def _partial_sums_arrow(cols: Sequence[str]):
 def matrix_means_hybrid(df: DataFrame, cols: Sequence[str] = XYZ) -> DataFrame:
     """A4 'hybrid': per-batch partial sums in Arrow (constant memory per task),
     then a native final sum per matrix."""
-    schema = "block_id long, matrix_id int, n long, " + ", ".join(f"{c} double" for c in cols)
+    schema = ", ".join(["block_id long", "matrix_id int", "n long"] + [f"{c}_sum double" for c in cols]
+                       + [f"{c}_count long" for c in cols])
     partial = df.select(*MATRIX_KEYS, *cols).mapInArrow(_partial_sums_arrow(cols), schema)
     return partial.groupBy(*MATRIX_KEYS).agg(
-        F.sum("n").alias("n"), *[(F.sum(c) / F.sum("n")).alias(c) for c in cols])
+        F.sum("n").alias("n"),
+        *[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_count")).alias(c) for c in cols])
 
 
 def block_means(df: DataFrame, method: str = "functional", cols: Sequence[str] = XYZ,
