@@ -1,5 +1,5 @@
-"""Helpers shared by the operators: table access, vectorised word hashing, row
-identity, block-wise sums of fixed-size arrays, Arrow batches from columns.
+"""Helpers shared by the operators: table access, vectorised word hashing,
+block-wise sums of fixed-size arrays.
 """
 
 from __future__ import annotations
@@ -136,17 +136,13 @@ def hashed_texts(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
             yield lo + k, h[at[k]:at[k + 1]]
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
-                schema: str) -> DataFrame:
-    return df.mapInArrow(fn, schema)
-
-
 def summed_blocks(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.ndarray], cells: int,
                   blocks: int = 64) -> np.ndarray:
     """Sum over all partitions of a fixed-size integer array that ``count`` makes of each.
 
     The array has ``cells`` entries whatever the data's size; partitions send it in
-    ``blocks`` parts, parts are summed by Spark, and the driver gets the one array.
+    ``blocks`` parts, parts are summed by Spark, and the driver gets the one array, whose
+    size does not depend on the data.
     """
     width = cells // blocks
 
@@ -170,7 +166,7 @@ def summed_blocks(df: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], np.
     # two steps, so that no task reads the arrays of all partitions
     step = parts.repartition(blocks, "k", "p").select("k", "v").mapInArrow(merge, "k int, v binary")
     out = np.zeros(cells, dtype=np.int64)
-    for r in step.repartition(blocks, "k").mapInArrow(merge, "k int, v binary").toLocalIterator():
+    for r in step.repartition(blocks, "k").mapInArrow(merge, "k int, v binary").collect():
         out[r.k * width:(r.k + 1) * width] += _unpack(bytes(r.v), width)
     return out
 

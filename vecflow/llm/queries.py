@@ -9,8 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecflow.llm import bpe, fingerprint, packing
+from vecflow.llm import bpe, fingerprint, ngram_join, packing, warc
 from vecflow.llm.common import prepare, table
+from vecflow.session import scratch_dir
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -23,6 +24,17 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    read = warc.archive_pages(table(spark, sf_dir, "pages"), scratch_dir(spark, "warc"))
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -35,7 +47,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_arc_to_warc": op3_arc_to_warc,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op8_packing": op8_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_arc_to_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest FROM p),
+        k AS (SELECT payload_digest, max(page_id) AS kept FROM d GROUP BY payload_digest)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
+        FROM d JOIN k USING (payload_digest)""",
+}
