@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecflow.llm import bpe, fingerprint, ngram_join, packing, warc
+from vecflow.llm import bpe, embedding_dedup, fingerprint, ngram_join, packing, warc
 from vecflow.llm.common import prepare, table
 from vecflow.session import scratch_dir
 
@@ -45,12 +45,18 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_ngram_join": op2_ngram_join,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op8_packing": op8_packing,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_arc_to_warc": """
