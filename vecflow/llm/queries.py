@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecflow.llm import bpe, embedding_dedup, fingerprint, ngram_join, packing, warc
+from vecflow.llm import bpe, embedding_dedup, fingerprint, ngram_join, packing, quality, warc
 from vecflow.llm.common import prepare, table
 from vecflow.session import scratch_dir
 
@@ -45,6 +45,11 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))[0]
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
@@ -56,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op8_packing": op8_packing,
+    "op9_importance_resampling": op9_importance_resampling,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 ORACLE_SQL: dict[str, str] = {
