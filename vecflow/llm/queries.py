@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecflow.llm import bpe, embedding_dedup, fingerprint, ngram_join, packing, quality, toxicity, warc
+from vecflow.llm import bpe, embedding_dedup, fingerprint, language_model, ngram_join, packing, quality, toxicity, warc
 from vecflow.llm.common import prepare, table
 from vecflow.session import scratch_dir
 
@@ -40,6 +40,11 @@ def op4_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -65,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
+    "op5_maxent_scores": op5_maxent_scores,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_importance_resampling": op9_importance_resampling,
