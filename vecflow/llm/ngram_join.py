@@ -105,12 +105,12 @@ def _sets(docs: DataFrame, id: str, text: str, size: int, percent: int, order) -
                 first = np.argsort(rank[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
                 prefixes.append(u[first[:prefix_length(len(u), percent)]].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc", "n", "key", "prefix"])
+                [b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                names=["doc", "text_hash", "n", "key", "prefix"])
 
     kind = docs.schema[id].dataType.simpleString()
-    return docs.select(F.col(id).alias("doc"), F.col(text).alias("text")).mapInArrow(
-        run, f"doc {kind}, n long, key long, prefix array<long>")
+    return docs.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash")).mapInArrow(
+        run, f"doc {kind}, text_hash long, n long, key long, prefix array<long>")
 
 
 def _columns(postings: DataFrame) -> DataFrame:
@@ -237,6 +237,23 @@ def link_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", size
     classes = classes.join(near, classes.key == near.node, "left").select("key", "low", F.coalesce("component", "key").alias("c"))
     smallest = classes.groupBy("c").agg(F.min("low").alias("component_id"))
     by_class = classes.join(smallest, "c").select("key", "component_id")
-    return sets.select("doc", "n", "key").join(by_class, "key", "left").select(
-        F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"),
+    return sets.select("doc", "text_hash", "n", "key").join(by_class, "key", "left").select(
+        F.col("doc").alias(id), F.col("n").alias("n_shingles"), F.col("key").alias("class_key"), "text_hash",
         F.when(F.col("key").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One document of each component, that with the smallest id; all columns as they are.
+
+    Documents without words stay. Repeated rows (equal id and text) count as copies; rows
+    that share the smallest id and differ in text all stay.
+    """
+    links = link_documents(docs, text, id, size, percent)
+    keep = links.where(F.col(id).eqNullSafe(F.col("component_id"))).select(
+        F.col(id).alias("keep_id"), F.col("text_hash").alias("keep_hash"), F.col("class_key").isNull().alias("wordless")).distinct()
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.col(id).alias("row_id"), F.xxhash64(F.col(text)).alias("row_hash"), row.alias("row"))
+    found = rows.join(keep, rows.row_id.eqNullSafe(keep.keep_id) & (rows.row_hash == keep.keep_hash))
+    # repeated rows meet here, in the partitions of the join; those without words are told apart
+    found = found.withColumn("own", F.when(F.col("wordless"), F.monotonically_increasing_id()).otherwise(F.lit(-1)))
+    return found.dropDuplicates(["row_id", "row_hash", "own"]).select("row.*")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecflow.llm import bpe, embedding_dedup, fingerprint, language_model, ngram_join, packing, quality, toxicity, warc
+from vecflow.llm import bpe, embedding_dedup, fingerprint, language_model, ngram_join, packing, quality, suffix_dedup, toxicity, warc
 from vecflow.llm.common import prepare, table
 from vecflow.session import scratch_dir
 
@@ -26,7 +26,7 @@ def op1_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return ngram_join.link_documents(table(spark, sf_dir, "documents"))
+    return ngram_join.link_documents(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op3_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +45,11 @@ def op5_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_bpe_roundtrip": op4_bpe_roundtrip,
     "op5_maxent_scores": op5_maxent_scores,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_packing": op8_packing,
     "op9_importance_resampling": op9_importance_resampling,
