@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 #: largest tokenizer file that is broadcast
 MAX_FILE_BYTES = 64 << 20
-#: entries per cache; a full cache starts anew
-CACHE_ENTRIES = 250_000
+#: entries per cache
+CACHE_ENTRIES = 600_000
 #: characters encoded at a time
 WINDOW = 1 << 20
 _NEVER = 1 << 60
@@ -54,6 +54,28 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+class Cache:
+    """A dictionary of bounded size: when its newer half is full, the older half goes; what is found stays."""
+
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        self.half = entries // 2
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def find(self, key: str) -> bytes | None:
+        value = self.new.get(key)
+        if value is None:
+            value = self.old.get(key)
+            if value is not None:
+                self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self.new) >= self.half:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder for one tokenizer file (its JSON text)."""
 
@@ -64,136 +86,139 @@ class ForcedBoundaryBPE:
             raise ValueError("a byte-level BPE file with an end-of-word suffix and no decoder is needed")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model["end_of_word_suffix"]
-        pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-        self.ranks = {(a, b): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        by_id = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self._pattern = regex.compile(split["pattern"]["Regex"])
-        self._bytes = byte_alphabet()
+        alphabet = byte_alphabet()
+        # ids of single bytes, within a word and at its end
+        self._inner = [self.vocab[c] for c in alphabet]
+        self._final = [self.vocab[c + self.suffix] for c in alphabet]
+        # merges by the pair of ids: their rank, and what they make
+        self._rank: dict[int, int] = {}
+        self._made: list[int] = []
+        for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
+            self._rank[self.vocab[a] << 32 | self.vocab[b]] = len(self._made)
+            self._made.append(self.vocab[a + b])
         # byte pairs seen side by side in some token; all others are certain cuts
-        self.inside: set[str] = set()
+        byte_of = {c: i for i, c in enumerate(alphabet)}
+        self.inside: set[int] = set()
         for t in self.vocab:
-            body = t.removesuffix(self.suffix)
-            self.inside.update(body[i:i + 2] for i in range(len(body) - 1))
-        self._chunks: dict[str, tuple[bytes, str]] = {}
-        self._words: dict[str, tuple[bytes, str]] = {}
+            body = [byte_of[c] for c in t.removesuffix(self.suffix)]
+            self.inside.update(x << 8 | y for x, y in zip(body, body[1:]))
+        self._chunks, self._words = Cache(), Cache()
 
     # ------------------------------------------------------------ encoding
-    def fragments(self, word: str) -> list[str]:
-        """The word (byte-level characters) cut at pairs that occur inside no token."""
-        cuts = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.inside]
-        if not cuts:
-            return [word]
-        return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
-
-    def _rank(self, a: str, b: str) -> int:
-        return self.ranks.get((a, b), _NEVER)
-
-    def _merge(self, fragment: str, ends_word: bool) -> list[int]:
-        parts = list(fragment)
-        if ends_word:
-            parts[-1] += self.suffix
+    def cuts(self, word: bytes) -> list[int]:
+        """Where the word is certainly cut: before a byte that follows no such byte inside any token."""
+        inside = self.inside
+        return [i for i in range(1, len(word)) if word[i - 1] << 8 | word[i] not in inside]
+
+    def _merge(self, parts: list[int], ranks: list[int]) -> list[int]:
+        """Merges the ids of one fragment; ranks: of each neighbouring pair."""
         if len(parts) > 200:
             return self._merge_long(parts)
-        rank, known = self.ranks.get, self.vocab
-        ranks = [rank(p, _NEVER) for p in zip(parts, parts[1:])]
+        rank, made = self._rank.get, self._made
         while ranks:
             low = min(ranks)
             if low == _NEVER:
                 break
             i = ranks.index(low)
-            parts[i] += parts[i + 1]
+            new = parts[i] = made[low]
             del parts[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = rank((parts[i], parts[i + 1]), _NEVER)
+                ranks[i] = rank(new << 32 | parts[i + 1], _NEVER)
             if i:
-                ranks[i - 1] = rank((parts[i - 1], parts[i]), _NEVER)
-        return [known[p] for p in parts]
+                ranks[i - 1] = rank(parts[i - 1] << 32 | new, _NEVER)
+        return parts
 
-    def _merge_long(self, parts: list[str]) -> list[int]:
+    def _merge_long(self, parts: list[int]) -> list[int]:
         """The same merges with a heap and linked neighbours, for fragments of any length."""
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        live: list[str | None] = list(parts)
-        heap = [(r, i) for i in range(n - 1) if (r := self._rank(parts[i], parts[i + 1])) != _NEVER]
+        live = list(parts)
+        rank = self._rank.get
+        heap = [(r, i) for i in range(n - 1) if (r := rank(live[i] << 32 | live[i + 1], _NEVER)) != _NEVER]
         heapq.heapify(heap)
         while heap:
             r, i = heapq.heappop(heap)
-            j = after[i] if live[i] is not None else n
-            if j >= n or self._rank(live[i], live[j]) != r:
+            j = after[i] if live[i] >= 0 else n
+            if j >= n or rank(live[i] << 32 | live[j], _NEVER) != r:
                 continue
-            live[i] += live[j]
-            live[j] = None
+            live[i], live[j] = self._made[r], -1
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
-                if (r := self._rank(live[i], live[after[i]])) != _NEVER:
-                    heapq.heappush(heap, (r, i))
-            if (h := before[i]) >= 0 and (r := self._rank(live[h], live[i])) != _NEVER:
-                heapq.heappush(heap, (r, h))
-        return [self.vocab[p] for p in live if p is not None]
-
-    def _word(self, word: str) -> tuple[bytes, str]:
-        mapped = "".join(map(self._bytes.__getitem__, word.encode()))
-        cut = self.fragments(mapped)
-        ids = [i for f in cut[:-1] for i in self._merge(f, False)] + self._merge(cut[-1], True)
-        out = array("I", ids).tobytes(), " ".join(map(self.tokens.__getitem__, ids))
-        if len(self._words) >= CACHE_ENTRIES:
-            self._words.clear()
+                if (q := rank(live[i] << 32 | live[after[i]], _NEVER)) != _NEVER:
+                    heapq.heappush(heap, (q, i))
+            if (h := before[i]) >= 0 and (q := rank(live[h] << 32 | live[i], _NEVER)) != _NEVER:
+                heapq.heappush(heap, (q, h))
+        return [x for x in live if x >= 0]
+
+    def _word(self, word: str) -> bytes:
+        data = word.encode()
+        parts = [self._inner[x] for x in data]
+        parts[-1] = self._final[data[-1]]
+        rank = self._rank.get
+        ranks = [rank(x << 32 | y, _NEVER) for x, y in zip(parts, parts[1:])]
+        # a pair that merges is inside the token it makes: only the others can be certain cuts
+        if _NEVER in ranks and (cut := self.cuts(data)):
+            ids = []
+            for a, b in zip([0, *cut], [*cut, len(parts)]):
+                ids += self._merge(parts[a:b], ranks[a:b - 1])
+        else:
+            ids = self._merge(parts, ranks)
+        out = array("I", ids).tobytes()
         if len(word) <= 48:
-            self._words[word] = out
+            self._words.keep(word, out)
         return out
 
-    def _chunk(self, chunk: str) -> tuple[bytes, str]:
-        words = self._pattern.findall(chunk)
-        got = [self._words.get(w) or self._word(w) for w in words]
-        out = got[0] if len(got) == 1 else (b"".join([g[0] for g in got]), " ".join([g[1] for g in got]))
-        if len(self._chunks) >= CACHE_ENTRIES:
-            self._chunks.clear()
+    def _chunk(self, chunk: str) -> bytes:
+        find = self._words.find
+        out = b"".join([find(w) or self._word(w) for w in (chunk,) if chunk.isalpha()] or [find(w) or self._word(w) for w in self._pattern.findall(chunk)])
         if len(chunk) <= 48:
-            self._chunks[chunk] = out
+            self._chunks.keep(chunk, out)
         return out
 
-    def windows(self, text: str) -> Iterator[tuple[bytes, str]]:
-        """(ids as little-endian unsigned 32-bit, decoded text) of consecutive windows of a text.
+    def windows(self, text: str) -> Iterator[bytes]:
+        """Ids (little-endian unsigned 32-bit) of consecutive windows of a text.
 
         Normalised as the file says: NFC, white space separates, lower case character
-        by character (a final sigma like any other). Decoded parts are to be joined
-        with one space.
+        by character (a final sigma like any other).
         """
         pieces = self._special.split(text) if self._special and "<|" in text else [text]
         for k, piece in enumerate(pieces):
             if k % 2:
-                yield array("I", [self.special[piece]]).tobytes(), piece
+                yield array("I", [self.special[piece]]).tobytes()
                 continue
             if not piece.isascii():
                 piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3")
             piece = piece.lower()
             # str.split also parts at four control characters that are not white space here
             odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
-            lo, known, chunk = 0, self._chunks.get, self._chunk
+            lo, cache, chunk = 0, self._chunks, self._chunk
             while lo < len(piece):
                 cut = _SPACE.search(piece, lo + WINDOW) if len(piece) - lo > WINDOW else None
                 hi = cut.start() if cut else len(piece)
                 part = piece if hi - lo == len(piece) else piece[lo:hi]
-                got = [known(c) or chunk(c) for c in (filter(None, _SPACE.split(part)) if odd else part.split())]
+                new = cache.new.get
+                got = [new(c) or cache.find(c) or chunk(c) for c in (filter(None, _SPACE.split(part)) if odd else part.split())]
                 if got:
-                    yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got])
+                    yield b"".join(got)
                 lo = hi
 
     def encode(self, text: str | None) -> list[int]:
-        data = self.encode_bytes(text)
-        return [int.from_bytes(data[i:i + 4], "little") for i in range(0, len(data), 4)]
+        return array("I", self.encode_bytes(text)).tolist()
 
     def encode_bytes(self, text: str | None) -> bytes:
-        return b"".join(ids for ids, _ in self.windows(text or ""))
+        return b"".join(self.windows(text or ""))
 
     # ------------------------------------------------------------ decoding
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids) -> str:
         """Token texts joined by a space; special tokens stay."""
-        return " ".join(self.tokens[i] for i in ids)
+        return " ".join(map(self.tokens.__getitem__, ids))
 
 
 _LOADED: dict[int, ForcedBoundaryBPE] = {}
@@ -242,10 +267,11 @@ def encode_digests(docs: DataFrame, tokenizer_path: str, text: str = "text", id:
             counts, ids_hex, text_hex = [], [], []
             for t in batch.column(1).to_pylist():
                 n, of_ids, of_text = 0, hashlib.sha256(), hashlib.sha256()
-                for ids, decoded in bpe.windows(t or ""):
-                    of_ids.update(ids)
+                for data in bpe.windows(t or ""):
+                    of_ids.update(data)
+                    decoded = bpe.decode(array("I", data))
                     of_text.update((" " + decoded if n else decoded).encode())
-                    n += len(ids) // 4
+                    n += len(data) // 4
                 counts.append(n)
                 ids_hex.append(of_ids.hexdigest())
                 text_hex.append(of_text.hexdigest())

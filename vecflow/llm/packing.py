@@ -26,6 +26,7 @@ ignored.
 from __future__ import annotations
 
 import bisect
+import itertools
 import zlib
 
 import numpy as np
@@ -57,7 +58,7 @@ def piece_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
             row, piece, start, length, crc, data = [], [], [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 rest, done, n = bytearray(), 0, 0
-                parts = (p for w in (bpe.windows(t or ""), ((end, ""),)) for p, _ in w)
+                parts = itertools.chain(bpe.windows(t or ""), (end,))
                 for p in parts:
                     rest += p
                     while len(rest) > 4 * capacity or (p is end and rest):
