@@ -45,3 +45,10 @@ def test_distribution_hits_every_bucket(spark):
     assert buckets == {-2, -1, 0, 1, 2}
     mean = draws.agg(F.avg("u")).first()[0]
     assert abs(mean) < 0.1
+
+
+def test_exact_row_count(spark):
+    df = generate_vectors(spark, blocks=1, block_size=3, multiplier=4, rows=22)
+    per = {(r.block_id, r.matrix_id): r["count"] for r in df.groupBy("block_id", "matrix_id").count().collect()}
+    assert per == {(0, 0): 4, (0, 1): 4, (0, 2): 4, (1, 0): 4, (1, 1): 4, (1, 2): 2}
+    assert generate_vectors(spark, blocks=1, block_size=3, multiplier=1, rows=2).count() == 2

@@ -1,5 +1,7 @@
 import math
 
+import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vecflow import operators as ops
@@ -126,3 +128,34 @@ def test_hybrid_skips_nulls_like_avg(spark):
     assert f == h
     assert sorted(tuple(r) for r in ops.block_means(df, "hybrid").collect()) == \
         sorted(tuple(r) for r in ops.block_means(df).collect())
+
+
+def test_null_keys_are_scaled_too(spark):
+    rows = [(None if i % 10 == 0 else i % 3, i % 2, i, 1.0, 2.0, 3.0) for i in range(100)]
+    df = spark.createDataFrame(rows, "block_id long, matrix_id int, row_id long, x double, y double, z double")
+    for bound in (10_000, 0):  # broadcast, and hot keys apart
+        out = ops.scale_by_matrix_rows(df, max_broadcast_rows=bound)
+        assert out.count() == 100
+        assert out.agg(F.sum("x")).first()[0] == pytest.approx(df.select("block_id", "matrix_id").distinct().count())
+
+
+def test_phases_are_counted_each_on_its_own(spark):
+    df = generate_vectors(spark, blocks=1, block_size=2, multiplier=25, num_partitions=2)
+    r = ops.phase_counts(df, ops.shift(df).filter("row_id < 5 and block_id = 0")).first()
+    assert (r.generate_rows, r.shift_rows, r.average_rows) == (100, 10, 1)
+
+
+def test_ragged_vectors_do_not_add(spark):
+    ragged = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (1, [1.0]), (2, None), (3, [5.0])], "k int, v array<double>")
+    with pytest.raises(PySparkException, match="different widths"):
+        ops.vector_sum_nd(ragged, "v", ["k"]).collect()
+    assert [tuple(r) for r in ops.vector_sum_nd(ragged.filter("k > 1"), "v", ["k"]).collect()] == [(3, 0, 5.0)]
+
+
+@pytest.mark.parametrize("width", [3, 5, 128, 129])
+def test_array_scale_keeps_or_refuses(spark, width):
+    df = spark.createDataFrame([([2.0, 4.0, 6.0, 8.0],), (None,)], "v array<double>")
+    assert [r.v for r in ops.vector_scale(df, 2.0).collect()] == [[1.0, 2.0, 3.0, 4.0], None]
+    assert [r.v for r in ops.vector_scale(df, 2.0, width=4).collect()] == [[1.0, 2.0, 3.0, 4.0], None]
+    with pytest.raises(PySparkException, match="width"):
+        ops.vector_scale(df, 2.0, width=width).collect()

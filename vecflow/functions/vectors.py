@@ -42,11 +42,14 @@ def array_add(v: str | Column, displacement: Sequence[float]) -> Column:
 
 
 def array_scale(v: str | Column, divisor: float | Column, width: int | None = None) -> Column:
-    """Element-wise ``v / divisor``."""
+    """Element-wise ``v / divisor`` (P3). With ``width`` given, an array of another width raises at run time."""
     v = _as_col(v).cast("array<double>")
     div = divisor if isinstance(divisor, Column) else F.lit(float(divisor))
-    if width is not None and width <= ELEMENTWISE_MAX_WIDTH:
-        return F.when(v.isNull(), F.lit(None).cast("array<double>")).otherwise(
-            F.array(*[v[i] / div for i in range(width)])
-        )
-    return F.transform(v, lambda e: e / div)
+    if width is None:
+        return F.transform(v, lambda e: e / div)
+    if width <= ELEMENTWISE_MAX_WIDTH:
+        scaled = F.array(*[v[i] / div for i in range(width)])
+    else:
+        scaled = F.transform(v, lambda e: e / div)
+    bad = F.raise_error(F.concat(F.lit(f"vector width differs from the given width {width}: "), F.size(v).cast("string")))
+    return F.when(v.isNull(), F.lit(None).cast("array<double>")).when(F.size(v) == width, scaled).otherwise(bad)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,17 +41,28 @@ def join_key_counts(big: DataFrame, counts: DataFrame, keys, count_col: str,
       is hot; there are at most ``shuffle.partitions`` hot keys, so they are
       broadcast and their rows join in place. The remaining rows (no key above
       the fair share) join through a normal shuffle join.
+
+    Keys are compared null-safely (a NULL key is a group like any other), so no
+    row of ``big`` is lost. The second way scans ``big`` three times and shuffles
+    its cold rows.
     """
     keys = list(keys)
     spark = big.sparkSession
     small, fits = bounded_broadcast(counts, max_broadcast_rows)
     if fits:
-        return big.join(small, keys)
+        return _null_safe_join(big, small, keys)
     total = small.agg(F.sum(count_col)).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     fair = max(1, total // max(1, parts))
     hot = small.filter(F.col(count_col) > fair)        # <= parts rows: proven bound
     cold = small.filter(F.col(count_col) <= fair)
-    hot_rows = big.join(F.broadcast(hot), keys)
-    cold_rows = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    hot_rows = _null_safe_join(big, F.broadcast(hot), keys)
+    cold_rows = _null_safe_join(_null_safe_join(big, F.broadcast(hot.select(*keys)), keys, "left_anti"), cold, keys)
     return hot_rows.unionByName(cold_rows)
+
+
+def _null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with NULL equal to NULL; the keys appear once."""
+    renamed = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__right_{k}"]) for k in keys])
+    return left.join(renamed, cond, how).drop(*[f"__right_{k}" for k in keys])

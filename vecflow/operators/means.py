@@ -121,7 +121,15 @@ def vector_sum_nd(df: DataFrame, array_col: str, keys: Sequence[str] = (), value
     one row per (task, key, pos) is shuffled. (Measured faster than one
     aggregate column per element, which leaves codegen, and than the ML
     ``Summarizer``.)
+
+    All arrays of a key must have one width; another width raises at run time
+    (every array meets its key's others at position 0, where the widths are
+    compared). NULL arrays add nothing, as NULL does to a sum.
     """
     keys = list(keys)
-    exploded = df.select(*keys, F.posexplode(F.col(array_col).cast("array<double>")).alias("pos", "__e"))
-    return exploded.groupBy(*keys, "pos").agg(F.sum("__e").alias(value_name))
+    exploded = df.select(*keys, F.size(array_col).alias("__w"),
+                         F.posexplode(F.col(array_col).cast("array<double>")).alias("pos", "__e"))
+    sums = exploded.groupBy(*keys, "pos").agg(F.sum("__e").alias("__s"), F.min("__w").alias("__lo"), F.max("__w").alias("__hi"))
+    bad = F.raise_error(F.concat_ws(" ", F.lit("vectors of different widths cannot be added:"),
+                                    F.col("__lo").cast("string"), F.col("__hi").cast("string"))).cast("double")
+    return sums.select(*keys, "pos", F.when(F.col("__lo") == F.col("__hi"), F.col("__s")).otherwise(bad).alias(value_name))

@@ -17,14 +17,17 @@ def reduce_block_means(bm: DataFrame, cols: Sequence[str] = XYZ) -> DataFrame:
 
 
 def phase_counts(vectors: DataFrame, shifted: DataFrame | None = None) -> DataFrame:
-    """Elements after generate (rows), shift (rows) and average (blocks).
+    """Elements after generate (rows), shift (rows) and average (blocks), each
+    counted on its own phase's rows; a NULL block is a block.
 
-    One pass: the row count is a partial count, the block count a distinct
-    aggregate that is de-duplicated inside each task before its shuffle.
+    Row counts are partial counts, the block count a distinct aggregate that is
+    de-duplicated inside each task before its shuffle. Without ``shifted`` the
+    shift is taken over the same rows.
     """
     shifted = shifted if shifted is not None else vectors
-    return shifted.agg(
-        F.count(F.lit(1)).alias("generate_rows"),
-        F.count(F.lit(1)).alias("shift_rows"),
-        F.countDistinct("block_id").alias("average_rows"),
-    )
+    blocks = F.countDistinct("block_id") + F.max(F.col("block_id").isNull().cast("long"))
+    first = vectors.agg(F.count(F.lit(1)).alias("generate_rows"), F.lit(0).cast("long").alias("shift_rows"),
+                        F.lit(0).cast("long").alias("average_rows"))
+    second = shifted.agg(F.lit(0).cast("long").alias("generate_rows"), F.count(F.lit(1)).alias("shift_rows"),
+                         F.coalesce(blocks, F.lit(0)).alias("average_rows"))
+    return first.unionByName(second).agg(*[F.sum(c).alias(c) for c in first.columns])

@@ -45,10 +45,13 @@ def generate_vectors(
     inclusive: bool = True,
     num_partitions: int | None = None,
     max_rows_per_partition: int = DEFAULT_MAX_ROWS_PER_PARTITION,
+    rows: int | None = None,
 ) -> DataFrame:
     """``block_id BIGINT, matrix_id INT, row_id BIGINT, x, y, z DOUBLE``.
 
-    ``block_size`` matrices per block, ``multiplier`` vectors per matrix.
+    ``block_size`` matrices per block, ``multiplier`` vectors per matrix. With
+    ``rows``, exactly that many vectors: matrices are filled in order, the last
+    ones only in part or not at all.
     Partitions: ``num_partitions`` if given, else ``nodes * cores * nparts``,
     raised so that no task generates more than ``max_rows_per_partition`` rows.
     """
@@ -56,6 +59,10 @@ def generate_vectors(
         raise ValueError("blocks >= 0, block_size > 0 and multiplier > 0 are required")
     per_block = block_size * multiplier
     total = block_count(blocks, inclusive) * per_block
+    if rows is not None:
+        if not 0 <= rows <= total:
+            raise ValueError(f"rows must be between 0 and {total}, the vectors of all matrices")
+        total = rows
     parts = num_partitions or max(1, nodes * cores * nparts, -(-total // max_rows_per_partition))
     idx = F.col("id")
     return spark.range(0, total, 1, parts).select(
