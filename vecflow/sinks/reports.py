@@ -16,17 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecflow.functions.report_columns import NS_PER_S
+from vecflow.functions.report_layout import V1_CONFIG, V1_TIMES, V1_XML_CONFIG, V2_ARGS, V2_TIMES, V2_XML_ARGS
 from vecflow.sinks.report_files import OPTIONAL_DEFAULTS
 
-V2_ARGS = ("src", "dst", "cores", "generate", "lazy", "blocks", "block_size", "multiplier", "block_size_unit",
-           "nparts", "size", "nodes", "json", "xml", "functional", "hybrid", "imperative")
-V1_CONFIG = (("src", "src"), ("dst", "dst"), ("cores", "cores"), ("generate", "generate"), ("blocks", "blocks"),
-             ("blockSize", "block_size"), ("nparts", "nparts"), ("size", "size"), ("nodes", "nodes"),
-             ("jsonFilename", "json"), ("xmlFilename", "xml"))
 FLAGS = ("generate", "lazy", "functional", "hybrid", "imperative")
-V2_TIMES = (("map", "map_time"), ("shift", "shift_time"), ("average", "avg_time"), ("reduce", "reduce_time"),
-            ("overall", "overall_time"))
-V1_TIMES = (("mapTime", "map_time"), ("shiftTime", "shift_time"), ("avgTime", "avg_time"))
 
 
 def _filled(df: DataFrame) -> DataFrame:
@@ -48,8 +41,8 @@ def _values(ext: str) -> dict[str, Column]:
     for k in FLAGS:
         v[k] = F.when(F.col(k).cast("int") != 0, F.lit("true")).otherwise(F.lit("false"))
     v["block_size_unit"] = F.lit("MB")
-    v["json"] = F.concat(F.col("job_id").cast("string"), F.lit(".json"))
-    v["xml"] = F.concat(F.col("job_id").cast("string"), F.lit(".xml"))
+    for k in ("json", "xml"):  # a record names only the file that is written
+        v[k] = F.concat(F.col("job_id").cast("string"), F.lit(f".{k}")) if k == ext else F.lit("")
     for name, c in V2_TIMES:
         v[f"s:{name}"] = (F.col(c) / F.lit(NS_PER_S)).cast("string")
     for name, c in V1_TIMES:
@@ -87,10 +80,9 @@ def _times(pairs, v, unit: str) -> Column:
 def _xml_columns(v: dict[str, Column]) -> dict[str, Column]:
     return {
         "experiment": F.struct(F.col("experiment_id").alias("_id")),
-        "v1_config": _props([(key, src) for key, src in V1_CONFIG], v),
+        "v1_config": _props(V1_XML_CONFIG, v),
         "v1_report": _times(V1_TIMES, v, "ns"),
-        # the XML layout marks block_size with unit="MB" instead of a separate key
-        "v2_args": _props([(k, k) for k in V2_ARGS if k != "block_size_unit"], v),
+        "v2_args": _props([(k, k) for k in V2_XML_ARGS], v),
         "v2_performance": _times(V2_TIMES, v, "s"),
     }
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vecflow.functions.report_columns import NS_PER_S, strict_cast
+from vecflow.functions.report_layout import V1_CONFIG, V1_TIMES, V2_ARGS, V2_TIMES
 from vecflow.session import bounded_listing
 
 _S = T.StringType()
@@ -27,24 +28,15 @@ def _struct(*names: str) -> T.StructType:
     return T.StructType([T.StructField(n, _S) for n in names])
 
 
-# Key names of the two report layouts, as the reports spell them.
-V1_CONFIG_KEYS = ("src", "dst", "cores", "generate", "blocks", "blockSize", "nparts", "size", "nodes",
-                  "jsonFilename", "xmlFilename")
-V1_TIME_KEYS = ("mapTime", "shiftTime", "avgTime")
-V2_ARG_KEYS = ("src", "dst", "cores", "generate", "lazy", "blocks", "block_size", "multiplier",
-               "block_size_unit", "nparts", "size", "nodes", "json", "xml", "functional", "hybrid",
-               "imperative")
-V2_TIME_KEYS = ("map", "shift", "average", "reduce", "overall")
-
 JSON_SCHEMA = T.StructType([
     T.StructField("results", T.StructType([
         T.StructField("experiment", _struct("id")),
-        T.StructField("config", _struct(*V1_CONFIG_KEYS)),
-        T.StructField("report", _struct(*V1_TIME_KEYS)),
+        T.StructField("config", _struct(*(k for k, _ in V1_CONFIG))),
+        T.StructField("report", _struct(*(k for k, _ in V1_TIMES))),
     ])),
     T.StructField("experiment", _struct("id")),
-    T.StructField("args", _struct(*V2_ARG_KEYS)),
-    T.StructField("performance", _struct(*V2_TIME_KEYS)),
+    T.StructField("args", _struct(*V2_ARGS)),
+    T.StructField("performance", _struct(*(k for k, _ in V2_TIMES))),
     T.StructField("job_id", _S),  # carried by record files (sinks.reports)
 ])
 
