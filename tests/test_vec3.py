@@ -49,7 +49,7 @@ def test_roundtrip_writer(spark, tmp_dir):
     out = os.path.join(tmp_dir, "out")
     write_vec3(src, out)
     names = sorted(os.listdir(out))
-    assert len([n for n in names if n.endswith(".bin")]) == 4 and "_temporary" not in names
+    assert len([n for n in names if n.endswith(".bin")]) == 4
     back = read_vec3(spark, out)
     assert sorted((r.x, r.y, r.z) for r in back.collect()) == sorted((r.x, r.y, r.z) for r in src.collect())
     # overwrite replaces the earlier files
@@ -65,16 +65,20 @@ def test_load_vectors_choice(spark, files):
         load_vectors(spark)
 
 
-def test_filter_pushdown_prunes_files_and_rows(spark, files):
+def test_filters_leave_later_queries_alone(spark, files):
     df = read_vec3(spark, files)
-    only_b = df.filter("block_id = 1")
-    assert only_b.rdd.getNumPartitions() == 1
-    assert sorted((r.x, r.y, r.z) for r in only_b.collect()) == [(0.0, 2.0, 4.0), (1.0, 3.0, 5.0)]
+    assert sorted((r.x, r.y, r.z) for r in df.filter("block_id = 1").collect()) == [(0.0, 2.0, 4.0), (1.0, 3.0, 5.0)]
     rng = df.filter("block_id in (0) and row_id >= 10 and row_id < 20")
     assert sorted(r.row_id for r in rng.collect()) == list(range(10, 20))
-    # a filter the source does not handle stays with Spark
     assert df.filter("x > 997").count() == 2
     assert df.filter("block_id > 0 or row_id = 5").count() == 3
+    assert df.count() == 1002  # what earlier queries asked for is not kept
+
+
+def test_blocks_option_prunes_files(spark, files):
+    only_b = read_vec3(spark, files, blocks="1")
+    assert only_b.rdd.getNumPartitions() == 1 and only_b.count() == 2
+    assert read_vec3(spark, files, blocks="0,1").count() == 1002 and read_vec3(spark, files, blocks="").count() == 0
 
 
 def test_writer_splits_large_partitions(spark, tmp_dir):
@@ -92,3 +96,46 @@ def test_empty_folder(spark, tmp_dir):
     d = os.path.join(tmp_dir, "none")
     os.makedirs(d)
     assert read_vec3(spark, d).count() == 0
+
+
+def _blocks(spark, rows=900, parts=3):
+    """Blocks and matrices interleaved over all partitions; row ids that are no positions."""
+    return spark.range(0, rows, 1, parts).selectExpr("id % 4 block_id", "cast(id % 3 as int) matrix_id", "id * 10 row_id",
+                                                     "cast(id as double) x", "cast(id * 2 as double) y", "cast(-id as double) z")
+
+
+@pytest.mark.parametrize("parts,cap", [(1, 4096), (5, 4096), (3, 7)])
+def test_blocks_survive_whatever_the_files(spark, tmp_dir, parts, cap):
+    from vecflow import operators as ops
+
+    src = _blocks(spark, parts=parts)
+    out = os.path.join(tmp_dir, f"blocks-{parts}-{cap}")
+    src.sortWithinPartitions("block_id", "matrix_id").write.format("vec3").option("maxRowsPerFile", cap).mode("overwrite").save(out)
+    back = read_vec3(spark, out, columns=("block_id", "matrix_id", "row_id", "x", "y", "z"))
+    assert sorted(back.collect()) == sorted(src.collect())
+    assert back.filter("block_id = 2 and row_id < 300").count() == src.filter("block_id = 2 and row_id < 300").count() > 0
+    one, two = (ops.reduce_block_means(ops.block_means(d)).first() for d in (src, back))
+    assert tuple(one) == pytest.approx(tuple(two))
+
+
+def test_append_and_overwrite_go_by_the_manifest(spark, tmp_dir):
+    out = os.path.join(tmp_dir, "m")
+    write_vec3(_blocks(spark, 100), out)
+    write_vec3(_blocks(spark, 60), out, mode="append")
+    assert read_vec3(spark, out).count() == 160
+    # a file of a job that never committed
+    _write(os.path.join(out, "part-00000-0-0000-deadbeef.bin"), np.arange(30))
+    assert read_vec3(spark, out).count() == 160
+    write_vec3(_blocks(spark, 20), out)
+    assert read_vec3(spark, out).count() == 20 and not [n for n in os.listdir(out) if "deadbeef" in n]
+
+
+@pytest.mark.parametrize("column", ["x", "block_id", "row_id"])
+def test_null_cannot_be_written(spark, tmp_dir, column):
+    from pyspark.errors import PySparkException
+    from pyspark.sql import functions as F
+
+    bad = _blocks(spark, 10).withColumn(column, F.expr(f"if(row_id = 50, null, {column})"))
+    with pytest.raises(PySparkException, match="NULL"):
+        write_vec3(bad, os.path.join(tmp_dir, "bad"))
+    assert not [n for n in os.listdir(os.path.join(tmp_dir, "bad")) if n.endswith(".bin")]

@@ -15,7 +15,11 @@ def write_vectors(df: DataFrame, dst: str = ".", mode: str = "overwrite") -> str
 
 
 def write_vec3(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """Planar big-endian files, one per partition (readable with ``read_vec3``)."""
+    """Planar big-endian files and their manifest (readable with ``read_vec3``): block, matrix and
+    row ids are kept; rows are sorted within partitions so that a matrix takes few files."""
     vec3.register(df.sparkSession)
-    df.select("x", "y", "z").write.format(vec3.FORMAT).mode(mode).save(path)
+    keys = [c for c in ("block_id", "matrix_id") if c in df.columns]
+    if keys:
+        df = df.sortWithinPartitions(*keys)
+    df.select(*[c for c in ("block_id", "matrix_id", "row_id", "x", "y", "z") if c in df.columns]).write.format(vec3.FORMAT).mode(mode).save(path)
     return path

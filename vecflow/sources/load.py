@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from vecflow.sources import vec3
 from vecflow.sources.generate import generate_vectors
@@ -11,22 +10,22 @@ from vecflow.sources.generate import generate_vectors
 VECTOR_COLUMNS = ("block_id", "matrix_id", "row_id", "x", "y", "z")
 
 
-def read_vec3(spark: SparkSession, src: str, columns=("path", "block_id", "row_id", "x", "y", "z"),
+def read_vec3(spark: SparkSession, src: str, columns=("path", "block_id", "matrix_id", "row_id", "x", "y", "z"),
               **options) -> DataFrame:
-    """Planar binary files as vectors; one file is one block of one matrix.
+    """Planar binary files as vectors: blocks, matrices and row ids as written, or, for
+    files of other writers, one block of one matrix per file.
 
     Python Data Sources get no column pruning from Catalyst, so the wanted
     ``columns`` are passed to the source as its schema: unrequested planes are
     not read and no per-row ``path`` string is built unless asked for.
-    ``matrix_id`` (always 0: a file holds one matrix) is added here.
 
     Unless ``rowsPerSplit`` is given, a task reads as many vectors as fit in
     ``spark.sql.files.maxPartitionBytes`` (24 bytes per vector), like Spark's
     own file sources.
     """
     vec3.register(spark)
-    types = {"path": "string", "block_id": "bigint", "row_id": "bigint", "x": "double", "y": "double",
-             "z": "double"}
+    types = {"path": "string", "block_id": "bigint", "matrix_id": "int", "row_id": "bigint", "x": "double",
+             "y": "double", "z": "double"}
     wanted = [c for c in types if c in columns]
     if "rowsPerSplit" not in options:
         max_bytes = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
@@ -34,10 +33,7 @@ def read_vec3(spark: SparkSession, src: str, columns=("path", "block_id", "row_i
     reader = spark.read.format(vec3.FORMAT).schema(", ".join(f"{c} {types[c]}" for c in wanted))
     for k, v in options.items():
         reader = reader.option(k, v)
-    df = reader.load(src)
-    out = [c for c in wanted if c in ("path", "block_id")] + (["matrix_id"] if "block_id" in wanted else [])
-    out += [c for c in wanted if c not in ("path", "block_id")]
-    return df.withColumn("matrix_id", F.lit(0)).select(*out)
+    return reader.load(src)
 
 
 def _bytes(text: str) -> int:
@@ -48,10 +44,11 @@ def _bytes(text: str) -> int:
     return int(t)
 
 
-def load_vectors(spark: SparkSession, generate: bool = False, src: str | None = None,
+def load_vectors(spark: SparkSession, generate: bool = False, src: str | None = None, columns=VECTOR_COLUMNS,
                  **generate_options) -> DataFrame:
+    """Vectors from the generator or from files; ``columns``: what is built (and, of files, read)."""
     if generate:
-        return generate_vectors(spark, **generate_options)
+        return generate_vectors(spark, **generate_options).select(*columns)
     if src:
-        return read_vec3(spark, src, columns=VECTOR_COLUMNS)
+        return read_vec3(spark, src, columns=columns).select(*columns)
     raise ValueError("no vector source: pass generate=True or src=<path>")

@@ -8,61 +8,48 @@ is the file's position in the sorted listing.
 Reading: the driver lists files and sizes only (like Spark's file index) and
 cuts every file into row ranges; each task seeks to the three plane slices
 of its range and yields Arrow batches. Planes missing from a user-given
-schema are not read at all. Comparisons on ``block_id`` prune whole files and
-comparisons on ``row_id`` narrow the row ranges (exact, so Spark does not
-re-check them); other filters stay with Spark.
-
-Writing (``df.write.format("vec3")``): every task writes planar files of its
-partition (at most ``maxRowsPerFile`` rows each, which bounds task memory)
-into ``_temporary``; the driver's commit moves the files of successful
-attempts into place, so retried or lost tasks leave no partial output.
+schema are not read at all, and the option ``blocks`` (comma-separated ids)
+leaves out the files of all other blocks. Filters are not pushed: Spark 4.1
+keeps what one query pushed to a Python source for later queries over the same
+DataFrame, which then miss rows.
+
+Writing (``df.write.format("vec3")``): every task writes planar files of runs of
+rows of one matrix (at most ``maxRowsPerFile`` rows each, which bounds task
+memory), under names that belong to this job alone, with the rows' ids beside
+them (``.ids``, int64). The commit publishes one manifest that names every file
+with its block and matrix; readers of a folder with a manifest take blocks,
+matrices and row ids from it, so neither the cap nor the partitioning of the
+input changes what is read back, and files of lost attempts or of a job that
+never committed are not read. Earlier files go after the manifest is in place.
+Folders without a manifest are read as one block per file.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceArrowWriter,
-    DataSourceReader,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
-    In,
-    InputPartition,
-    IsNotNull,
-    LessThan,
-    LessThanOrEqual,
-    WriterCommitMessage,
-)
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from vecflow.sources.fs import filesystem as _filesystem, uri_prefix
 
 FORMAT = "vec3"
 DOUBLE_BYTES = 8
-FILE_SCHEMA = "path string, block_id bigint, row_id bigint, x double, y double, z double"
+FILE_SCHEMA = "path string, block_id bigint, matrix_id int, row_id bigint, x double, y double, z double"
+MANIFEST = "_vec3_manifest.json"
 PLANES = ("x", "y", "z")
 DEFAULT_ROWS_PER_SPLIT = 4 * 1024 * 1024  # ~96 MiB of vectors per task
 DEFAULT_BATCH_ROWS = 256 * 1024  # ~10 MB per Arrow batch; measured 30% faster than 64 Ki
 DEFAULT_MAX_ROWS_PER_FILE = 4 * 1024 * 1024  # ~96 MiB of Python memory per writing task (about one read split)
-PUSHDOWN_CONF = "spark.sql.python.filterPushdown.enabled"
-_COMPARE = {
-    EqualTo: lambda a, v: a == v,
-    GreaterThan: lambda a, v: a > v,
-    GreaterThanOrEqual: lambda a, v: a >= v,
-    LessThan: lambda a, v: a < v,
-    LessThanOrEqual: lambda a, v: a <= v,
-}
 
 
 def _visible(name: str) -> bool:
     base = name.rsplit("/", 1)[-1]
-    return not (base.startswith("_") or base.startswith("."))
+    return not base.startswith(("_", "."))
 
 
 def list_vector_files(path: str) -> list[tuple[str, int]]:
@@ -86,10 +73,39 @@ def list_vector_files(path: str) -> list[tuple[str, int]]:
 
 
 @dataclass
-class Vec3Split(InputPartition):
+class Vec3File:
     path: str
+    rows: int  # plane length
     block_id: int
-    rows: int  # rows in the whole file (plane length)
+    matrix_id: int = 0
+    ids: str | None = None  # file of the row ids; without, a row's id is its position
+
+
+def read_manifest(path: str) -> list[Vec3File] | None:
+    """The files that the folder's manifest names, or None if it has none."""
+    from pyarrow import fs as pafs
+
+    filesystem, root = _filesystem(path)
+    name = f"{root}/{MANIFEST}"
+    if filesystem.get_file_info(name).type != pafs.FileType.File:
+        return None
+    with filesystem.open_input_stream(name) as f:
+        entries = json.loads(f.read())
+    prefix = uri_prefix(path, root)
+    return [Vec3File(f"{prefix}{root}/{e['name']}", e["rows"], e["block_id"], e["matrix_id"], f"{prefix}{root}/{e['name']}.ids")
+            for e in entries]
+
+
+def vector_files(path: str) -> list[Vec3File]:
+    listed = read_manifest(path)
+    if listed is not None:
+        return listed
+    return [Vec3File(p, size // DOUBLE_BYTES // 3, k) for k, (p, size) in enumerate(list_vector_files(path))]
+
+
+@dataclass
+class Vec3Split(InputPartition):
+    file: Vec3File
     start: int
     end: int
 
@@ -102,58 +118,26 @@ class Vec3Reader(DataSourceReader):
         self.rows_per_split = int(options.get("rowsPerSplit", DEFAULT_ROWS_PER_SPLIT))
         self.batch_rows = int(options.get("batchRows", DEFAULT_BATCH_ROWS))
         self.fields = [f.name for f in schema.fields]
-        unknown = set(self.fields) - {"path", "block_id", "row_id", *PLANES}
+        unknown = set(self.fields) - {"path", "block_id", "matrix_id", "row_id", *PLANES}
         if unknown:
             raise ValueError(f"vec3: unknown columns {sorted(unknown)}")
-        self.block_tests: list = []  # (compare, value) or ("in", set)
-        self.row_lo, self.row_hi = 0, None  # row_id range [lo, hi)
-
-    def pushFilters(self, filters):
-        for f in filters:
-            attr = getattr(f, "attribute", None)
-            name = attr[0] if attr and len(attr) == 1 else None
-            if isinstance(f, IsNotNull) and name in ("block_id", "row_id"):
-                continue  # never null
-            if name == "block_id" and type(f) in _COMPARE and isinstance(f.value, int):
-                self.block_tests.append((_COMPARE[type(f)], f.value))
-                continue
-            if name == "block_id" and isinstance(f, In) and all(isinstance(v, int) for v in f.value):
-                self.block_tests.append(("in", frozenset(f.value)))
-                continue
-            if name == "row_id" and type(f) in _COMPARE and isinstance(f.value, int):
-                self._narrow_rows(type(f), f.value)
-                continue
-            yield f
-
-    def _narrow_rows(self, kind, v: int) -> None:
-        lo, hi = {EqualTo: (v, v + 1), GreaterThan: (v + 1, None), GreaterThanOrEqual: (v, None),
-                  LessThan: (0, v), LessThanOrEqual: (0, v + 1)}[kind]
-        self.row_lo = max(self.row_lo, lo)
-        if hi is not None:
-            self.row_hi = hi if self.row_hi is None else min(self.row_hi, hi)
-
-    def _block_wanted(self, block_id: int) -> bool:
-        for test, v in self.block_tests:
-            if (block_id not in v) if test == "in" else not test(block_id, v):
-                return False
-        return True
+        blocks = options.get("blocks")
+        self.blocks = {int(b) for b in blocks.split(",") if b.strip()} if blocks is not None else None
 
     def partitions(self):
         splits = []
-        for block_id, (path, size) in enumerate(list_vector_files(self.path)):
-            if not self._block_wanted(block_id):
+        for file in vector_files(self.path):
+            if self.blocks is not None and file.block_id not in self.blocks:
                 continue
-            rows = (size // DOUBLE_BYTES) // 3
-            lo = max(0, self.row_lo)
-            hi = rows if self.row_hi is None else min(rows, self.row_hi)
-            for start in range(lo, hi, self.rows_per_split):
-                splits.append(Vec3Split(path, block_id, rows, start, min(hi, start + self.rows_per_split)))
-        return splits or [Vec3Split("", -1, 0, 0, 0)]
+            for start in range(0, file.rows, self.rows_per_split):
+                splits.append(Vec3Split(file, start, min(file.rows, start + self.rows_per_split)))
+        return splits or [Vec3Split(Vec3File("", 0, -1), 0, 0)]
 
     def read(self, split: Vec3Split):
         if split.end <= split.start:
             return
-        filesystem, local = _filesystem(split.path)
+        file = split.file
+        filesystem, local = _filesystem(file.path)
         planes = [p for p in PLANES if p in self.fields]
         with filesystem.open_input_file(local) as f:
             for lo in range(split.start, split.end, self.batch_rows):
@@ -161,21 +145,32 @@ class Vec3Reader(DataSourceReader):
                 n = hi - lo
                 cols = {}
                 for p in planes:
-                    offset = (PLANES.index(p) * split.rows + lo) * DOUBLE_BYTES
+                    offset = (PLANES.index(p) * file.rows + lo) * DOUBLE_BYTES
                     raw = f.read_at(n * DOUBLE_BYTES, offset)
                     cols[p] = pa.array(np.frombuffer(raw, dtype=">f8").astype(np.float64))
                 if "path" in self.fields:
-                    cols["path"] = pa.array([split.path] * n, pa.string())
+                    cols["path"] = pa.array([file.path] * n, pa.string())
                 if "block_id" in self.fields:
-                    cols["block_id"] = pa.array(np.full(n, split.block_id, dtype=np.int64))
+                    cols["block_id"] = pa.array(np.full(n, file.block_id, dtype=np.int64))
+                if "matrix_id" in self.fields:
+                    cols["matrix_id"] = pa.array(np.full(n, file.matrix_id, dtype=np.int32))
                 if "row_id" in self.fields:
-                    cols["row_id"] = pa.array(np.arange(lo, hi, dtype=np.int64))
+                    cols["row_id"] = pa.array(self._row_ids(file, lo, hi))
                 yield pa.RecordBatch.from_arrays([cols[c] for c in self.fields], names=self.fields)
 
 
+    @staticmethod
+    def _row_ids(file: Vec3File, lo: int, hi: int) -> np.ndarray:
+        if file.ids is None:
+            return np.arange(lo, hi, dtype=np.int64)
+        filesystem, local = _filesystem(file.ids)
+        with filesystem.open_input_file(local) as f:
+            return np.frombuffer(f.read_at((hi - lo) * 8, lo * 8), dtype=">i8").astype(np.int64)
+
+
 @dataclass
 class Vec3Written(WriterCommitMessage):
-    files: list  # (temp_path, final_path, rows)
+    files: list  # manifest entries
 
 
 class Vec3Writer(DataSourceArrowWriter):
@@ -187,57 +182,90 @@ class Vec3Writer(DataSourceArrowWriter):
         self.max_rows = int(options.get("maxRowsPerFile", DEFAULT_MAX_ROWS_PER_FILE))
         self.job = uuid.uuid4().hex[:8]
 
-    def _flush(self, filesystem, root, planes, rows, pid, attempt, seq):
-        name = f"part-{pid:05d}-{seq:04d}-{self.job}.bin"
-        temp = f"{root}/_temporary/{self.job}-{pid:05d}-{seq:04d}-{attempt}.bin"
-        with filesystem.open_output_stream(temp) as out:
+    def _flush(self, filesystem, root, run, key, tag, seq):
+        """Files of one run of rows of a matrix: the planes, and the row ids beside them."""
+        name = f"part-{tag}-{seq:04d}-{self.job}.bin"
+        with filesystem.open_output_stream(f"{root}/{name}") as out:
             for p in PLANES:
-                for chunk in planes[p]:
-                    out.write(chunk.tobytes())
-        return temp, f"{root}/{name}", rows
+                for part in run:
+                    out.write(part.column(p).to_numpy(zero_copy_only=False).astype(">f8", copy=False).tobytes())
+        with filesystem.open_output_stream(f"{root}/{name}.ids") as out:
+            for part in run:
+                out.write(part.column("row_id").to_numpy(zero_copy_only=False).astype(">i8").tobytes())
+        return {"name": name, "rows": sum(p.num_rows for p in run), "block_id": key[0], "matrix_id": key[1]}
 
     def write(self, batches):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        pid = ctx.partitionId() if ctx else 0
-        attempt = ctx.attemptNumber() if ctx else 0
+        tag = f"{ctx.partitionId():05d}-{ctx.attemptNumber()}" if ctx else "00000-0"
         filesystem, root = _filesystem(self.path)
-        filesystem.create_dir(f"{root}/_temporary", recursive=True)
-        files, planes, rows = [], {p: [] for p in PLANES}, 0
+        filesystem.create_dir(root, recursive=True)
+        files, run, key, rows = [], [], None, 0
         for batch in batches:
-            offset = 0
-            while offset < batch.num_rows:
-                take = min(batch.num_rows - offset, self.max_rows - rows)
-                part = batch.slice(offset, take)
-                for p in PLANES:
-                    planes[p].append(part.column(p).to_numpy(zero_copy_only=False).astype(">f8", copy=False))
-                rows += take
-                offset += take
-                if rows == self.max_rows:
-                    files.append(self._flush(filesystem, root, planes, rows, pid, attempt, len(files)))
-                    planes, rows = {p: [] for p in PLANES}, 0
+            for p in PLANES:
+                if batch.column(p).null_count:
+                    raise ValueError(f"vec3: coordinate {p} is NULL, which the file format cannot hold")
+            batch = self._with_keys(batch, tag, sum(f["rows"] for f in files) + rows)
+            block, matrix = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block_id", "matrix_id"))
+            edge = np.flatnonzero((block[1:] != block[:-1]) | (matrix[1:] != matrix[:-1])) + 1
+            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
+                while lo < hi:
+                    here = (int(block[lo]), int(matrix[lo]))
+                    if rows and (here != key or rows >= self.max_rows):
+                        files.append(self._flush(filesystem, root, run, key, tag, len(files)))
+                        run, rows = [], 0
+                    key = here
+                    take = min(hi - lo, self.max_rows - rows)
+                    run.append(batch.slice(lo, take))
+                    rows += take
+                    lo += take
         if rows:
-            files.append(self._flush(filesystem, root, planes, rows, pid, attempt, len(files)))
+            files.append(self._flush(filesystem, root, run, key, tag, len(files)))
         return Vec3Written(files)
 
+    def _with_keys(self, batch, tag, before):
+        """Rows without block, matrix or row id: the task is a block of one matrix, ids are positions."""
+        given = {n: batch.column(n) for n in batch.schema.names}
+        n = batch.num_rows
+        default = {"block_id": np.full(n, int(tag.split("-")[0]), np.int64), "matrix_id": np.zeros(n, np.int32),
+                   "row_id": np.arange(before, before + n, dtype=np.int64)}
+        for c, v in default.items():
+            if c not in given:
+                given[c] = pa.array(v)
+            elif given[c].null_count:
+                raise ValueError(f"vec3: {c} is NULL; a file belongs to one block and matrix")
+        return pa.RecordBatch.from_pydict(given)
+
     def commit(self, messages):
         filesystem, root = _filesystem(self.path)
-        if self.overwrite:
-            for path, _ in list_vector_files(self.path):
-                if path.endswith(".bin"):
-                    filesystem.delete_file(_filesystem(path)[1])
-        for m in messages:
-            for temp, final, _rows in (m.files if m is not None else []):
-                filesystem.move(temp, final)
-        filesystem.delete_dir(f"{root}/_temporary")
+        filesystem.create_dir(root, recursive=True)
+        entries = [f for m in messages if m is not None for f in m.files]
+        before = read_manifest(self.path) if not self.overwrite else None
+        if before:
+            entries = [{"name": f.path.rsplit("/", 1)[-1], "rows": f.rows, "block_id": f.block_id, "matrix_id": f.matrix_id} for f in before] + entries
+        temp = f"{root}/.{MANIFEST}.{self.job}"
+        with filesystem.open_output_stream(temp) as out:
+            out.write(json.dumps(sorted(entries, key=lambda e: (e["block_id"], e["matrix_id"], e["name"]))).encode())
+        filesystem.move(temp, f"{root}/{MANIFEST}")
+        # what the manifest does not name: replaced files, files of lost attempts of this job
+        self._remove(filesystem, {e["name"] for e in entries}, everything=self.overwrite)
 
     def abort(self, messages):
-        filesystem, root = _filesystem(self.path)
+        filesystem, _ = _filesystem(self.path)
+        self._remove(filesystem, set(), everything=False)
+
+    def _remove(self, filesystem, keep: set, everything: bool) -> None:
+        """Delete data files that are not kept: of this job only, or all of them."""
         try:
-            filesystem.delete_dir(f"{root}/_temporary")
-        except OSError:
-            pass
+            listed = list_vector_files(self.path)
+        except FileNotFoundError:
+            return
+        for path, _ in listed:
+            name = path.rsplit("/", 1)[-1]
+            own = f"-{self.job}.bin" in name
+            if name.removesuffix(".ids") not in keep and (own or everything and ".bin" in name):
+                filesystem.delete_file(_filesystem(path)[1])
 
 
 class Vec3DataSource(DataSource):
@@ -259,10 +287,5 @@ class Vec3DataSource(DataSource):
 
 
 def register(spark) -> None:
-    """Make ``spark.read.format("vec3")`` and ``df.write.format("vec3")`` available.
-
-    Also enables filter pushdown for Python data sources (off by default in
-    Spark 4.1; a source that implements it must have it on).
-    """
-    spark.conf.set(PUSHDOWN_CONF, "true")
+    """Make ``spark.read.format("vec3")`` and ``df.write.format("vec3")`` available."""
     spark.dataSource.register(Vec3DataSource)
