@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from vecflow.plans import catalog
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -35,9 +36,9 @@ def _digest(cols, rows):
     return len(lines), hashlib.sha1("\n".join(lines).encode()).hexdigest()
 
 
-def test_every_query_has_an_oracle_or_is_timing_only():
-    missing = set(E.queries()) - set(E.oracle_sql())
-    assert missing == {"timed_run_report"}
+def test_every_query_has_an_oracle():
+    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) <= set(E.queries()) and set(catalog.ORACLE_SQL) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -46,7 +47,7 @@ def test_entry_smoke(spark):
     assert len(rows) == 1 and df.columns == ["sum_of_block_means_x", "sum_of_block_means_y", "sum_of_block_means_z"]
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
     rows = [tuple(r) for r in df.collect()]
@@ -55,7 +56,15 @@ def test_query_matches_oracle(spark, con, name):
     assert _digest(df.columns, rows) == _digest(rel.columns, rel.fetchall())
 
 
-def test_timed_run_report_runs(spark):
-    df = E.queries()["timed_run_report"](spark, SF_SMALL)
-    r = df.first()
-    assert df.count() == 1 and r.map_time >= 0 and r.job_id == "lineitem-eager"
+def test_entry_without_the_optional_part(monkeypatch):
+    """Only the absence of the part itself is passed over; a failing import inside it is not."""
+    def gone(name):
+        raise ModuleNotFoundError(f"No module named {name!r}", name=name.removesuffix(".queries"))
+
+    monkeypatch.setattr(E.importlib, "import_module", gone)
+    assert E._optional("vecflow.llm.queries") is None and E._optional("corpus_pipeline") is None
+    with pytest.raises(ModuleNotFoundError):
+        E._optional("numpy")
+    monkeypatch.setattr(E, "_llm", None)
+    monkeypatch.setattr(E, "_pipeline", None)
+    assert set(E.queries()) == set(catalog.QUERIES) and set(E.oracle_sql()) == set(catalog.ORACLE_SQL)

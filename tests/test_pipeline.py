@@ -44,3 +44,42 @@ def test_disk_only_and_extra_columns(spark):
     assert a.counts == b.counts == {"generate": 200, "shift": 200, "average": 2}
     for k in a.result:
         assert math.isclose(a.result[k], b.result[k], rel_tol=1e-12)
+
+
+def test_dst_keeps_every_column_and_reads_the_source_once(spark, tmp_dir):
+    from pyspark.sql import functions as F
+
+    from vecflow.sources.generate import generate_vectors
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    v = generate_vectors(spark, blocks=1, block_size=2, multiplier=50, num_partitions=3).withColumn("x", counted("x"))
+    dst = os.path.join(tmp_dir, "dst")
+    run = run_pipeline(spark, v, dst=dst)
+    out = spark.read.parquet(os.path.join(dst, "results"))
+    assert out.columns == ["block_id", "matrix_id", "row_id", "x", "y", "z"] and out.count() == 200
+    assert out.select("row_id").distinct().count() == 50 and seen.value == 200
+    r = run.report.first()
+    assert (r.blocks, r.block_size, r.generate, r.nodes) == (None, None, None, None)  # not known of a given DataFrame
+
+
+def test_checkpointed_phases_are_computed_once(spark):
+    from pyspark.sql import functions as F
+
+    from vecflow.sources.generate import generate_vectors
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    v = generate_vectors(spark, blocks=0, block_size=2, multiplier=50, num_partitions=2).withColumn("x", counted("x"))
+    run_pipeline(spark, v, checkpoint=True)
+    assert seen.value == 100

@@ -53,3 +53,19 @@ def test_series_and_points(spark):
     pts = rq.scaling_points(_results(spark))
     assert pts.count() == 3 * 3 * 2
     assert rq.scaling_points(_results(spark), metric="avg_time").count() == 6
+
+
+def test_one_configuration_sorts_in_many_tasks(spark):
+    """Runs that are equal in all published sort keys must not end up in one task."""
+    from pyspark.sql import functions as F
+
+    same = spark.range(0, 20_000, 1, 8).selectExpr(
+        "cast(id as int) id", "'e' experiment_id", "1 generate", "4 nodes", "12 cores", "4 nparts", "48 blocks", "128 block_size",
+        "1e9 map_time", "2e9 shift_time", "3e9 avg_time", "concat('j', id) job_id", "'' src", "'' dst")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for q in (rq.overall_sorted, rq.overall_sorted_gb, rq.overall_sum_gb, rq.weak_series, rq.strong_series):
+            per = [r["count"] for r in q(same).groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(per) == 20_000 and max(per) < 10_000, (q.__name__, per)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

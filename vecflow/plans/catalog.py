@@ -16,17 +16,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vecflow import operators as ops
+from vecflow.operators.joins import join_key_counts
 from vecflow.plans import report_queries as rq
 from vecflow.plans.pipeline import run_pipeline
 from vecflow.session import ensure_checkpoint_dir, scratch_dir, ship_package
 from vecflow.sinks.export import export_text, read_text
 from vecflow.sinks.report_files import write_report_files
 from vecflow.sinks.reports import write_reports
-from vecflow.sinks.table import results_table
+from vecflow.sinks.table import results_table, write_results_table
 from vecflow.sinks.vectors import write_vec3, write_vectors
 from vecflow.sources.generate import generate_vectors, uniform_draws
 from vecflow.sources.load import read_vec3
@@ -196,9 +197,8 @@ def q_generate_structure(spark, sf_dir):
         F.max("block_id").alias("blocks"), F.max("matrix_id").alias("block_size"), F.count(F.lit(1)).alias("rows")
     ).first()
     blocks, block_size = int(p["blocks"]), int(p["block_size"])
-    multiplier = int(p["rows"]) // ((blocks + 1) * block_size)
-    g = generate_vectors(spark, blocks=blocks, block_size=block_size, multiplier=multiplier,
-                         num_partitions=spark.sparkContext.defaultParallelism)
+    multiplier = -(-int(p["rows"]) // ((blocks + 1) * block_size))  # the last matrices hold what is left
+    g = generate_vectors(spark, blocks=blocks, block_size=block_size, multiplier=multiplier, rows=int(p["rows"]))
     in_range = F.lit(True)
     for c in XYZ:
         in_range = in_range & (F.min(c) >= -1000.0) & (F.max(c) < 1000.0)
@@ -206,18 +206,19 @@ def q_generate_structure(spark, sf_dir):
 
 
 def q_uniform_buckets(spark, sf_dir):
-    """One draw in [-3, 3) per event; every truncated bucket -2..2 is hit."""
+    """One draw in [-3, 3) per event; every truncated bucket -2..2 holds its share of
+    the draws (a third for bucket 0, a sixth for the others) within six standard deviations."""
     e = table(spark, sf_dir, "events").select("event_id")
     d = uniform_draws(e, "event_id", -3.0, 3.0, seed=UNIFORM_SEED)
-    return d.groupBy(F.col("u").cast("int").alias("bucket")).agg((F.count(F.lit(1)) > 0).alias("hit"))
+    n = d.groupBy(F.col("u").cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))  # five rows
+    total = F.sum("n").over(Window.partitionBy())
+    p = F.when(F.col("bucket") == 0, 1 / 3).otherwise(1 / 6)
+    return n.select("bucket", (F.abs(F.col("n") - total * p) <= 6 * F.sqrt(total * p * (1 - p))).alias("fair"))
 
 
 def q_vec3_roundtrip(spark, sf_dir):
     """S3 (+ writer): lineitem vectors as planar files, read back."""
-    _prepare(spark)
-    path = scratch_dir(spark, "vec3")
-    write_vec3(vectors(spark, sf_dir), path)
-    return read_vec3(spark, path, columns=XYZ)
+    return read_vec3(spark, _written_vec3(spark, sf_dir), columns=("block_id", "matrix_id", "row_id", *XYZ))
 
 
 def q_vectors_sink_roundtrip(spark, sf_dir):
@@ -227,21 +228,60 @@ def q_vectors_sink_roundtrip(spark, sf_dir):
 
 
 def q_timed_run_report(spark, sf_dir):
-    """Timings of an eager timed run as one results-shaped row (rows-only check)."""
+    """What is certain of the reports of timed runs, eager and lazy: a row for each
+    phase with a time of at least 0, overall as their sum, settings that are known or empty."""
     _prepare(spark)
-    run = run_pipeline(spark, vectors(spark, sf_dir), lazy=False, job_id="lineitem-eager")
-    return run.report
+    out = []
+    for mode, lazy in (("eager", False), ("lazy", True)):
+        run = run_pipeline(spark, vectors(spark, sf_dir), lazy=lazy, job_id=f"lineitem-{mode}")
+        phases = {p: run.timings[p] for p in ("map", "shift", "average", "reduce")}
+        whole = abs(run.timings["overall"] - sum(phases.values())) < 1e-9
+        rows = spark.createDataFrame([(p, bool(t >= 0)) for p, t in phases.items()] + [("overall", whole)], "phase string, time_ok boolean")
+        kept = run.report.select("experiment_id", "job_id", "generate", "blocks", "src", "dst", "lazy")
+        out.append(rows.join(F.broadcast(kept)))  # the report is one row
+    return out[0].unionByName(out[1])
+
+
+def _written_vec3(spark, sf_dir):
+    _prepare(spark)
+    path = scratch_dir(spark, "vec3")
+    write_vec3(vectors(spark, sf_dir), path)
+    return path
+
+
+def q_timed_run_src(spark, sf_dir):
+    """S4 + X3: the pipeline's ``src`` mode over vector files of lineitem, eager and lazy."""
+    path = _written_vec3(spark, sf_dir)
+    return _run_results(spark, [(m, run_pipeline(spark, src=path, lazy=m == "lazy")) for m in ("eager", "lazy")])
+
+
+def q_pipeline_dst(spark, sf_dir):
+    """K1 in the pipeline: the shifted vectors that a run leaves in ``dst``, all columns."""
+    _prepare(spark)
+    dst = scratch_dir(spark, "pipeline-dst")
+    run_pipeline(spark, vectors(spark, sf_dir), dst=dst)
+    return spark.read.parquet(f"{dst}/results")
+
+
+def q_scale_vectors_nd(spark, sf_dir):
+    """P3 on arrays: 64-wide vectors divided by their label's number of vectors."""
+    _prepare(spark)
+    emb = table(spark, sf_dir, "embeddings")
+    counts = emb.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    j = join_key_counts(emb, counts, ["label"], "n")
+    return ops.vector_scale(j, F.col("n"), array_col="embedding", out_col="v", width=WIDE).select("vec_id", "label", "v")
 
 
 def q_timed_run_result(spark, sf_dir):
     """X3's answer and A7's phase counts from whole timed runs, eager and lazy
     (the timings themselves are in ``timed_run_report``)."""
     _prepare(spark)
-    rows = []
-    for mode, lazy in (("eager", False), ("lazy", True)):
-        run = run_pipeline(spark, vectors(spark, sf_dir), lazy=lazy)
-        rows.append((mode, *[run.result[f"sum_of_block_means_{c}"] for c in XYZ],
-                     run.counts["generate"], run.counts["shift"], run.counts["average"]))
+    return _run_results(spark, [(m, run_pipeline(spark, vectors(spark, sf_dir), lazy=m == "lazy")) for m in ("eager", "lazy")])
+
+
+def _run_results(spark, runs):
+    rows = [(mode, *[run.result[f"sum_of_block_means_{c}"] for c in XYZ],
+             run.counts["generate"], run.counts["shift"], run.counts["average"]) for mode, run in runs]
     df = spark.createDataFrame(rows, "mode string, sum_of_block_means_x double, sum_of_block_means_y double, "
                                      "sum_of_block_means_z double, generate_rows bigint, shift_rows bigint, "
                                      "average_rows bigint")
@@ -269,6 +309,7 @@ def q_report_xml(spark, sf_dir):
 
 
 def _native_reports(spark, sf_dir, fmt):
+    _prepare(spark)
     path = scratch_dir(spark, f"reports-native-{fmt}")
     r = runs(spark, sf_dir).withColumn("__version", F.when(F.col("id") % 2 == 0, 1).otherwise(2))
     write_reports(r, path, fmt, version="__version")
@@ -286,8 +327,10 @@ def q_report_xml_native(spark, sf_dir):
 
 
 def q_results_table(spark, sf_dir):
-    """K4: the results table with ids 0..n-1 in job_id order."""
-    return results_table(_written_reports(spark, sf_dir, "json"))
+    """K4: the results table with ids 0..n-1 in job_id order, from record files, written and read back."""
+    path = scratch_dir(spark, "results")
+    write_results_table(results_table(_native_reports(spark, sf_dir, "json")), path)
+    return spark.read.parquet(path)
 
 
 def q_report_stream(spark, sf_dir):
@@ -338,13 +381,23 @@ def q_distinct_gb(spark, sf_dir):
     return rq.distinct_gb(runs(spark, sf_dir))
 
 
+def q_weak_series_for_blocks(spark, sf_dir):
+    """one weak series, ``blocks = 48 and nparts = 4``."""
+    return rq.series_for(runs(spark, sf_dir), "weak", 48)
+
+
+def q_strong_series_for_gb(spark, sf_dir):
+    """one strong series, ``gb = 6 and nparts = 4`` with gb a select alias."""
+    return rq.series_for(runs(spark, sf_dir), "strong", 6)
+
+
 def q_weak_series(spark, sf_dir):
-    """G1 + F2: weak-scaling series."""
+    """G1: weak-scaling series."""
     return rq.weak_series(runs(spark, sf_dir))
 
 
 def q_strong_series(spark, sf_dir):
-    """G2 + F3: strong-scaling series."""
+    """Strong-scaling series."""
     return rq.strong_series(runs(spark, sf_dir))
 
 
@@ -373,12 +426,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scale_vectors": q_scale_vectors,
     "vector_shift_nd": q_vector_shift_nd,
     "vector_sum_nd": q_vector_sum_nd,
+    "scale_vectors_nd": q_scale_vectors_nd,
     "generate_structure": q_generate_structure,
     "uniform_buckets": q_uniform_buckets,
     "vec3_roundtrip": q_vec3_roundtrip,
     "vectors_sink_roundtrip": q_vectors_sink_roundtrip,
     "timed_run_report": q_timed_run_report,
     "timed_run_result": q_timed_run_result,
+    "timed_run_src": q_timed_run_src,
+    "pipeline_dst": q_pipeline_dst,
     "reports_flatten": q_reports_flatten,
     "report_xml": q_report_xml,
     "report_json_native": q_report_json_native,
@@ -392,6 +448,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "runs_by_blocks_and_size": q_runs_by_blocks_and_size,
     "distinct_blocks": q_distinct_blocks,
     "distinct_gb": q_distinct_gb,
+    "weak_series_for_blocks": q_weak_series_for_blocks,
+    "strong_series_for_gb": q_strong_series_for_gb,
     "weak_series": q_weak_series,
     "strong_series": q_strong_series,
     "scaling_points": q_scaling_points,
@@ -435,12 +493,26 @@ ORACLE_SQL: dict[str, str] = {
        SELECT label, unnest(CAST(embedding AS DOUBLE[])) AS e, generate_subscripts(embedding, 1) AS pos
        FROM embeddings) GROUP BY label, pos""",
     "generate_structure": _with(SQL_V, """p AS (SELECT max(block_id) AS blocks, max(matrix_id) AS block_size,
-       count(*) // ((max(block_id) + 1) * max(matrix_id)) AS multiplier FROM v)""")
-    + """SELECT CAST(b.block_id AS BIGINT) AS block_id, CAST(mm.matrix_id AS INTEGER) AS matrix_id,
-       CAST(p.multiplier AS BIGINT) AS n, true AS in_range
-       FROM p, range(0, p.blocks + 1) b(block_id), range(0, p.block_size) mm(matrix_id)""",
-    "uniform_buckets": "SELECT CAST(b AS INTEGER) AS bucket, true AS hit FROM range(-2, 3) t(b)",
-    "vec3_roundtrip": "SELECT l_quantity AS x, l_extendedprice AS y, l_discount AS z FROM lineitem",
+       count(*) AS n, CAST(ceil(count(*) / ((max(block_id) + 1) * max(matrix_id))) AS BIGINT) AS multiplier FROM v)""")
+    + """SELECT block_id, matrix_id, n, true AS in_range FROM (
+       SELECT CAST(b.block_id AS BIGINT) AS block_id, CAST(mm.matrix_id AS INTEGER) AS matrix_id,
+       CAST(least(p.multiplier, p.n - (b.block_id * p.block_size + mm.matrix_id) * p.multiplier) AS BIGINT) AS n
+       FROM p, range(0, p.blocks + 1) b(block_id), range(0, p.block_size) mm(matrix_id)) WHERE n > 0""",
+    "uniform_buckets": "SELECT CAST(b AS INTEGER) AS bucket, true AS fair FROM range(-2, 3) t(b)",
+    "vec3_roundtrip": _with(SQL_V) + "SELECT * FROM v",
+    "pipeline_dst": SQL_SHIFT,
+    "scale_vectors_nd": """SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e / n) AS v
+       FROM embeddings JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)""",
+    "timed_run_report": """SELECT p.phase, true AS time_ok, 'vecflow-timed-run' AS experiment_id, 'lineitem-' || m.mode AS job_id,
+       CAST(NULL AS INTEGER) AS generate, CAST(NULL AS INTEGER) AS blocks, '' AS src, '' AS dst, m.lazy AS lazy
+       FROM (VALUES ('map'), ('shift'), ('average'), ('reduce'), ('overall')) p(phase), (VALUES ('eager', 0), ('lazy', 1)) m(mode, lazy)
+       WHERE (SELECT count(*) FROM lineitem) > 0""",
+    "weak_series_for_blocks": _with(SQL_RUNS) + """SELECT blocks, nodes, map_time / 1E9 AS map_time,
+       shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time FROM runs WHERE blocks = 48 AND nparts = 4 ORDER BY nodes""",
+    "strong_series_for_gb": _with(SQL_RUNS) + """SELECT gb, nodes, map_time, shift_time, avg_time FROM (
+       SELECT (CAST(blocks AS BIGINT) * block_size) // 1024 AS gb, nodes, map_time / 1E9 AS map_time,
+       shift_time / 1E9 AS shift_time, avg_time / 1E9 AS avg_time, nparts FROM runs) s
+       WHERE gb = 6 AND nparts = 4 ORDER BY nodes""",
     "vectors_sink_roundtrip": SQL_SHIFT,
     "reports_flatten": SQL_FLAT,
     "report_xml": SQL_FLAT,
@@ -482,3 +554,4 @@ ORACLE_SQL["timed_run_result"] = _with(SQL_V, SQL_SH, SQL_M, SQL_B, "r AS (SELEC
     f"round(sum({c}), {DIGITS}) AS sum_of_block_means_{c}" for c in XYZ) + """,
        (SELECT count(*) FROM sh) AS generate_rows, (SELECT count(*) FROM sh) AS shift_rows,
        count(*) AS average_rows FROM b)""") + """SELECT m.mode, r.* FROM r, (VALUES ('eager'), ('lazy')) m(mode)"""
+ORACLE_SQL["timed_run_src"] = ORACLE_SQL["timed_run_result"]

@@ -3,10 +3,8 @@
 Eager mode (the reference default) materialises every phase and counts it,
 releasing the previous phase once the next is stored; each phase's time then
 is the time of its own job. Lazy mode builds the whole plan and runs it once
-at the reduce, where Catalyst fuses source, shift and the partial aggregation
-into one codegen stage; the row count rides along in the aggregation (the sum
-of the matrix counts -- shift is one-to-one), so it costs no extra pass and no
-metrics node in the fused stage.
+at the reduce; the rows of each phase are counted where they pass (observed
+metrics), so the counts cost no extra pass and none is inferred from another.
 
 Materialisation is ``persist(storage_level)``, ``MEMORY_AND_DISK`` by default
 (recomputable after executor loss -- the generator is deterministic, so
@@ -21,7 +19,7 @@ import uuid
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from vecflow.functions.report_columns import NS_PER_S
@@ -32,7 +30,7 @@ from vecflow.session import ensure_checkpoint_dir
 from vecflow.sinks.report_files import DEFAULT_EXPERIMENT, write_report_files
 from vecflow.sinks.vectors import write_vectors
 from vecflow.sources.generate import DEFAULT_CORES, MEGA_MULTIPLIER
-from vecflow.sources.load import load_vectors
+from vecflow.sources.load import VECTOR_COLUMNS, load_vectors
 
 PHASES = ("map", "shift", "average", "reduce")
 
@@ -80,15 +78,16 @@ def _materialise(df: DataFrame, use_checkpoint: bool,
     """Store a phase and count it (the reference's persist + count)."""
     if use_checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
-        stored = df.checkpoint(eager=False)
+        stored = df.checkpoint(eager=True)  # computed once; the count reads what is stored
         return stored, stored.count()
     with _cache_settings(df.sparkSession):
         stored = df.persist(level)
         return stored, stored.count()
 
 
-# The phases read only these columns; anything else is dropped before caching.
+# The phases read only these columns; without ``dst`` anything else is dropped before caching.
 PHASE_COLUMNS = ("block_id", "matrix_id", "x", "y", "z")
+UNKNOWN = None  # run settings that a given DataFrame does not tell
 
 
 def run_pipeline(
@@ -127,17 +126,23 @@ def run_pipeline(
     if vectors is not None:
         a = vectors
     else:  # S4: generate wins over src; neither raises
-        a = load_vectors(spark, generate=generate, src=src, blocks=blocks, block_size=block_size,
+        a = load_vectors(spark, generate=generate, src=src, columns=VECTOR_COLUMNS if dst else PHASE_COLUMNS, blocks=blocks, block_size=block_size,
                          multiplier=multiplier, nodes=nodes, cores=cores, nparts=nparts, seed=seed)
-    a = a.select(*PHASE_COLUMNS)
-    if not lazy:
+    if not dst:
+        a = a.select(*PHASE_COLUMNS)
+    seen_a, seen_b = Observation(), Observation()
+    if lazy:
+        a = a.observe(seen_a, F.count(F.lit(1)).alias("rows"))
+    else:
         a, counts["generate"] = _materialise(a, checkpoint, storage_level)
     timings["map"] = time.perf_counter() - t0
 
     # --- shift ---
     t0 = time.perf_counter()
     b = shift(a, displacement)
-    if not lazy:
+    if lazy:
+        b = b.observe(seen_b, F.count(F.lit(1)).alias("rows"))
+    else:
         b, counts["shift"] = _materialise(b, checkpoint, storage_level)
         if not checkpoint:
             a.unpersist()
@@ -145,10 +150,10 @@ def run_pipeline(
 
     # --- average ---
     t0 = time.perf_counter()
-    c = block_means(b, method, with_rows=lazy)
+    c = block_means(b, method)
     if not lazy:
         c, counts["average"] = _materialise(c, checkpoint, storage_level)
-        if not checkpoint:
+        if not checkpoint and not dst:
             b.unpersist()
     timings["average"] = time.perf_counter() - t0
 
@@ -157,22 +162,25 @@ def run_pipeline(
     reduced = reduce_block_means(c)
     if lazy:
         reduced = c.agg(*[F.sum(x).alias(f"sum_of_block_means_{x}") for x in ("x", "y", "z")],
-                        F.sum("n_rows").alias("__rows"), F.count(F.lit(1)).alias("__blocks"))
+                        F.count(F.lit(1)).alias("__blocks"))
     result = reduced.first().asDict()
     timings["reduce"] = time.perf_counter() - t0
     if lazy:
-        rows = int(result.pop("__rows") or 0)
-        counts.update(generate=rows, shift=rows, average=int(result.pop("__blocks")))
+        counts.update(generate=seen_a.get["rows"], shift=seen_b.get["rows"], average=int(result.pop("__blocks")))
     timings["overall"] = sum(timings[p] for p in PHASES)
 
-    if dst:
+    if dst:  # the stored shift phase in eager mode
         write_vectors(b, dst)
+        if not lazy and not checkpoint:
+            b.unpersist()
 
     job_id = job_id or uuid.uuid4().hex[:12]
     ns = {p: float(round(timings[p] * NS_PER_S)) for p in PHASES}
+    if vectors is not None:
+        nodes = cores = nparts = blocks = block_size = multiplier = UNKNOWN
     report = spark.createDataFrame(
         [(
-            experiment_id, 1 if generate else 0, nodes, cores, nparts, blocks, block_size,
+            experiment_id, UNKNOWN if vectors is not None else int(bool(generate)), nodes, cores, nparts, blocks, block_size,
             ns["map"], ns["shift"], ns["average"], job_id, src or "", dst or "",
             1 if lazy else 0, multiplier, size, 1 if functional else 0,
             1 if hybrid else 0, 1 if imperative else 0, ns["reduce"],
@@ -181,10 +189,10 @@ def run_pipeline(
         "map_time double, shift_time double, avg_time double, job_id string, src string, dst string, "
         "lazy int, multiplier int, size int, functional int, hybrid int, imperative int, reduce_time double",
     )
-    if json_dir:
-        write_report_files(report, json_dir, "json", 2)
-    if xml_dir:
-        write_report_files(report, xml_dir, "xml", 2)
+    formats = [f for f, d in (("json", json_dir), ("xml", xml_dir)) if d]
+    for f, d in (("json", json_dir), ("xml", xml_dir)):
+        if d:
+            write_report_files(report, d, f, 2, formats)
     if not lazy and not checkpoint:
         c.unpersist()
     return PipelineRun(result=result, timings=timings, counts=counts, report=report, block_means=c)

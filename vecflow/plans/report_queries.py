@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from vecflow.functions.report_columns import data_gb, ns_to_s, sum_gb, total_partitions
 
 METRICS = ("map_time", "shift_time", "avg_time")
+# Every run has its own: last sort keys, so that the runs of one configuration -- all
+# equal in the published keys -- spread over many sort tasks, in a repeatable order.
+TIE = ("job_id", "id")
 
 
 def _sized(results: DataFrame) -> list:
@@ -32,21 +35,21 @@ def _sized(results: DataFrame) -> list:
 
 def overall_sorted(results: DataFrame) -> DataFrame:
     """O1: every run, ordered by nodes, cores, blocks, block_size (cores not shown)."""
-    ordered = results.orderBy("nodes", "cores", "blocks", "block_size")
+    ordered = results.orderBy("nodes", "cores", "blocks", "block_size", *TIE)
     return ordered.select(*_sized(ordered))
 
 
 def overall_sorted_gb(results: DataFrame, nparts: int = 4) -> DataFrame:
     """O2 + F1: runs with base column ``nparts = 4``, ordered by gb first."""
     runs = results.filter(F.col("nparts") == nparts).withColumn("__gb", data_gb())
-    ordered = runs.orderBy("__gb", "nodes", "cores", "blocks", "block_size")
+    ordered = runs.orderBy("__gb", "nodes", "cores", "blocks", "block_size", *TIE)
     return ordered.select(*_sized(ordered))
 
 
 def overall_sum_gb(results: DataFrame) -> DataFrame:
     """O3 (published overview): sum_gb, partitions, map/shift seconds."""
     runs = results.withColumn("sum_gb", sum_gb())
-    return runs.orderBy("sum_gb", "nodes", "cores", "blocks", "block_size").select(
+    return runs.orderBy("sum_gb", "nodes", "cores", "blocks", "block_size", *TIE).select(
         "sum_gb",
         total_partitions().alias("partitions"),
         "nodes",
@@ -82,38 +85,23 @@ def weak_series(results: DataFrame, nparts: int = 4) -> DataFrame:
 
     The reference plotted ``avg_time`` from ``shift_time``; the real column is used.
     """
-    return (
-        results.filter(F.col("nparts") == nparts)
-        .select(
-            "blocks", "nodes",
-            ns_to_s("map_time").alias("map_time"),
-            ns_to_s("shift_time").alias("shift_time"),
-            ns_to_s("avg_time").alias("avg_time"),
-        )
-        .orderBy("blocks", "nodes")
-    )
+    runs = results.filter(F.col("nparts") == nparts).orderBy("blocks", "nodes", *TIE)
+    return runs.select("blocks", "nodes", *[ns_to_s(m).alias(m) for m in METRICS])
 
 
 def strong_series(results: DataFrame, nparts: int = 4) -> DataFrame:
-    """G2 + F3: per data size ``gb`` (a select alias, so computed before the filter)."""
-    return (
-        results.filter(F.col("nparts") == nparts)
-        .select(
-            data_gb().alias("gb"), "nodes",
-            ns_to_s("map_time").alias("map_time"),
-            ns_to_s("shift_time").alias("shift_time"),
-            ns_to_s("avg_time").alias("avg_time"),
-        )
-        .orderBy("gb", "nodes")
-    )
+    """Per data size ``gb``, runs with nparts = 4 by nodes; times in seconds."""
+    runs = results.filter(F.col("nparts") == nparts).withColumn("__gb", data_gb()).orderBy("__gb", "nodes", *TIE)
+    return runs.select(F.col("__gb").alias("gb"), "nodes", *[ns_to_s(m).alias(m) for m in METRICS])
 
 
 def series_for(results: DataFrame, kind: str, key: int, nparts: int = 4) -> DataFrame:
-    """One series: ``blocks = key`` (weak) or ``gb = key`` (strong), by nodes."""
+    """One series by nodes: F2 ``blocks = key`` (weak) or F3 ``gb = key`` (strong; ``gb`` is a
+    select alias of the reference, so here the expression itself is filtered), and nparts = 4."""
     if kind == "weak":
-        return weak_series(results, nparts).filter(F.col("blocks") == key)
+        return weak_series(results.filter(F.col("blocks") == key), nparts)
     if kind == "strong":
-        return strong_series(results, nparts).filter(F.col("gb") == key)
+        return strong_series(results.filter(data_gb() == key), nparts)
     raise ValueError("kind is 'weak' or 'strong'")
 
 

@@ -7,10 +7,13 @@ folder the cluster names for checkpoints). Only when the session has none
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import SparkSession
 
 
@@ -40,13 +43,16 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder; set a local one only if unset."""
+    """Return the session's checkpoint folder; set a local one only if unset and the
+    whole session runs in one process. A cluster must name a folder that it shares."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: executors of {sc.master} share no local folder")
         conf_dir = tempfile.mkdtemp(prefix="vecflow-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -56,10 +62,34 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A new, unique folder under the shared checkpoint folder.
 
     Used for tables written to cut lineage or for round-trip checks; never a
-    machine-local temp folder on a cluster.
+    machine-local temp folder on a cluster. The folder goes when the Python
+    process ends; ``clean_scratch`` removes what was made so far.
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/vecflow-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/vecflow-{name}-{uuid.uuid4().hex[:12]}"
+    if not _SCRATCH:
+        atexit.register(_clean_at_exit, spark)
+    _SCRATCH.append(path)
+    return path
+
+
+_SCRATCH: list[str] = []
+
+
+def _clean_at_exit(spark: SparkSession) -> None:
+    # a context that was stopped before has no JVM left to ask
+    if spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Py4JError, OSError):
+            clean_scratch(spark)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete this process's scratch folders; results that still read them must be done."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    while _SCRATCH:
+        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
