@@ -162,7 +162,7 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     n_toxic, n = rows.agg(F.sum("toxic"), F.count("toxic")).first()
     if not n_toxic or n_toxic == n:
         return {}
-    often = max(4, n_toxic // 1000)
+    often = max(6, n_toxic // 50)
     top = rows.where("toxic = 1").select("text").mapInArrow(count(None), "e string, n long").groupBy("e").agg(F.sum("n").alias("n")).where(
         (F.col("n") >= often) & (F.length("e") > 1)).orderBy(F.desc("n"), "e").limit(CANDIDATES).collect()
     bad = {r.e: r.n for r in top}
