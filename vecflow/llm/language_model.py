@@ -139,7 +139,7 @@ def summarise(vocabulary: DataFrame, ends: int) -> Classes:
 
 
 def positions(words: np.ndarray, endings: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(class of each token, feature rows of its history, index of each text's first token); every text ends with END."""
+    """(class of each token, feature rows of its history without the constant, index of each text's first token); every text ends with END."""
     cls = np.insert(classes.of(words, endings), at[1:], END)
     w = np.insert(words, at[1:], np.uint64(0))
     first = at + np.arange(len(at))
@@ -153,37 +153,46 @@ def positions(words: np.ndarray, endings: np.ndarray, at: np.ndarray, classes: C
 
     c1, c2, c3, c4, c5 = (back(cls, k) for k in range(1, 6))
     # a text's start is known by its place: END as history stands for it
-    rows = np.empty((len(cls), 5), dtype=np.int64)
+    rows = np.empty((len(cls), 4), dtype=np.int64)
     rows[:, 0] = back(w, 1) % np.uint64(WORD_CELLS)
     gram = mix64(((c1 * CLASSES + c2) * CLASSES + c3).astype(np.uint64) + np.uint64(1))
     rows[:, 1] = WORD_CELLS + (gram % np.uint64(GRAM_CELLS)).astype(np.int64)
     rows[:, 2] = WORD_CELLS + GRAM_CELLS + c2 * CLASSES + c4
     rows[:, 3] = WORD_CELLS + GRAM_CELLS + CLASSES * CLASSES + c3 * CLASSES + c5
-    rows[:, 4] = CELLS - 1
     return cls, rows, first
 
 
-def log_softmax(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-    z = w[rows[:, 0]] + prior
+def _exponentials(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores less their maximum, exponentials of these) of each history's classes."""
+    z = w.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        z += w[rows[:, k]]
+        z += w.take(rows[:, k], axis=0)
+    z += w[-1] + prior  # the constant row
     z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    return z, np.exp(z)
+
+
+def log_shares(w: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the share that each history gives its class."""
+    z, e = _exponentials(w, rows, prior)
+    return z[np.arange(len(cls)), cls] - np.log(e.sum(axis=1))
 
 
 def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, rate: float = RATE) -> None:
     """One mini-batch step on the rows of the batch, in place."""
-    d = np.exp(log_softmax(w, rows, prior))
+    _, d = _exponentials(w, rows, prior)
+    d /= d.sum(axis=1, keepdims=True)
     d[np.arange(len(cls)), cls] -= 1
     flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # CELLS fit: a radix sort
     at = flat[order]
     edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    used = at[edge]
-    g = np.add.reduceat(d[order // rows.shape[1]], edge, axis=0)
-    squares[used] += (g * g).mean(axis=1)
-    w[used] -= rate * g / np.sqrt(squares[used] + 1.0)[:, None]
+    used = np.append(at[edge], len(w) - 1)
+    g = np.concatenate([np.add.reduceat(d.take(order // rows.shape[1], axis=0), edge, axis=0), d.sum(axis=0, keepdims=True)])
+    step = squares[used] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+    squares[used] = step
+    g *= (rate / np.sqrt(step + 1.0))[:, None]
+    w[used] -= g
 
 
 def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -271,8 +280,7 @@ def score_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
                 cls, rows, first = positions(words, endings, at, classes)
                 logp = np.empty(len(cls))
                 for k in range(0, len(cls), BATCH):
-                    z = log_softmax(w, rows[k:k + BATCH], classes.prior)
-                    logp[k:k + BATCH] = z[np.arange(len(z)), cls[k:k + BATCH]]
+                    logp[k:k + BATCH] = log_shares(w, rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
                 run_p = np.append(0, np.cumsum(logp / ln10 - classes.scale[cls]))
                 wc = classes.of(words, endings)
                 alone = (wc >= 1) & (wc <= len(classes.singles))
