@@ -12,11 +12,13 @@ size-derived bounds discard pairs early:
   together.
 
 Rows that share a prefix column meet in one sorted stream per column. Each row is first
-paired with the column's first row alone; the verified links give components, and only
-rows of one column that are still in different components are paired further. Nothing is
-lost: a pair that shares a prefix column is either verified itself or already connected.
-Candidates are verified exactly, in blocks of one row against up to ``BLOCK`` others
-(the block product accumulates the overlap counts, the bound on the union discards).
+paired with the column's first row alone; pairs' overlaps in the prefix columns are
+counted, and the bound that sizes put on that count discards most of them. The verified
+links give components, and only rows of one column that are still in different components
+are paired further, with complete counts. Nothing is lost: a pair that meets the threshold
+is either verified itself or already connected. Candidates are verified exactly, in blocks
+of one row against up to ``BLOCK`` others (the block product accumulates the overlap over
+all columns, the bound on the union discards).
 
 Shingles and sets are told apart by 64-bit hashes.
 
@@ -36,14 +38,18 @@ from pyspark.sql import functions as F
 
 from vecflow.llm.common import _GOLDEN, as_bytes, hashed_texts, input_partitions, mix64, summed_blocks
 from vecflow.llm.components import components
+from vecflow.session import scratch_dir
 
 WORDS = 5
 #: threshold as a whole number of hundredths, so that the comparison is exact
 PERCENT = 75
 #: cells of the count sketch, whatever the data's size
 SKETCH_BITS = 21
+#: cells of the filter of candidate sets, whatever the data's size
+FILTER_BITS = 22
 #: rows that one row is multiplied with at a time
 BLOCK = 512
+_TOP = np.uint64(1 << 63)
 _K = np.cumprod(np.full(64, 0xD1342543DE82EF95, dtype=np.uint64), dtype=np.uint64)
 
 
@@ -82,43 +88,70 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (-(-percent * n // 100)) + 1
 
 
+def _ordered(u: np.ndarray, rank: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix, its order classes) of a set's rising hashes: rare classes first, then by hash."""
+    of = rank[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    first = np.argsort(of, kind="stable")[:prefix_length(len(u), percent)]
+    return u[first], of[first]
+
+
+def set_key(u: np.ndarray) -> int:
+    """64-bit key of a set of hashes, signed as Spark's long."""
+    k = xxhash.xxh3_64_intdigest(u.tobytes())
+    return k - (1 << 64) if k >> 63 else k
+
+
 def _sets(docs: DataFrame, id: str, text: str, size: int, percent: int, order) -> DataFrame:
-    """(doc, n, key, prefix): a class's prefix is listed once per partition."""
+    """(doc, text_hash, n, key, last_class, last): size and key of each set, and the last incidence of its prefix."""
     def run(batches):
-        seen: set[int] = set()
         rank = order.value
         for b in batches:
-            ns, keys, prefixes = [], [], []
+            cols = [[] for _ in range(4)]
             for _, words in hashed_texts(as_bytes(b.column(1))):
                 u = np.unique(shingle_hashes(words, size))
-                ns.append(len(u))
-                if not len(u):
-                    keys.append(None)
-                    prefixes.append(None)
-                    continue
-                key = np.uint64(xxhash.xxh3_64_intdigest(u.tobytes())).astype(np.int64)
-                keys.append(key)
-                if key in seen:
-                    prefixes.append(None)
-                    continue
-                seen.add(key)
-                first = np.argsort(rank[(u >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)], kind="stable")
-                prefixes.append(u[first[:prefix_length(len(u), percent)]].view(np.int64))
+                row = (0, None, None, None)
+                if len(u):
+                    prefix, of = _ordered(u, rank, percent)
+                    row = (len(u), set_key(u), int(of[-1]), int((prefix[-1] ^ _TOP).astype(np.int64)))
+                for c, v in zip(cols, row):
+                    c.append(v)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array(ns, pa.int64()), pa.array(keys, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                names=["doc", "text_hash", "n", "key", "prefix"])
+                [b.column(0), b.column(2), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())],
+                names=["doc", "text_hash", "n", "key", "last_class", "last"])
 
     kind = docs.schema[id].dataType.simpleString()
     return docs.select(F.col(id).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("text_hash")).mapInArrow(
-        run, f"doc {kind}, text_hash long, n long, key long, prefix array<long>")
+        run, f"doc {kind}, text_hash long, n long, key long, last_class int, last long")
 
 
-def _columns(postings: DataFrame) -> DataFrame:
-    """(s, a, na, b, nb): rows b that share prefix column s with its first row a. Reads rows sorted by s, key."""
+def _postings(docs: DataFrame, text: str, size: int, percent: int, order) -> DataFrame:
+    """(s, key) of the prefix incidences; a class is listed once per partition."""
     def run(batches):
-        at = first = size = last = None  # column, its first row, that row's size, the row before
+        seen: set[int] = set()
+        rank = order.value
         for b in batches:
-            s, key, n = (c.to_numpy() for c in b.columns)
+            columns, keys = [], []
+            for _, words in hashed_texts(as_bytes(b.column(0))):
+                u = np.unique(shingle_hashes(words, size))
+                if len(u) and (key := set_key(u)) not in seen:
+                    seen.add(key)
+                    columns.append(_ordered(u, rank, percent)[0].view(np.int64))
+                    keys.append(np.full(len(columns[-1]), key, dtype=np.int64))
+                if sum(map(len, columns[-1:])) and len(columns) >= 256:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns)), pa.array(np.concatenate(keys))], names=["s", "key"])
+                    columns, keys = [], []
+            if columns:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns)), pa.array(np.concatenate(keys))], names=["s", "key"])
+
+    return docs.select(F.col(text)).mapInArrow(run, "s long, key long")
+
+
+def _columns(postings: DataFrame) -> DataFrame:
+    """(s, a, b): rows b that share prefix column s with its first row a. Reads rows sorted by s, key."""
+    def run(batches):
+        at = first = last = None  # column, its first row, the row before
+        for batch in batches:
+            s, key = (c.to_numpy() for c in batch.columns)
             if not len(s):
                 continue
             new = np.ones(len(s), dtype=bool)
@@ -129,17 +162,43 @@ def _columns(postings: DataFrame) -> DataFrame:
             same[0] = not new[0] and key[0] == last
             head = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
             a = np.where(head >= 0, key[head], first if first is not None else 0)
-            na = np.where(head >= 0, n[head], size if size is not None else 0)
-            at, last, first, size = s[-1], key[-1], a[-1], na[-1]
+            at, last, first = s[-1], key[-1], a[-1]
             out = ~new & ~same & (key != a)
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (s, a, na, key, n)], names=["s", "a", "na", "b", "nb"])
+                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (s, a, key)], names=["s", "a", "b"])
+
+    return postings.mapInArrow(run, "s long, a long, b long")
+
+
+def _bounded(counts: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b, c) that the sizes and c, their number of shared prefix columns, leave possible.
 
-    return postings.mapInArrow(run, "s long, a long, na long, b long, nb long")
+    The prefix that ends first in the order holds every column that it shares with the
+    other set, so at most n - alpha of its columns may be missing there (alpha: the
+    overlap that the threshold needs).
+    """
+    x, y = (info.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "last_class", "last"))) for side in "ab")
+    j = counts.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b"))
+    whole = 100 + percent
+    j = j.withColumn("alpha", F.expr(f"({percent} * (n_a + n_b) + {whole - 1}) div {whole}"))
+    for side in "ab":
+        p = f"(n_{side} - ({percent} * n_{side} + 99) div 100 + 1)"
+        j = j.withColumn(f"need_{side}", F.expr(f"{p} - (n_{side} - alpha)"))
+    a_first = "(last_class_a < last_class_b or (last_class_a = last_class_b and last_a <= last_b))"
+    return j.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and c >= if({a_first}, need_a, need_b)").select("a", "b")
+
+
+def _row_sets(docs: DataFrame, text: str, size: int, pairs: DataFrame) -> DataFrame:
+    """(key, grams) of the classes in the pairs; a filter of fixed size lets only few others into the shuffle."""
+    def mark(batches):
+        acc = np.zeros(1 << FILTER_BITS, dtype=np.int64)
+        for b in batches:
+            acc[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)] = 1
+        return acc
 
+    members = pairs.select(F.explode(F.array("a", "b")).alias("k"))
+    wanted = pairs.sparkSession.sparkContext.broadcast(summed_blocks(members, mark, 1 << FILTER_BITS) > 0)
 
-def _row_sets(docs: DataFrame, text: str, size: int, wanted) -> DataFrame:
-    """(key, grams) of the classes that a candidate needs; ``wanted`` is a fixed-size filter that may pass more."""
     def run(batches):
         seen: set[int] = set()
         bits = wanted.value
@@ -149,10 +208,10 @@ def _row_sets(docs: DataFrame, text: str, size: int, wanted) -> DataFrame:
                 if not len(words):
                     continue
                 u = np.unique(shingle_hashes(words, size))
-                h = xxhash.xxh3_64_intdigest(u.tobytes())
-                if bits[h >> (64 - SKETCH_BITS)] and h not in seen:
-                    seen.add(h)
-                    keys.append(np.uint64(h).astype(np.int64))
+                key = set_key(u)
+                if bits[(key & (1 << 64) - 1) >> (64 - FILTER_BITS)] and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
                     grams.append(u.tobytes())
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(grams, pa.binary())], names=["key", "grams"])
@@ -193,44 +252,34 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         run, "a long, b long")
 
 
-def _sizes_allow(x: str, y: str, percent: int):
-    return F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-
-
 def link_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(id, n_shingles, class_key, component_id) of each document; component_id is the smallest id reachable."""
     spark = docs.sparkSession
-    sc = spark.sparkContext
-    parts = input_partitions(spark)
-    order = sc.broadcast(_sketch(docs.select(F.col(text)), size))  # 2 MB, fixed
+    order = spark.sparkContext.broadcast(_sketch(docs.select(F.col(text)), size))  # 2 MB, fixed
     sets = _sets(docs, id, text, size, percent, order).checkpoint()
-    postings = sets.where("prefix is not null").select(F.explode("prefix").alias("s"), "key", "n")
-    stars = _columns(postings.repartition(parts, "s").sortWithinPartitions("s", "key")).checkpoint()
-
-    pairs = stars.where(_sizes_allow("na", "nb", percent)).select("a", "b").distinct().checkpoint()
-    # the filter of wanted rows has a fixed size; a full one only passes more rows
-    def mark(batches):
-        acc = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for b in batches:
-            acc[b.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - SKETCH_BITS)] = 1
-        return acc
-
-    members = stars.select(F.explode(F.array("a", "b")).alias("k"))
-    wanted = sc.broadcast(summed_blocks(members, mark, 1 << SKETCH_BITS) > 0)
-    grams = _row_sets(docs, text, size, wanted).checkpoint()
-
-    links = _verify(pairs, grams, percent).checkpoint()
+    info = sets.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("last_class").alias("last_class"), F.first("last").alias("last"))
+    postings = _postings(docs, text, size, percent, order)
+    path = scratch_dir(spark, "columns")
+    _columns(postings.repartition(input_partitions(spark), "s").sortWithinPartitions("s", "key")).write.parquet(path)
+    stars = spark.read.parquet(path)
+
+    counts = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).checkpoint()
+    pairs = _bounded(counts, info, percent).checkpoint()
+    links = _verify(pairs, _row_sets(docs, text, size, pairs), percent).checkpoint()
     near = components(links)
-    # rows of one column that the first links leave in different components
+    # rows of one column, other than its first, that the links so far leave in different components
     label = near.select(F.col("node").alias("b"), F.col("component").alias("c"))
-    shared = stars.select("s", "b", "nb").join(label, "b", "left").select("s", "b", "nb", F.coalesce("c", "b").alias("c"))
+    shared = stars.select("s", "b").join(label, "b", "left").select("s", "b", F.coalesce("c", "b").alias("c"))
     mixed = shared.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
     rest = shared.join(mixed, "s").checkpoint()
     x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, F.expr(f"x.s = y.s and x.b < y.b and x.c != y.c and 100 * least(x.nb, y.nb) >= {percent} * greatest(x.nb, y.nb)"))
-    more = more.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct().checkpoint()
-    late = _verify(more, grams, percent).checkpoint()
-    if not late.isEmpty():
+    more = x.join(y, F.expr("x.s = y.s and x.b < y.b and x.c != y.c")).groupBy(F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(
+        F.count(F.lit(1)).alias("k"))
+    # with the columns in which one of them is the first, the count is complete
+    more = more.join(counts, ["a", "b"], "left").select("a", "b", (F.col("k") + F.coalesce("c", F.lit(0))).alias("c"))
+    more = _bounded(more, info, percent).join(pairs, ["a", "b"], "left_anti").checkpoint()
+    if not more.isEmpty():
+        late = _verify(more, _row_sets(docs, text, size, more), percent)
         near = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
 
     classes = sets.where("key is not null").groupBy("key").agg(F.min("doc").alias("low"))
