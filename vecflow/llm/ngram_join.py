@@ -12,11 +12,13 @@ size-derived bounds discard pairs early:
   together.
 
 Rows that share a prefix column meet in one sorted stream per column. Each row is first
-paired with the column's first row alone; pairs' overlaps in the prefix columns are
+paired with the column's first row alone, the one with the fewest columns before this one
+(the least altered of a group of near copies); pairs' overlaps in the prefix columns are
 counted, and the bound that sizes put on that count discards most of them. The verified
-links give components, and only rows of one column that are still in different components
-are paired further, with complete counts. Nothing is lost: a pair that meets the threshold
-is either verified itself or already connected. Candidates are verified exactly, in blocks
+links give components, and only rows that are still in different components are paired
+further: where a column can be the first that two rows share (all columns before it are
+missing in the other), and where their complete prefix overlap passes the bound. Nothing
+is lost: a pair that meets the threshold is either verified itself or already connected. Candidates are verified exactly, in blocks
 of one row against up to ``BLOCK`` others (the block product accumulates the overlap over
 all columns, the bound on the union discards).
 
@@ -125,33 +127,44 @@ def _sets(docs: DataFrame, id: str, text: str, size: int, percent: int, order) -
 
 
 def _postings(docs: DataFrame, text: str, size: int, percent: int, order) -> DataFrame:
-    """(s, key) of the prefix incidences; a class is listed once per partition."""
+    """(s, key, n, pos) of the prefix incidences; a class is listed once per partition."""
     def run(batches):
         seen: set[int] = set()
         rank = order.value
         for b in batches:
-            columns, keys = [], []
+            rows: list[tuple] = []
             for _, words in hashed_texts(as_bytes(b.column(0))):
                 u = np.unique(shingle_hashes(words, size))
                 if len(u) and (key := set_key(u)) not in seen:
                     seen.add(key)
-                    columns.append(_ordered(u, rank, percent)[0].view(np.int64))
-                    keys.append(np.full(len(columns[-1]), key, dtype=np.int64))
-                if sum(map(len, columns[-1:])) and len(columns) >= 256:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns)), pa.array(np.concatenate(keys))], names=["s", "key"])
-                    columns, keys = [], []
-            if columns:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns)), pa.array(np.concatenate(keys))], names=["s", "key"])
+                    rows.append((_ordered(u, rank, percent)[0].view(np.int64), key, len(u)))
+                if len(rows) >= 256:
+                    yield _posting_batch(rows)
+                    rows = []
+            if rows:
+                yield _posting_batch(rows)
 
-    return docs.select(F.col(text)).mapInArrow(run, "s long, key long")
+    return docs.select(F.col(text)).mapInArrow(run, "s long, key long, n int, pos int")
+
+
+def _posting_batch(rows: list[tuple]) -> pa.RecordBatch:
+    long = [len(r[0]) for r in rows]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.concatenate([r[0] for r in rows])), pa.array(np.repeat(np.array([r[1] for r in rows], np.int64), long)),
+         pa.array(np.repeat(np.array([r[2] for r in rows], np.int32), long)), pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in long]))],
+        names=["s", "key", "n", "pos"])
+
+
+_STAR = ("s", "a", "na", "pa", "b", "nb", "pb")
 
 
 def _columns(postings: DataFrame) -> DataFrame:
-    """(s, a, b): rows b that share prefix column s with its first row a. Reads rows sorted by s, key."""
+    """Rows b that share prefix column s with its first row a, with sizes and places. Reads rows sorted by s, pos, key."""
     def run(batches):
-        at = first = last = None  # column, its first row, the row before
+        at = last = None  # the column, the row before
+        first = (0, 0, 0)
         for batch in batches:
-            s, key = (c.to_numpy() for c in batch.columns)
+            s, key, n, pos = (c.to_numpy() for c in batch.columns)
             if not len(s):
                 continue
             new = np.ones(len(s), dtype=bool)
@@ -161,13 +174,25 @@ def _columns(postings: DataFrame) -> DataFrame:
             same[1:] = ~new[1:] & (key[1:] == key[:-1])
             same[0] = not new[0] and key[0] == last
             head = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
-            a = np.where(head >= 0, key[head], first if first is not None else 0)
-            at, last, first = s[-1], key[-1], a[-1]
+            a, na, pos_a = (np.where(head >= 0, c[head], f) for c, f in zip((key, n, pos), first))
+            at, last, first = s[-1], key[-1], (a[-1], na[-1], pos_a[-1])
             out = ~new & ~same & (key != a)
             if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in (s, a, key)], names=["s", "a", "b"])
+                cols = (s, a, na.astype(np.int32), pos_a.astype(np.int32), key, n, pos)
+                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in cols], names=list(_STAR))
+
+    return postings.mapInArrow(run, "s long, a long, na int, pa int, b long, nb int, pb int")
+
+
+def _alpha(x: str, y: str, percent: int) -> str:
+    """SQL: the overlap that sets of these sizes need."""
+    return f"(({percent} * ({x} + {y}) + {99 + percent}) div {100 + percent})"
+
 
-    return postings.mapInArrow(run, "s long, a long, b long")
+def _first_places_allow(nx: str, px: str, ny: str, py: str, percent: int) -> str:
+    """SQL: a pair's first shared column may stand at these places; all before it are missing in the other set."""
+    alpha = _alpha(nx, ny, percent)
+    return f"(100 * least({nx}, {ny}) >= {percent} * greatest({nx}, {ny}) and {px} <= {nx} - {alpha} and {py} <= {ny} - {alpha})"
 
 
 def _bounded(counts: DataFrame, info: DataFrame, percent: int) -> DataFrame:
@@ -179,8 +204,7 @@ def _bounded(counts: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     """
     x, y = (info.select(*(F.col(c).alias(f"{c}_{side}") for c in ("key", "n", "last_class", "last"))) for side in "ab")
     j = counts.join(x, F.col("a") == F.col("key_a")).join(y, F.col("b") == F.col("key_b"))
-    whole = 100 + percent
-    j = j.withColumn("alpha", F.expr(f"({percent} * (n_a + n_b) + {whole - 1}) div {whole}"))
+    j = j.withColumn("alpha", F.expr(_alpha("n_a", "n_b", percent)))
     for side in "ab":
         p = f"(n_{side} - ({percent} * n_{side} + 99) div 100 + 1)"
         j = j.withColumn(f"need_{side}", F.expr(f"{p} - (n_{side} - alpha)"))
@@ -260,24 +284,40 @@ def link_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", size
     info = sets.where("key is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("last_class").alias("last_class"), F.first("last").alias("last"))
     postings = _postings(docs, text, size, percent, order)
     path = scratch_dir(spark, "columns")
-    _columns(postings.repartition(input_partitions(spark), "s").sortWithinPartitions("s", "key")).write.parquet(path)
+    _columns(postings.repartition(input_partitions(spark), "s").sortWithinPartitions("s", "pos", "key")).write.parquet(path)
     stars = spark.read.parquet(path)
 
     counts = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).checkpoint()
     pairs = _bounded(counts, info, percent).checkpoint()
     links = _verify(pairs, _row_sets(docs, text, size, pairs), percent).checkpoint()
     near = components(links)
-    # rows of one column, other than its first, that the links so far leave in different components
-    label = near.select(F.col("node").alias("b"), F.col("component").alias("c"))
-    shared = stars.select("s", "b").join(label, "b", "left").select("s", "b", F.coalesce("c", "b").alias("c"))
-    mixed = shared.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s")
+    # pairs that the links so far leave in different components, by a column that can be their first shared one:
+    # of a column's first row with the others, and of the others among themselves
+    label = near.select("node", F.col("component").alias("c")).checkpoint()
+
+    def labelled(df, key, c):
+        found = label.select(F.col("node").alias(key), F.col("c").alias(c))
+        return df.join(found, key, "left").withColumn(c, F.coalesce(c, key))
+
+    with_first = stars.where(_first_places_allow("na", "pa", "nb", "pb", percent)).select("a", "b").distinct()
+    with_first = labelled(labelled(with_first, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
+    low = stars.groupBy("s").agg(F.min("nb").alias("lo"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "lo")
+    # a row whose place is too deep for every size in its column leads nowhere
+    reach = _alpha("nb", f"greatest(lo, ({percent} * nb + 99) div 100)", percent)
+    shared = labelled(stars.join(low, "s").where(f"pb <= nb - {reach}").select("s", "b", "nb", "pb"), "b", "c")
+    mixed = shared.groupBy("s").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 != c1").select("s")
     rest = shared.join(mixed, "s").checkpoint()
     x, y = rest.alias("x"), rest.alias("y")
-    more = x.join(y, F.expr("x.s = y.s and x.b < y.b and x.c != y.c")).groupBy(F.col("x.b").alias("a"), F.col("y.b").alias("b")).agg(
-        F.count(F.lit(1)).alias("k"))
-    # with the columns in which one of them is the first, the count is complete
-    more = more.join(counts, ["a", "b"], "left").select("a", "b", (F.col("k") + F.coalesce("c", F.lit(0))).alias("c"))
-    more = _bounded(more, info, percent).join(pairs, ["a", "b"], "left_anti").checkpoint()
+    among = x.join(y, F.expr(f"x.s = y.s and x.b < y.b and x.c != y.c and {_first_places_allow('x.nb', 'x.pb', 'y.nb', 'y.pb', percent)}"))
+    among = among.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
+    more = with_first.unionByName(among).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
+    # all prefix columns that the two share: of each row, those that it shares with any (at most its prefix)
+    lists = stars.select("s", F.explode(F.array("a", "b")).alias("key")).distinct().groupBy("key").agg(F.collect_list("s").alias("columns"))
+    full = more.join(lists.select(F.col("key").alias("a"), F.col("columns").alias("ca")), "a").join(
+        lists.select(F.col("key").alias("b"), F.col("columns").alias("cb")), "b").select(
+        "a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("c"))
+    more = _bounded(full, info, percent).checkpoint()
     if not more.isEmpty():
         late = _verify(more, _row_sets(docs, text, size, more), percent)
         near = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
