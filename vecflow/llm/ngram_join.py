@@ -212,6 +212,13 @@ def _bounded(counts: DataFrame, info: DataFrame, percent: int) -> DataFrame:
     return j.where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and c >= if({a_first}, need_a, need_b)").select("a", "b")
 
 
+def _shared_columns(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """(a, b, c): in how many prefix columns both rows of each pair stand."""
+    one = lists.select(F.col("key").alias("a"), F.col("columns").alias("columns_a"))
+    two = lists.select(F.col("key").alias("b"), F.col("columns").alias("columns_b"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", F.size(F.array_intersect("columns_a", "columns_b")).cast("long").alias("c"))
+
+
 def _row_sets(docs: DataFrame, text: str, size: int, pairs: DataFrame) -> DataFrame:
     """(key, grams) of the classes in the pairs; a filter of fixed size lets only few others into the shuffle."""
     def mark(batches):
@@ -287,20 +294,19 @@ def link_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", size
     _columns(postings.repartition(input_partitions(spark), "s").sortWithinPartitions("s", "pos", "key")).write.parquet(path)
     stars = spark.read.parquet(path)
 
-    counts = stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).checkpoint()
-    pairs = _bounded(counts, info, percent).checkpoint()
+    # all prefix columns that a row shares with any other (at most its prefix): what two lists share is complete
+    lists = stars.select("s", F.explode(F.array("a", "b")).alias("key")).distinct().groupBy("key").agg(F.collect_list("s").alias("columns"))
+    first = stars.where(_first_places_allow("na", "pa", "nb", "pb", percent)).select("a", "b").distinct()
+    pairs = _bounded(_shared_columns(first, lists), info, percent).checkpoint()
     links = _verify(pairs, _row_sets(docs, text, size, pairs), percent).checkpoint()
     near = components(links)
-    # pairs that the links so far leave in different components, by a column that can be their first shared one:
-    # of a column's first row with the others, and of the others among themselves
+    # other rows of a column that can be the first that they share, where the links so far leave them apart
     label = near.select("node", F.col("component").alias("c")).checkpoint()
 
     def labelled(df, key, c):
         found = label.select(F.col("node").alias(key), F.col("c").alias(c))
         return df.join(found, key, "left").withColumn(c, F.coalesce(c, key))
 
-    with_first = stars.where(_first_places_allow("na", "pa", "nb", "pb", percent)).select("a", "b").distinct()
-    with_first = labelled(labelled(with_first, "a", "ca"), "b", "cb").where("ca != cb").select("a", "b")
     low = stars.groupBy("s").agg(F.min("nb").alias("lo"), F.count(F.lit(1)).alias("k")).where("k > 1").select("s", "lo")
     # a row whose place is too deep for every size in its column leads nowhere
     reach = _alpha("nb", f"greatest(lo, ({percent} * nb + 99) div 100)", percent)
@@ -309,15 +315,10 @@ def link_documents(docs: DataFrame, text: str = "text", id: str = "doc_id", size
     rest = shared.join(mixed, "s").checkpoint()
     x, y = rest.alias("x"), rest.alias("y")
     among = x.join(y, F.expr(f"x.s = y.s and x.b < y.b and x.c != y.c and {_first_places_allow('x.nb', 'x.pb', 'y.nb', 'y.pb', percent)}"))
-    among = among.select(F.col("x.b").alias("a"), F.col("y.b").alias("b"))
-    more = with_first.unionByName(among).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = more.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").checkpoint()
-    # all prefix columns that the two share: of each row, those that it shares with any (at most its prefix)
-    lists = stars.select("s", F.explode(F.array("a", "b")).alias("key")).distinct().groupBy("key").agg(F.collect_list("s").alias("columns"))
-    full = more.join(lists.select(F.col("key").alias("a"), F.col("columns").alias("ca")), "a").join(
-        lists.select(F.col("key").alias("b"), F.col("columns").alias("cb")), "b").select(
-        "a", "b", F.size(F.array_intersect("ca", "cb")).cast("long").alias("c"))
-    more = _bounded(full, info, percent).checkpoint()
+    among = among.select(F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    decided = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = among.join(decided, ["a", "b"], "left_anti")
+    more = _bounded(_shared_columns(more, lists), info, percent).checkpoint()
     if not more.isEmpty():
         late = _verify(more, _row_sets(docs, text, size, more), percent)
         near = components(near.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
