@@ -82,10 +82,10 @@ def _pieces(texts: list[bytes], length: int):
 
 
 def segments(texts: list[bytes], length: int = LENGTH):
-    """Per slice: (rows, starts, ends, keys, grams, hashes, buf, base) of its segments.
+    """Per slice: (rows, starts, ends, keys, grams, least, shift, buf) of its segments, rows rising.
 
-    A segment's windows start at starts..ends - 1 of the row's text; ``buf`` holds the
-    slice's bytes, ``base + start`` a segment's place in it.
+    A segment's windows start at starts..ends - 1 of ``buf``, the slice's bytes, and
+    ``shift`` further in the row's text; ``least`` is each window's smallest gram hash.
     """
     parts = list(_pieces(texts, length))
     for lo, hi in text_slices([p[2] for p in parts]):
@@ -107,23 +107,22 @@ def segments(texts: list[bytes], length: int = LENGTH):
         part = np.searchsorted(offsets, at, side="right") - 1
         rows = np.array([p[0] for p in parts[lo:hi]], dtype=np.int64)[part]
         shift = np.array([p[1] for p in parts[lo:hi]], dtype=np.int64)[part] - offsets[part]
-        yield rows, at, stop, low[at], grams, shift, buf
+        yield rows, at, stop, low[at], grams, low, shift, buf
 
 
-def occurrences(grams: np.ndarray, at: np.ndarray, stop: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
+def occurrences(grams: np.ndarray, low: np.ndarray, at: np.ndarray, stop: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
     """How often each segment's own gram occurs in it."""
-    low = sliding_min(grams, length - GRAM + 1)
-    # a gram that is the smallest of some window around it
+    # grams that are the smallest of some window around them
     places = np.flatnonzero(_is_least(grams, low, length - GRAM + 1))
-    out = np.empty(len(at), dtype=np.int64)
     values = grams[places]
-    order = np.lexsort((places, values))
+    order = np.argsort(values, kind="stable")
     places, values = places[order], values[order]
     first, last = np.searchsorted(values, keys, side="left"), np.searchsorted(values, keys, side="right")
-    for i in range(len(at)):
+    out = np.ones(len(at), dtype=np.int64)
+    for i in np.flatnonzero(last - first > 1).tolist():  # elsewhere the gram occurs once in the slice
         own = places[first[i]:last[i]]
-        out[i] = np.searchsorted(own, stop[i] + length - GRAM) - np.searchsorted(own, at[i])
-    return np.maximum(out, 1)
+        out[i] = max(1, np.searchsorted(own, stop[i] + length - GRAM) - np.searchsorted(own, at[i]))
+    return out
 
 
 def _is_least(grams: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
@@ -220,8 +219,8 @@ def _grams_of(rows: DataFrame, length: int) -> DataFrame:
         for b in batches:
             texts = as_bytes(b.column(3))
             grams, times = [[np.zeros(0, np.uint64)] for _ in texts], [[np.zeros(0, np.int64)] for _ in texts]
-            for owner, at, stop, keys, hashes, _, _ in segments(texts, length):
-                often = occurrences(hashes, at, stop, keys, length)
+            for owner, at, stop, keys, hashes, low, _, _ in segments(texts, length):
+                often = occurrences(hashes, low, at, stop, keys, length)
                 first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else []
                 for a, z in zip(first, np.append(first[1:], len(owner)) if len(owner) else []):
                     grams[owner[a]].append(keys[a:z])
@@ -234,7 +233,7 @@ def _grams_of(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("k", "d1", "d2", "text").mapInArrow(run, "k long, d1 long, d2 long, n long, grams array<long>, times array<long>")
 
 
-_SEGMENT = "key long, seg long, data binary, k long, d1 long, start long, windows int"
+_SEGMENT = "key long, seg long, data binary, k long, d1 long, start long, windows int, again boolean"
 
 
 def _segments_of(rows: DataFrame, length: int) -> DataFrame:
@@ -247,34 +246,40 @@ def _segments_of(rows: DataFrame, length: int) -> DataFrame:
             texts = as_bytes(b.column(3).take(pa.array(pick, pa.int64())))
             wanted = [hot[i].values.to_numpy().view(np.uint64) for i in pick]
             wide = [split[i].values.to_numpy().view(np.uint64) for i in pick]
-            for owner, at, stop, keys, grams, shift, buf in segments(texts, length):
+            for owner, at, stop, keys, grams, _, shift, buf in segments(texts, length):
                 out = []
                 second = None
-                for i, (row, a, z, key) in enumerate(zip(owner.tolist(), at.tolist(), stop.tolist(), keys)):
-                    if key not in wanted[row]:
-                        continue
-                    if key in wide[row]:
+                repeated, hot_gram = np.zeros(len(at), dtype=bool), np.zeros(len(at), dtype=bool)
+                first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, np.int64)
+                for a, z in zip(first.tolist(), [*first[1:].tolist(), len(owner)]):
+                    repeated[a:z] = np.isin(keys[a:z], wanted[owner[a]])
+                    if len(wide[owner[a]]):
+                        hot_gram[a:z] = np.isin(keys[a:z], wide[owner[a]])
+                for i in np.flatnonzero(repeated).tolist():
+                    row, a, z, key = int(owner[i]), int(at[i]), int(stop[i]), keys[i]
+                    if hot_gram[i]:
                         # the same windows by a second hash of their grams
                         if second is None:
                             second = mix64(grams * _SECOND)
                         low = sliding_min(second[a:z + length - GRAM], length - GRAM + 1)
                         cut = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
                         for c, e in zip(cut.tolist(), np.append(cut[1:], len(low)).tolist()):
-                            out.append((mix64(key ^ low[c:c + 1])[0], row, a + c, a + e, shift[i]))
+                            again = np.count_nonzero(second[a + c:a + e + length - GRAM] == low[c]) > 1
+                            out.append((mix64(key ^ low[c:c + 1])[0], row, a + c, a + e, shift[i], again))
                     else:
-                        out.append((key, row, a, z, shift[i]))
-                cols = [[] for _ in range(7)]
-                for key, row, a, z, s in out:
+                        out.append((key, row, a, z, shift[i], np.count_nonzero(grams[a:z + length - GRAM] == key) > 1))
+                cols = [[] for _ in range(8)]
+                for key, row, a, z, s, again in out:
                     data = buf[a:z + length - 1].tobytes()
                     sid = xxhash.xxh3_64_intdigest(data)
                     new = (int(key), sid) not in seen
                     seen.add((int(key), sid))
-                    for c, v in zip(cols, (key, sid, data if new else None, ks[pick[row]], ds[pick[row]], a + s, z - a)):
+                    for c, v in zip(cols, (key, sid, data if new else None, ks[pick[row]], ds[pick[row]], a + s, z - a, bool(again))):
                         c.append(v)
                 if out:
                     yield pa.RecordBatch.from_arrays(
                         [_long(np.array(cols[0], np.uint64)), _long(np.array(cols[1], np.uint64)), pa.array(cols[2], pa.binary()),
-                         *(pa.array(c, pa.int64()) for c in cols[3:6]), pa.array(cols[6], pa.int32())],
+                         *(pa.array(c, pa.int64()) for c in cols[3:6]), pa.array(cols[6], pa.int32()), pa.array(cols[7], pa.bool_())],
                         names=[c.split()[0] for c in _SEGMENT.split(", ")])
 
     return rows.mapInArrow(run, _SEGMENT)
@@ -349,11 +354,12 @@ def repeated_ranges(rows: DataFrame, grams: DataFrame, length: int = LENGTH) ->
     found = rows.sparkSession.read.parquet(path)
 
     place = F.xxhash64("k", "d1", "start")
-    kinds = found.groupBy("key", "seg").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("windows").alias("windows")).checkpoint()
+    kinds = found.groupBy("key", "seg").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.max("windows").alias("windows"),
+                                             F.max("again").alias("again")).checkpoint()
     # equal segments in two places: all their windows repeat
     twice = kinds.where("lo != hi").select("key", "seg", F.array(F.lit(0)).alias("starts"), F.array("windows").alias("ends"))
-    # a group of one segment in one place can still repeat within itself; in two places, it is settled
-    size = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max(F.col("lo") == F.col("hi")).alias("single")).where("c > 1 or single")
+    # equal windows have equal smallest grams: a group of one segment repeats only if its gram occurs in it again
+    size = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).where("c > 1 or again")
     data = found.where("data is not null").select("key", "seg", "data").join(size.select("key", "c"), "key")
     data = data.groupBy("key", "seg").agg(F.max("data").alias("data"), F.max("c").alias("c"))
     parts = input_partitions(rows.sparkSession)
