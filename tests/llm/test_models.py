@@ -72,6 +72,42 @@ def test_held_out_texts_score_better_than_base(spark):
     assert got[0] > got[1] + 0.1 * got[2]
 
 
+def test_words_of_one_class_follow_their_history(spark):
+    """"zaqo" and "zuqo" end alike and are equally frequent: only the history tells them apart."""
+    rng = random.Random(3)
+    singles = " ".join(f"c{k}" for k in range(lm.SINGLES)) + " "
+    rows = [(i, singles * 20 + " ".join(rng.choice(["left zaqo", "right zuqo", f"x{rng.randrange(400)}qo"]) for _ in range(30))) for i in range(1000)]
+    tests = [(-1, "left zaqo"), (-2, "left zuqo"), (-3, "right zuqo"), (-4, "right zaqo")]
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows + tests], DOCS)
+    score = {r.doc_id: r.score for r in lm.score_documents(docs).where("doc_id < 0").collect()}
+    assert score[-1] > score[-2] + 0.3 and score[-3] > score[-4] + 0.3
+
+
+def test_shares_inside_a_class_sum_to_one(spark):
+    """Known words and one unseen word spread over the leaves, whatever the parameters."""
+    words, endings, _ = lm.words_of([" ".join(f"w{i}ab" for i in range(300)).encode()])
+    counts = np.arange(1, 301)
+    vocabulary = spark.createDataFrame([(int(h), int(e), int(n)) for h, e, n in zip(words.view(np.int64), endings, counts)], "h long, ending int, n long")
+    classes = lm.summarise(vocabulary, 1)
+    w = np.random.default_rng(0).standard_normal((classes.cells, lm.WAYS)).astype(np.float32)
+    group = int(classes.ending[endings[0]])
+    inside = classes.of(words, endings) == group
+    bits = 5 * int(classes.depth[group])
+    leaves = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+
+    def shares(last):
+        """What the history (the word 'w7ab' before) adds to each of the words."""
+        seq = np.stack([np.full(len(last), words[7]), last], axis=1).ravel()
+        at = np.arange(len(last) + 1) * 2
+        cls, _, first = lm.positions(seq, np.full(len(seq), endings[0]), at, classes)
+        return lm.step_shares(w, len(cls), lm.steps(seq, at, cls, classes), classes)[first[:-1] + 1]
+
+    assert classes.depth[group] == 3 and inside.sum() == 300 - lm.SINGLES
+    known = ((counts[inside] + 0.5) * np.exp(shares(words[inside]))).sum()
+    unseen = 0.5 / len(leaves) * np.exp(shares(leaves)).sum()
+    assert (known + unseen) / 10 ** classes.scale[group] == pytest.approx(1, abs=1e-4)
+
+
 def test_language_model_empty(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     only = spark.createDataFrame([(2, "x y", "", 1, 1)], DOCS)  # crc32("2") mod 5 decides

@@ -1,11 +1,17 @@
 """Language-model scores: a hashed maximum-entropy model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The class is predicted by a
-maximum-entropy model over hashed features of the history: the word before, the n-gram of
-the three classes before, and two skip features (classes two and four, three and five
-back). Classes: the end of a text, the most frequent words (a class each), and groups of
-words by their ending; within a group a word has its smoothed share of the group's
-training tokens, one unseen word included, so the model is a proper distribution.
+P(word | history) = P(class | history) * P(word | class, history). The class is predicted
+by a maximum-entropy model over hashed features of the history: the word before, the
+n-gram of the three classes before, and two skip features (classes two and four, three and
+five back). Classes: the end of a text, the most frequent words (a class each), and groups
+of words by their ending.
+
+Inside a group the word is found in steps of ``WAYS`` branches by digits of its hash, each
+step a softmax over hashed pairs of the node and the history (the word before, the two
+classes before), until the group has ``SPREAD`` leaves a word or the leaves are used up. A
+branch's prior is its smoothed share of the node's training tokens, and words of one leaf
+have their smoothed share of it; one unseen word of a group is spread over its leaves, so
+the model is a proper distribution.
 
 Training is distributed: in each round every partition runs mini-batch updates (adaptive
 steps) from the current parameters over its share of that round's training texts, and the
@@ -39,12 +45,17 @@ SINGLES = 11
 #: rows of the parameter table: word before, class trigram, two skip pairs, constant
 WORD_CELLS, GRAM_CELLS = 1 << 13, 1 << 13
 CELLS = WORD_CELLS + GRAM_CELLS + 2 * CLASSES * CLASSES + 1
+#: branches of a step inside a group (five bits of the hash), leaves wanted for each word, leaves of all groups at most
+WAYS, SPREAD, LEAVES = CLASSES, 4, 1 << 21
+#: rows of the parameter table of the steps: a quarter of the types, within these bounds
+STEP_CELLS = 1 << 10, 1 << 15
+STEP_RATE = 0.2
 #: words whose counts are broadcast, at most
 HEAD = 1 << 18
 ROUNDS = 2
 RATE = 0.5
 BATCH = 4096
-#: training tokens per partition of a round, at least (its parameters are 2.4 MB)
+#: training tokens per partition of a round, at least (its parameters are 6.7 MB at most)
 SHARD_TOKENS = 2_000_000
 END = 0
 
@@ -77,6 +88,10 @@ class Classes:
     ending: np.ndarray  # class of each ending
     scale: np.ndarray  # log10 of each group's denominator; 0 for classes of one word
     prior: np.ndarray  # log class share
+    depth: np.ndarray | None = None  # steps inside each class
+    base: np.ndarray | None = None  # [class, step]: first node of the step, a row of ``shares``
+    shares: np.ndarray | None = None  # log share of each branch of a node
+    cells: int = 0  # rows of the steps' parameter table
 
     def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
         out = self.ending[endings]
@@ -134,8 +149,103 @@ def summarise(vocabulary: DataFrame, ends: int) -> Classes:
     mass[END] = ends
     mass[1:1 + len(singles)] = [c for _, c in singles]
     prior = np.log((mass + 1) / (mass + 1).sum()) if tokens else np.zeros(CLASSES)
-    return Classes(tokens, types, ends, np.array([h for h, _ in singles], dtype=np.uint64), np.array([c for _, c in singles], dtype=np.int64),
-                   ending, scale, prior.astype(np.float32))
+    classes = Classes(tokens, types, ends, np.array([h for h, _ in singles], dtype=np.uint64), np.array([c for _, c in singles], dtype=np.int64),
+                      ending, scale, prior.astype(np.float32))
+    branch_shares(vocabulary, classes, kinds)
+    return classes
+
+
+def depths(kinds: np.ndarray) -> np.ndarray:
+    """Steps of each class with ``kinds`` words: enough for SPREAD leaves a word, all leaves together LEAVES at most."""
+    depth = np.zeros(len(kinds), dtype=np.int64)
+    while True:
+        short = np.flatnonzero((kinds > 0) & (WAYS ** depth < SPREAD * kinds))
+        grown = depth + (np.arange(len(kinds))[:, None] == short).T
+        fits = (WAYS ** grown * (grown > 0)).sum(axis=1) <= LEAVES
+        if not fits.any():
+            return depth
+        crowd = np.where(fits, kinds[short] / WAYS ** depth[short], -1.0)
+        depth[short[np.argmax(crowd)]] += 1
+
+
+def branch_shares(vocabulary: DataFrame, classes: Classes, kinds: np.ndarray) -> None:
+    """Fills in the steps of ``classes``: nodes and the shares of their branches (LEAVES bounds their number)."""
+    depth = depths(np.where(np.arange(CLASSES) > SINGLES, kinds, 0).astype(np.int64))
+    leaves = np.where(depth > 0, WAYS ** depth, 0)
+    first = np.append(0, np.cumsum(leaves))
+    block = 1 << 15
+    groups = vocabulary.sparkSession.sparkContext.broadcast((classes, depth, first))
+
+    def place(batches):
+        classes, depth, first = groups.value
+        for b in batches:
+            h = b.column(0).to_numpy().view(np.uint64)
+            cls = classes.of(h, b.column(1).to_numpy())
+            use = np.flatnonzero(depth[cls] > 0)
+            leaf = first[cls[use]] + (h[use] >> (64 - 5 * depth[cls[use]]).astype(np.uint64)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((leaf // block).astype(np.int32)), pa.array((leaf % block).astype(np.int32)),
+                                              pa.array(b.column(2).to_numpy()[use])], names=["k", "leaf", "n"])
+
+    def add(batches):
+        acc: dict[int, np.ndarray] = {}
+        for b in batches:
+            k, leaf, n = (c.to_numpy() for c in b.columns)
+            for one in np.unique(k):
+                at = k == one
+                part = np.bincount(leaf[at], weights=n[at] + 0.5, minlength=block)
+                acc[one] = acc[one] + part if one in acc else part
+        for one, part in acc.items():
+            yield pa.RecordBatch.from_pydict({"k": pa.array([int(one)], pa.int32()), "v": pa.array([part.tobytes()], pa.binary())})
+
+    mass = np.zeros((first[-1] // block + 1) * block)
+    words = vocabulary.select("h", "ending", "n").mapInArrow(place, "k int, leaf int, n long")
+    for r in words.repartition(64, "k").mapInArrow(add, "k int, v binary").collect():
+        mass[r.k * block:(r.k + 1) * block] = np.frombuffer(bytes(r.v))
+    base, shares, nodes = np.zeros((CLASSES, 8), dtype=np.int64), [], 0
+    for c in np.flatnonzero(depth):
+        under = mass[first[c]:first[c + 1]] + 0.5 / leaves[c]
+        for k in range(depth[c] - 1, -1, -1):
+            node = under.reshape(-1, WAYS)
+            under = node.sum(axis=1)
+            shares.append(np.log(node / under[:, None]).astype(np.float32))
+            base[c, k] = nodes
+            nodes += len(node)
+    low, high = STEP_CELLS
+    classes.depth, classes.base = depth, base
+    classes.shares = np.concatenate(shares) if shares else np.zeros((0, WAYS), np.float32)
+    classes.cells = min(max(low, 1 << max(0, classes.types // 4).bit_length()), high)
+
+
+def steps(words: np.ndarray, at: np.ndarray, cls: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token, node, branch, feature rows) of the steps inside the tokens' classes, in the order of the tokens."""
+    h = np.insert(words, at[1:], np.uint64(0))
+    before = np.append(np.uint64(0), h[:-1])  # 0 after a text's end, as h is there
+    c1 = np.append(END, cls[:-1])
+    c2 = np.where(c1 == END, END, np.append([END, END], cls[:-2])[:len(cls)])
+    histories = before, mix64((c1 * CLASSES + c2 + 1).astype(np.uint64))
+    depth = classes.depth[cls]
+    token = np.repeat(np.arange(len(cls)), depth)
+    k = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth)
+    seen = np.where(k > 0, h[token] >> (64 - 5 * np.maximum(k, 1)).astype(np.uint64), np.uint64(0)).astype(np.int64)
+    branch = (h[token] >> (59 - 5 * k).astype(np.uint64)).astype(np.int64) & (WAYS - 1)
+    node = classes.base[cls[token], k] + seen
+    place = mix64(node.astype(np.uint64) + np.uint64(1))
+    cells = np.empty((len(token), len(histories)), dtype=np.int64)
+    for f, x in enumerate(histories):
+        cells[:, f] = (mix64(place + np.uint64(2 * f + 1) * x[token]) % np.uint64(max(classes.cells, 1))).astype(np.int64)
+    return token, node, branch, cells
+
+
+def step_shares(w: np.ndarray, tokens: int, part: tuple, classes: Classes) -> np.ndarray:
+    """What the history adds to the logarithm of each token's unigram share inside its class."""
+    token, node, branch, cells = part
+    parts = []
+    for k in range(0, len(token), BATCH):
+        s = slice(k, k + BATCH)
+        prior = classes.shares[node[s]]
+        more = log_shares(w, cells[s], branch[s], prior, False) - prior[np.arange(len(prior)), branch[s]]
+        parts.append(more)
+    return np.bincount(token, weights=np.concatenate(parts), minlength=tokens) if parts else np.zeros(tokens)
 
 
 def positions(words: np.ndarray, endings: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,33 +272,36 @@ def positions(words: np.ndarray, endings: np.ndarray, at: np.ndarray, classes: C
     return cls, rows, first
 
 
-def _exponentials(w: np.ndarray, rows: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _exponentials(w: np.ndarray, rows: np.ndarray, prior: np.ndarray, constant: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(scores less their maximum, exponentials of these) of each history's classes."""
     z = w.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += w.take(rows[:, k], axis=0)
-    z += w[-1] + prior  # the constant row
+    z += w[-1] + prior if constant else prior  # the constant row is the last
     z -= z.max(axis=1, keepdims=True)
     return z, np.exp(z)
 
 
-def log_shares(w: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray) -> np.ndarray:
+def log_shares(w: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, constant: bool = True) -> np.ndarray:
     """Natural logarithm of the share that each history gives its class."""
-    z, e = _exponentials(w, rows, prior)
+    z, e = _exponentials(w, rows, prior, constant)
     return z[np.arange(len(cls)), cls] - np.log(e.sum(axis=1))
 
 
-def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, rate: float = RATE) -> None:
+def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, rate: float = RATE,
+           constant: bool = True) -> None:
     """One mini-batch step on the rows of the batch, in place."""
-    _, d = _exponentials(w, rows, prior)
+    _, d = _exponentials(w, rows, prior, constant)
     d /= d.sum(axis=1, keepdims=True)
     d[np.arange(len(cls)), cls] -= 1
     flat = rows.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # CELLS fit: a radix sort
     at = flat[order]
-    edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    used = np.append(at[edge], len(w) - 1)
-    g = np.concatenate([np.add.reduceat(d.take(order // rows.shape[1], axis=0), edge, axis=0), d.sum(axis=0, keepdims=True)])
+    edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))[:len(at)]
+    used = at[edge]
+    g = np.add.reduceat(d.take(order // rows.shape[1], axis=0), edge, axis=0)
+    if constant:
+        used, g = np.append(used, len(w) - 1), np.concatenate([g, d.sum(axis=0, keepdims=True)])
     step = squares[used] + np.einsum("ij,ij->i", g, g) / g.shape[1]
     squares[used] = step
     g *= (rate / np.sqrt(step + 1.0))[:, None]
@@ -197,7 +310,9 @@ def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray
 
 def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = ROUNDS) -> np.ndarray:
     sc = docs.sparkSession.sparkContext
-    w, squares = np.zeros((CELLS, CLASSES), dtype=np.float32), np.zeros(CELLS, dtype=np.float32)
+    # the classes' rows, then the steps'
+    size = CELLS + classes.cells
+    w, squares = np.zeros((size, CLASSES), dtype=np.float32), np.zeros(size, dtype=np.float32)
     if not classes.tokens:
         return w
     # a share is whole partitions: their results are what the round shuffles
@@ -214,9 +329,14 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
             for b in batches:
                 texts = [t for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))) if not held_out(i) and zlib.crc32(t) // 7 % rounds == r]
                 for lo, hi in text_slices(texts):
-                    cls, rows, _ = positions(*words_of(texts[lo:hi]), classes)
+                    words, endings, at = words_of(texts[lo:hi])
+                    cls, rows, _ = positions(words, endings, at, classes)
+                    token, node, branch, cells = steps(words, at, cls, classes)
                     for k in range(0, len(cls), BATCH):
-                        update(w, squares, rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
+                        update(w[:CELLS], squares[:CELLS], rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
+                    for k in range(0, len(token), BATCH):
+                        s = slice(k, k + BATCH)
+                        update(w[CELLS:], squares[CELLS:], cells[s], branch[s], classes.shares[node[s]], STEP_RATE, False)
                     seen += len(cls)
             if seen:
                 both = np.concatenate([w, squares[:, None]], axis=1).astype(np.float64) * seen
@@ -280,7 +400,8 @@ def score_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
                 cls, rows, first = positions(words, endings, at, classes)
                 logp = np.empty(len(cls))
                 for k in range(0, len(cls), BATCH):
-                    logp[k:k + BATCH] = log_shares(w, rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
+                    logp[k:k + BATCH] = log_shares(w[:CELLS], rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
+                logp += step_shares(w[CELLS:], len(cls), steps(words, at, cls, classes), classes)
                 run_p = np.append(0, np.cumsum(logp / ln10 - classes.scale[cls]))
                 wc = classes.of(words, endings)
                 alone = (wc >= 1) & (wc <= len(classes.singles))
