@@ -169,6 +169,24 @@ def test_toxicity_on_held_out_labels(spark):
     assert sum(bisect.bisect_left(good, b) for b in bad) > 0.97 * len(bad) * len(good)
 
 
+def test_lexicon_counts_classes_of_copies(spark):
+    """A word in four of 400 toxic documents is an entry; words of one document's many altered copies are none."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    base = text(80).split()
+    rows = [(text(80) + (" zworp" if i < 4 else ""), 1) for i in range(360)]
+    rows += [(" ".join(base[:i] + [f"q{i}"] + base[i + 1:]) + " copyword", 1) for i in range(40)]
+    rows += [(text(80), 0) for _ in range(3000)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "zworp" in lexicon and "copyword" not in lexicon
+
+
+def test_toxicity_recall_on_held_out_rows(spark):
+    got = E.queries()["op7_toxicity"](spark, LARGER).join(spark.read.parquet(f"{LARGER}/labels.parquet"), "doc_id").where("held_out AND toxic = 1")
+    found, n = got.agg(F.sum("predicted"), F.count(F.lit(1))).first()
+    assert found >= 0.85 * n
+
+
 def test_folds_and_columns(spark):
     df = spark.createDataFrame(odd_rows(), DOCS)
     labels = spark.createDataFrame([(i, 1, int(i in (5, 6, 7, 8))) for i in range(15)], LABELS)

@@ -31,13 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from vecflow.llm.common import as_bytes, concat_texts, text_slices
+from vecflow.llm.common import as_bytes, concat_texts, hashed_texts, mix64, text_slices
 
 #: labelled rows used, at most
 SAMPLE = 20_000
 #: lexicon entries, and candidates counted for it, at most
 LEXICON = 2_000
 CANDIDATES = 50_000
+#: classes of copies that an entry must occur in, among the toxic rows
+OFTEN = 4
+#: smallest hashes of a text's runs of SHINGLE words that find its copies, and how many of them copies share
+SKETCH, SHINGLE, ALIKE = 8, 4, 4
 #: lengths of word beginnings that may be entries
 STEMS = (4, 5, 6)
 #: a hit is near a second-person word within so many words
@@ -146,15 +150,61 @@ def fold(id):
     return (F.crc32(id.cast("string").cast("binary")) % 5).cast("int")
 
 
+def sketches(texts: list[bytes]) -> np.ndarray:
+    """SKETCH smallest hashes, each of its own order, of every text's runs of SHINGLE words."""
+    out = np.zeros((len(texts), SKETCH), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for row, h in hashed_texts(texts):
+            run = h if len(h) < SHINGLE else np.zeros(len(h) - SHINGLE + 1, dtype=np.uint64)
+            if len(h) >= SHINGLE:
+                for k in range(SHINGLE):
+                    run = mix64(run + h[k:len(h) - SHINGLE + 1 + k])
+            if len(run):
+                out[row] = [mix64(run + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)).min() for k in range(SKETCH)]
+    return out
+
+
+def copy_classes(found: np.ndarray) -> np.ndarray:
+    """Class of copies of each row of sketches: rows that share ALIKE hashes with the first row that has one of them."""
+    up = np.arange(len(found))
+
+    def top(i):
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    for k in range(SKETCH):
+        _, first, back = np.unique(found[:, k], return_index=True, return_inverse=True)
+        leader = first[back]
+        for i in np.flatnonzero((leader != np.arange(len(found))) & ((found == found[leader]).sum(axis=1) >= ALIKE)):
+            up[top(i)] = top(leader[i])
+    return np.array([top(i) for i in range(len(found))], dtype=np.int64)
+
+
 def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
-    """Entries with their log odds, from (text, toxic): document counts among toxic rows first, then among the others."""
+    """Entries with their log odds, from (text, toxic): counts of classes of copies among toxic rows first, then of the other documents."""
+    def sketch(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in sketches(as_bytes(b.column(0))).T], names=[f"s{k}" for k in range(SKETCH)])
+
+    def by_class(classes):
+        def run(batches):
+            seen: set[tuple[str, int]] = set()
+            for b in batches:
+                texts = b.column(0).to_pylist()
+                for t, key in zip(texts, sketches(as_bytes(b.column(0)))):
+                    c = classes.value[key.tobytes()]
+                    seen.update((e, c) for w in set((t or "").lower().split()) for e in entries_of(plain_word(w)[0]))
+            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64())], names=["e", "c"])
+        return run
+
     def count(wanted):
         def run(batches):
             seen: Counter[str] = Counter()
             for b in batches:
                 for t in b.column(0).to_pylist():
-                    found = {e for c in set((t or "").lower().split()) for e in entries_of(plain_word(c)[0])}
-                    seen.update(found if wanted is None else found & wanted.value)
+                    seen.update({e for c in set((t or "").lower().split()) for e in entries_of(plain_word(c)[0])} & wanted.value)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["e", "n"])
         return run
@@ -162,14 +212,20 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     n_toxic, n = rows.agg(F.sum("toxic"), F.count("toxic")).first()
     if not n_toxic or n_toxic == n:
         return {}
-    often = max(6, n_toxic // 50)
-    top = rows.where("toxic = 1").select("text").mapInArrow(count(None), "e string, n long").groupBy("e").agg(F.sum("n").alias("n")).where(
-        (F.col("n") >= often) & (F.length("e") > 1)).orderBy(F.desc("n"), "e").limit(CANDIDATES).collect()
+    toxic = rows.where("toxic = 1").select("text")
+    order = [f"s{k}" for k in range(SKETCH)]
+    known = toxic.mapInArrow(sketch, ", ".join(f"{c} long" for c in order)).distinct().orderBy(*order).collect()  # SAMPLE bounds them
+    found = np.array([tuple(r) for r in known], dtype=np.int64).astype(np.uint64)
+    classes = copy_classes(found)
+    n_classes = len(np.unique(classes))
+    held = rows.sparkSession.sparkContext.broadcast({x.tobytes(): int(c) for x, c in zip(found, classes)})
+    top = toxic.mapInArrow(by_class(held), "e string, c long").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(
+        (F.col("n") >= OFTEN) & (F.length("e") > 1)).orderBy(F.desc("n"), "e").limit(CANDIDATES).collect()
     bad = {r.e: r.n for r in top}
     wanted = rows.sparkSession.sparkContext.broadcast(frozenset(bad))  # at most CANDIDATES short strings
     good = {r.e: r.n for r in rows.where("toxic = 0").select("text").mapInArrow(count(wanted), "e string, n long").groupBy("e").agg(
         F.sum("n").alias("n")).collect()}
-    odds = {e: math.log((k + 0.5) / (n_toxic + 1)) - math.log((good.get(e, 0) + 0.5) / (n - n_toxic + 1)) for e, k in bad.items()}
+    odds = {e: math.log((k + 0.5) / (n_classes + 1)) - math.log((good.get(e, 0) + 0.5) / (n - n_toxic + 1)) for e, k in bad.items()}
     best = sorted((e for e in odds if odds[e] > 3), key=lambda e: (-odds[e] * bad[e], e))[:size]
     return {e: odds[e] for e in best}
 
