@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecflow.llm import bpe, embedding_dedup, fingerprint, language_model, ngram_join, packing, quality, suffix_dedup, toxicity, warc
+from vecflow.llm import (bpe, clustering, embedding_dedup, fingerprint, language_model, mixing, ngram_join, packing, quality,
+                         suffix_dedup, toxicity, warc, whitening)
 from vecflow.llm.common import prepare, table
 from vecflow.session import scratch_dir
 
@@ -70,6 +71,21 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return clustering.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprint": op1_lz_fingerprint,
     "op2_ngram_join": op2_ngram_join,
@@ -81,6 +97,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_importance_resampling": op9_importance_resampling,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_source_mix": op11_source_mix,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_arc_to_warc": """
@@ -91,4 +110,6 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id <> kept THEN kept END AS refers_to
         FROM d JOIN k USING (payload_digest)""",
+    "op11_source_mix": mixing.MIX_SQL,
+    "op12_centroid_clusters": clustering.cluster_sql(),
 }
