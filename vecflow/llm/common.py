@@ -19,14 +19,24 @@ _M2 = np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: odd base of the polynomial hash of a word's bytes
 _BASE = 0x5851F42D4C957F2D
+#: bytes of a batch that goes to or from Python, about (a longer row is a batch of its own)
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 #: bytes of text hashed at a time (bounds the 8-byte-per-byte work arrays)
 SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder known, package importable on executors."""
+    """Checkpoint folder known, package importable on executors, batches of rows bounded by bytes.
+
+    Spark's own bound (64 MiB) holds several times in a task, as rows, batches and
+    results; a smaller one that the session sets is kept.
+    """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    now = spark.conf.get(_BATCH_SETTING, "")
+    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,8 +8,9 @@ bytes belongs to the smallest hash among its ``GRAM``-byte grams, and a run of n
 windows with the same smallest hash is one segment. Equal windows have equal smallest
 hashes. Only segments whose gram occurs more than once go on; equal segments are one row
 (all their windows repeat). A gram that occurs in more than ``SPLIT`` segments splits them
-once more by a second hash, so a common line brings hardly any texts together; what still
-exceeds ``GROUP`` distinct segments is compared window by window through an aggregation.
+once more by a second hash, so a common line brings hardly any texts together; a group of
+more than ``GROUP`` bytes of distinct segments is compared window by window through an
+aggregation.
 
 The segments of a few groups make one suffix array, by two-stage sorting: only suffixes
 smaller than their successors are sorted directly, the others follow by a scan of the
@@ -18,7 +19,7 @@ buckets; neighbours whose common prefix reaches LENGTH are repeats.
 Texts go through one shuffle, by row; both passes over them read it. Texts are told apart
 by two 64-bit hashes, segments by one per gram, single windows by 128 bits.
 
-Defined cases: a null text is empty, shorter texts than LENGTH lose nothing; repeated rows
+Defined cases: a null text is empty (and stays null in ``deduplicated``), shorter texts than LENGTH lose nothing; repeated rows
 are copies of each other and lose everything if long enough; a null id is a value like
 any other; an empty table gives no rows; extra columns are ignored (kept by
 ``deduplicated``); texts of any length are read whole, in overlapping pieces; where a cut
@@ -43,12 +44,14 @@ LENGTH = 400
 GRAM = 32
 #: a gram in more segments than this splits them by a second hash
 SPLIT = 64
-#: distinct segments that one suffix array may have of a group
-GROUP = 4096
+#: bytes of distinct segments that one suffix array may have of a group (each takes about 110 bytes of memory there)
+GROUP = 512 << 10
 #: bytes of a suffix array, about
 ARRAY_BYTES = 256 << 10
 #: bytes of one text that are hashed at a time
 PIECE = 4 << 20
+#: windows of one segment that are listed at a time
+SLICE = 1 << 16
 _ODD = 0x9E6C63D0876A9A47
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -133,71 +136,117 @@ def _is_least(grams: np.ndarray, low: np.ndarray, w: int) -> np.ndarray:
 
 
 # ------------------------------------------------------------------ suffix array
-def two_stage_suffixes(data: bytes, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` bytes; a suffix ends where its segment ends.
+def packed_words(data: bytes, big: bool = False) -> np.ndarray:
+    """The eight bytes from each position on as one number (zeros after the end)."""
+    n, padded = len(data), data + bytes(15)
+    out = np.empty(n, dtype=np.uint64)
+    for k in range(min(8, n)):
+        out[k::8] = np.frombuffer(padded, dtype=">u8" if big else "<u8", offset=k, count=-(-(n - k) // 8))
+    return out
+
+
+def two_stage_suffixes(data: bytes, ends: np.ndarray, depth: int, least: int = 1) -> np.ndarray:
+    """Suffixes of at least ``least`` bytes to the end of their segment, in order of their first ``depth`` bytes.
 
     ``ends``: the (rising) ends of the segments that ``data`` consists of. Suffixes smaller
     than their successors are sorted directly; each other suffix is put into the next place
-    of its first byte's bucket when the scan meets its successor.
+    of its first byte's bucket when the scan meets its successor. A bucket is scanned in
+    waves: what precedes a finished stretch by a larger byte goes to later buckets at once,
+    what precedes it by the bucket's own byte is the bucket's next stretch. Shorter suffixes
+    take part only where the scan needs them: up to the first directly sorted one.
     """
     n = len(data)
-    codes = np.frombuffer(data, dtype=np.uint8).astype(np.int64) + 1
     # with a smallest separator after each segment
-    sep = np.zeros(n + len(ends), dtype=np.int64)
-    place = np.arange(n) + np.searchsorted(ends, np.arange(n), side="right")
-    sep[place] = codes
-    m = len(sep)
-    nxt = np.append(sep[1:], 0)
-    differs = sep != nxt
-    last = np.where(differs, np.arange(m), m)
-    after = np.minimum.accumulate(last[::-1])[::-1]  # the next position that differs from its successor
-    smaller = np.zeros(m, dtype=bool)
-    ok = after < m
-    smaller[ok] = sep[after[ok]] < nxt[after[ok]]
-    is_sep = sep == 0
-    smaller[is_sep] = True
-    direct = np.flatnonzero(smaller & ~is_sep)
-    origin = np.full(m, -1, dtype=np.int64)
-    origin[place] = np.arange(n)
-    limit = ends[np.searchsorted(ends, origin[direct], side="right")]
-    at = origin[direct].tolist()
-    order = sorted(range(len(at)), key=[data[i:min(i + depth, e)] for i, e in zip(at, limit.tolist())].__getitem__)
-    direct = direct[np.array(order, dtype=np.int64)] if order else direct
-    sizes = np.bincount(sep, minlength=257)
-    bucket_end = np.cumsum(sizes)
-    head = (bucket_end - sizes).tolist()
-    sa = np.full(m, -1, dtype=np.int64)
-    sa[:sizes[0]] = np.flatnonzero(is_sep)
+    place = np.arange(n, dtype=np.int32)
+    place += np.searchsorted(ends, place, side="right").astype(np.int32)
+    m = n + len(ends)
+    sep = np.zeros(m, dtype=np.int16)
+    sep[place] = np.frombuffer(data, dtype=np.uint8)
+    sep[place] += 1
+    nxt = np.append(sep[1:], np.int16(0))
+    # compared with the next position that differs from its successor
+    spot = np.arange(m, dtype=np.int32)
+    after = np.minimum.accumulate(np.where(sep != nxt, spot, np.int32(m - 1))[::-1])[::-1]
+    smaller = sep[after] < nxt[after]
+    smaller[sep == 0] = True
+    origin = np.full(m, -1, dtype=np.int32)
+    origin[place] = np.arange(n, dtype=np.int32)
+    # positions from a segment's start to the first directly sorted one that is no earlier than its last window
+    lows, marks = np.append(0, ends[:-1]), ends + np.arange(len(ends))
+    long = ends - lows >= least
+    direct_after = np.minimum.accumulate(np.where(smaller, spot, np.int32(m - 1))[::-1])[::-1]
+    edge = np.zeros(m + 1, dtype=np.int32)
+    edge[(lows + np.arange(len(ends)))[long]] = 1
+    edge[direct_after[(marks - least)[long]] + 1] -= 1
+    part = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    part[marks] = True
+    del edge, direct_after, after, nxt
+    direct = np.flatnonzero(smaller & part & (sep > 0))
+    at = origin[direct]
+    at = at[np.argsort(packed_words(data, True)[at], kind="stable")]  # nearly in order: the sort compares less
+    limit = np.minimum(at + depth, ends[np.searchsorted(ends, at, side="right")])
+    keys = [data[i:e] for i, e in zip(at.tolist(), limit.tolist())]
+    direct = place[at[np.array(sorted(range(len(keys)), key=keys.__getitem__), dtype=np.int64)]]
+    del keys
+    sizes = np.bincount(sep[part], minlength=257)
+    stop = np.cumsum(sizes)
+    head = stop - sizes
+    sa = np.full(int(stop[-1]), -1, dtype=np.int32)
+    sa[:sizes[0]] = marks
+    head[0] = sizes[0]
     # directly sorted suffixes close their buckets, in order
     first = sep[direct]
-    held = np.bincount(first, minlength=257)
-    begin = bucket_end - held
-    within = np.arange(len(direct)) - np.repeat(np.cumsum(held) - held, held)
-    sa[begin[first] + within] = direct
-    out, text, kind = sa.tolist(), sep.tolist(), smaller.tolist()
-    for j in range(m):
-        i = out[j] - 1
-        if i >= 0 and not kind[i]:
-            c = text[i]
-            out[head[c]] = i
-            head[c] += 1
-    result = origin[np.array(out, dtype=np.int64)]
-    return result[result >= 0]
+    own = np.bincount(first, minlength=257)
+    begin = stop - own
+    sa[begin[first] + np.arange(len(direct)) - np.repeat(np.cumsum(own) - own, own)] = direct
+    induced = part & ~smaller
+    for c in np.flatnonzero(sizes).tolist():
+        lo, done = int(stop[c] - sizes[c]), int(head[c])
+        while lo < done:  # the bucket's own part, in waves
+            lo, done = done, done + _induce(sa[lo:done], c, sep, induced, sa, head)
+        _induce(sa[begin[c]:stop[c]], c, sep, induced, sa, head)
+    result = origin[sa]
+    result = result[result >= 0]
+    return result[ends[np.searchsorted(ends, result, side="right")] - result >= least]
+
+
+def _induce(found: np.ndarray, c: int, sep: np.ndarray, induced: np.ndarray, sa: np.ndarray, head: np.ndarray) -> int:
+    """Puts what precedes the stretch ``found`` of bucket ``c`` in place, in order; how many went into ``c`` itself."""
+    before = found[found > 0] - 1
+    before = before[induced[before]]
+    byte = sep[before]
+    order = np.argsort(byte, kind="stable")
+    before, byte = before[order], byte[order]
+    cut = np.flatnonzero(np.append(True, byte[1:] != byte[:-1]))[:len(byte)]
+    into = 0
+    for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(byte)]):
+        b = int(byte[a])
+        sa[head[b]:head[b] + z - a] = before[a:z]
+        head[b] += z - a
+        into += (z - a) * (b == c)
+    return into
+
+
+def common_prefixes(data: bytes, a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
+    """Common prefix of the suffixes at ``a`` and ``b``, ``depth`` at most; both have so many bytes left."""
+    words = packed_words(data)
+    out = np.zeros(len(a), dtype=np.int64)
+    on = np.arange(len(a))
+    for k in range(0, depth, 8):
+        differ = words[a[on] + k] ^ words[b[on] + k]
+        low = differ & (~differ + np.uint64(1))  # its lowest bit is in the first byte that differs
+        out[on] = k + np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
+        on = on[differ == 0]
+    return np.minimum(out, depth)
 
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """Per part, which of its windows equal another window of any of the parts (booleans by start)."""
     data, ends = b"".join(parts), np.cumsum([len(p) for p in parts])
-    sa = two_stage_suffixes(data, ends, length)
-    room = ends[np.searchsorted(ends, sa, side="right")] - sa
-    window = sa[room >= length].tolist()  # neighbours that are equal stay neighbours
+    window = two_stage_suffixes(data, ends, length, length).astype(np.int64)
+    equal = np.flatnonzero(common_prefixes(data, window[:-1], window[1:], length) >= length)
     flags = np.zeros(len(data), dtype=bool)
-    before, text = -1, b""
-    for i in window:
-        here = data[i:i + length]
-        if here == text:  # the common prefix of neighbours reaches the length
-            flags[i] = flags[before] = True
-        before, text = i, here
+    flags[window[equal]] = flags[window[equal + 1]] = True
     lo = ends - [len(p) for p in parts]
     return [flags[a:max(b - length + 1, a)] for a, b in zip(lo.tolist(), ends.tolist())]
 
@@ -322,16 +371,19 @@ def _by_suffix_arrays(distinct: DataFrame, length: int) -> DataFrame:
 
 
 def _by_windows(distinct: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for one array: every window's 128-bit hash, counted by Spark."""
+    """The same for groups too large for one array: every window's 128-bit hash, written once and counted by Spark."""
     def run(batches):
         for b in batches:
             for key, seg, data in zip(*(c.to_pylist() for c in b.columns)):
-                n = len(data) - length + 1
-                sums = [xxhash.xxh3_128_digest(data[i:i + length]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([seg] * n, pa.int64()),
-                                                  pa.array(range(n), pa.int32()), pa.array(sums, pa.binary())], names=["key", "seg", "i", "w"])
-
-    windows = distinct.select("key", "seg", "data").mapInArrow(run, "key long, seg long, i int, w binary")
+                for lo in range(0, len(data) - length + 1, SLICE):
+                    at = range(lo, min(lo + SLICE, len(data) - length + 1))
+                    sums = [xxhash.xxh3_128_digest(data[i:i + length]) for i in at]
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.int64()), pa.array([seg] * len(at), pa.int64()),
+                                                      pa.array(at, pa.int32()), pa.array(sums, pa.binary())], names=["key", "seg", "i", "w"])
+
+    path = scratch_dir(distinct.sparkSession, "windows")
+    distinct.select("key", "seg", "data").mapInArrow(run, "key long, seg long, i int, w binary").write.parquet(path)
+    windows = distinct.sparkSession.read.parquet(path)
     again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     hits = windows.join(again, "w").groupBy("key", "seg").agg(F.array_sort(F.collect_list("i")).alias("starts"))
     return hits.select("key", "seg", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
@@ -359,15 +411,15 @@ def repeated_ranges(rows: DataFrame, grams: DataFrame, length: int = LENGTH) ->
     # equal segments in two places: all their windows repeat
     twice = kinds.where("lo != hi").select("key", "seg", F.array(F.lit(0)).alias("starts"), F.array("windows").alias("ends"))
     # equal windows have equal smallest grams: a group of one segment repeats only if its gram occurs in it again
-    size = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again")).where("c > 1 or again")
-    data = found.where("data is not null").select("key", "seg", "data").join(size.select("key", "c"), "key")
-    data = data.groupBy("key", "seg").agg(F.max("data").alias("data"), F.max("c").alias("c"))
+    size = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max("again").alias("again"),
+                                    F.sum(F.col("windows") + (length - 1)).alias("bytes")).where("c > 1 or again").checkpoint()
+    data = found.where("data is not null").select("key", "seg", "data").join(size.select("key", "bytes"), "key")
+    data = data.groupBy("key", "seg").agg(F.max("data").alias("data"), F.max("bytes").alias("bytes"))
     parts = input_partitions(rows.sparkSession)
-    few = data.where(F.col("c") <= GROUP).repartition(parts, "key").sortWithinPartitions("key", "seg")
-    many = kinds.join(size.where(F.col("c") > GROUP), "key").select("key", "seg")
+    few = data.where(F.col("bytes") <= GROUP).repartition(parts, "key").sortWithinPartitions("key", "seg")
     repeats = twice.unionByName(_by_suffix_arrays(few, length))
-    if not many.isEmpty():
-        repeats = repeats.unionByName(_by_windows(data.where(F.col("c") > GROUP), length))
+    if not size.where(F.col("bytes") > GROUP).isEmpty():
+        repeats = repeats.unionByName(_by_windows(data.where(F.col("bytes") > GROUP), length))
     flat = repeats.select("key", "seg", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select(
         "key", "seg", F.col("x.starts").alias("a"), F.col("x.ends").alias("z"))
     places = found.select("key", "seg", "k", "d1", "start").join(flat, ["key", "seg"]).select(
@@ -401,7 +453,7 @@ def _dealt(docs: DataFrame, text: str, id: str) -> DataFrame:
     key = F.coalesce(F.xxhash64(F.col(id)), F.lit(0))
     body = F.coalesce(F.col(text), F.lit(""))
     return docs.select(key.alias("k"), F.coalesce(F.xxhash64(body), F.lit(0)).alias("d1"), F.coalesce(F.xxhash64(F.lit("second"), body), F.lit(0)).alias("d2"),
-                       body.alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest"))
+                       body.alias("text"), F.col(text).isNull().alias("blank"), F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text)).alias("rest"))
 
 
 def _with_ranges(docs: DataFrame, length: int, text: str, id: str) -> DataFrame:
@@ -434,9 +486,10 @@ def deduplicated(docs: DataFrame, length: int = LENGTH, text: str = "text", id:
     def run(batches):
         for b in batches:
             done = cut_texts(as_bytes(b.column(0)), b.column(1).to_pylist(), length)
-            yield pa.RecordBatch.from_arrays([pa.array([d[0].decode(errors="ignore") for d in done], pa.string()), b.column(2)], names=["text", "rest"])
+            left = [None if blank else d[0].decode(errors="ignore") for d, blank in zip(done, b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()), b.column(2)], names=["text", "rest"])
 
     rows = _with_ranges(docs, length, text, id)
     inner = rows.schema["rest"].dataType.simpleString()
-    cut = rows.select("text", "ranges", "rest").mapInArrow(run, f"text string, rest {inner}")
+    cut = rows.select("text", "ranges", "rest", "blank").mapInArrow(run, f"text string, rest {inner}")
     return cut.select(*(F.col("text").alias(text) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
