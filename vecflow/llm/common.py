@@ -4,6 +4,7 @@ block-wise sums of fixed-size arrays.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ def prepare(spark: SparkSession) -> None:
     """
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    now = spark.conf.get(_BATCH_SETTING, "")
-    if not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH_BYTES:
+    digits, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", spark.conf.get(_BATCH_SETTING).lower()).groups()
+    if not 0 < int(digits) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
         spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
 
 
