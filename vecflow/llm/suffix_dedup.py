@@ -385,8 +385,18 @@ def _by_windows(distinct: DataFrame, length: int) -> DataFrame:
     distinct.select("key", "seg", "data").mapInArrow(run, "key long, seg long, i int, w binary").write.parquet(path)
     windows = distinct.sparkSession.read.parquet(path)
     again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    hits = windows.join(again, "w").groupBy("key", "seg").agg(F.array_sort(F.collect_list("i")).alias("starts"))
-    return hits.select("key", "seg", "starts", F.transform("starts", lambda x: x + 1).alias("ends"))
+    hits = windows.join(again, "w").groupBy("key", "seg").agg(F.collect_list("i").alias("at"))
+
+    def merge(batches):
+        for b in batches:
+            found = []
+            for r in range(b.num_rows):
+                at = np.sort(b.column(2)[r].values.to_numpy())
+                edge = np.flatnonzero(np.diff(at) > 1)
+                found.append((b.column(0)[r].as_py(), b.column(1)[r].as_py(), at[np.append(0, edge + 1)], at[np.append(edge, len(at) - 1)] + 1))
+            yield _found(found)
+
+    return hits.mapInArrow(merge, _FOUND)
 
 
 def repeated_ranges(rows: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFrame:
