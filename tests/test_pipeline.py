@@ -83,3 +83,21 @@ def test_checkpointed_phases_are_computed_once(spark):
     v = generate_vectors(spark, blocks=0, block_size=2, multiplier=50, num_partitions=2).withColumn("x", counted("x"))
     run_pipeline(spark, v, checkpoint=True)
     assert seen.value == 100
+
+
+def test_stores_agree_and_release_their_phases(spark):
+    import pytest
+
+    from vecflow import session
+
+    kw = dict(generate=True, blocks=2, block_size=2, multiplier=300, nodes=1, cores=2, nparts=2)
+    before = list(session._SCRATCH)
+    found = {s: run_pipeline(spark, store=s, **kw) for s in ("files", "memory", "checkpoint")}
+    for run in found.values():
+        assert run.counts == {"generate": 1800, "shift": 1800, "average": 3}
+        assert run.block_means.count() == 3
+        for k, v in found["files"].result.items():
+            assert math.isclose(run.result[k], v, rel_tol=1e-12)
+    assert len(session._SCRATCH) == len(before) + 1  # only the block means of the file store are left
+    with pytest.raises(ValueError):
+        run_pipeline(spark, store="tape", **kw)

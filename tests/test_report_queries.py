@@ -69,3 +69,50 @@ def test_one_configuration_sorts_in_many_tasks(spark):
             assert sum(per) == 20_000 and max(per) < 10_000, (q.__name__, per)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_one_file_keeps_order_over_partitions(spark, tmp_dir):
+    import os
+
+    from vecflow.sinks.export import export_file
+
+    df = spark.range(0, 5000, 1, 7).selectExpr("cast(pmod(xxhash64(id), 100000) as int) k", "id", "concat('t', id) name")
+    path = os.path.join(tmp_dir, "one.tsv")
+    for _ in range(2):  # the second replaces the first
+        export_file(df, path, ["k", "id"])
+        want = "k\tid\tname\n" + "".join(f"{r.k}\t{r.id}\t{r.name}\n" for r in sorted(df.collect()))
+        with open(path, newline="") as f:
+            assert f.read() == want
+    export_file(df.limit(0), path, ["k"], sep=",")
+    with open(path) as f:
+        assert f.read() == "k,id,name\n"
+
+
+def test_catalog_table_is_replaced_whole(spark, tmp_dir):
+    import pytest
+
+    from vecflow.sinks.table import write_results_table
+
+    one, two = spark.range(5).withColumnRenamed("id", "a"), spark.range(9).selectExpr("id b", "'x' c")
+    write_results_table(one, path=tmp_dir, table="vf_replaced")
+    assert spark.table("vf_replaced").count() == 5
+    write_results_table(two, path=tmp_dir, table="vf_replaced")
+    assert spark.table("vf_replaced").columns == ["b", "c"] and spark.table("vf_replaced").count() == 9
+    # from itself, and a failed write that leaves the table as it was
+    write_results_table(spark.table("vf_replaced").where("b < 4"), path=tmp_dir, table="vf_replaced")
+    with pytest.raises(Exception):
+        write_results_table(spark.range(3).selectExpr("assert_true(id < 2) a"), path=tmp_dir, table="vf_replaced")
+    assert spark.table("vf_replaced").count() == 4
+    spark.sql("DROP TABLE vf_replaced")
+
+
+def test_sql_views_bind_their_values(spark):
+    import pytest
+
+    from vecflow.plans.results_sql import results_view
+
+    spark.createDataFrame([(1, 2, 1024, 4)], "nodes int, blocks int, block_size int, nparts int").createOrReplaceTempView("vf_runs")
+    assert results_view(spark, "by_nodes", "vf_runs", nodes=1).count() == 1
+    assert results_view(spark, "by_blocks_and_size", "vf_runs", blocks=2, block_size=5).count() == 0
+    with pytest.raises(ValueError):
+        results_view(spark, "other", "vf_runs")

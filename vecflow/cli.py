@@ -33,6 +33,7 @@ def run_parser() -> argparse.ArgumentParser:
     p.add_argument("--hybrid", action="store_true")
     p.add_argument("--imperative", action="store_true")
     p.add_argument("--seed", type=int, default=0)
+    p.add_argument("--store", choices=("files", "memory", "checkpoint"), help="where eager phases go: files in spark.checkpoint.dir (default), memory or checkpoint")
     p.add_argument("--checkpoint", action="store_true",
                    help="eager phases as reliable checkpoints in spark.checkpoint.dir instead of caches")
     p.add_argument("--disk-only", action="store_true", help="eager phase caches on disk only")
@@ -88,7 +89,7 @@ def cmd_run(argv) -> int:
         imperative=a.imperative, blocks=a.blocks, block_size=a.block_size, multiplier=a.multiplier,
         nodes=a.nodes, cores=a.cores, nparts=a.nparts, seed=a.seed, job_id=json_job or xml_job,
         json_dir=json_dir, xml_dir=xml_dir, checkpoint=a.checkpoint,
-        storage_level=StorageLevel.DISK_ONLY if a.disk_only else StorageLevel.MEMORY_AND_DISK,
+        storage_level=StorageLevel.DISK_ONLY if a.disk_only else None, store=a.store,
     )
     r = run.result
     print(f"sum of block means: x={r['sum_of_block_means_x']} y={r['sum_of_block_means_y']} "

@@ -14,6 +14,8 @@ differs between engines in the last bit). Every query reads whole tables.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,8 +25,9 @@ from vecflow import operators as ops
 from vecflow.operators.joins import join_key_counts
 from vecflow.plans import report_queries as rq
 from vecflow.plans.pipeline import run_pipeline
+from vecflow.plans.results_sql import results_view
 from vecflow.session import ensure_checkpoint_dir, scratch_dir, ship_package
-from vecflow.sinks.export import export_text, read_text
+from vecflow.sinks.export import export_file, export_text, read_text, with_position
 from vecflow.sinks.report_files import write_report_files
 from vecflow.sinks.reports import write_reports
 from vecflow.sinks.table import results_table, write_results_table
@@ -229,13 +232,17 @@ def q_vectors_sink_roundtrip(spark, sf_dir):
 
 def q_timed_run_report(spark, sf_dir):
     """What is certain of the reports of timed runs, eager and lazy: a row for each
-    phase with a time of at least 0, overall as their sum, settings that are known or empty."""
+    phase with a time of at least 0, overall as their sum and no more than an outer clock
+    measures, settings that are known or empty."""
     _prepare(spark)
     out = []
     for mode, lazy in (("eager", False), ("lazy", True)):
+        began = time.monotonic()
         run = run_pipeline(spark, vectors(spark, sf_dir), lazy=lazy, job_id=f"lineitem-{mode}")
+        outer = time.monotonic() - began
         phases = {p: run.timings[p] for p in ("map", "shift", "average", "reduce")}
-        whole = abs(run.timings["overall"] - sum(phases.values())) < 1e-9
+        # phases follow each other: together they last no longer than the run by another clock
+        whole = abs(run.timings["overall"] - sum(phases.values())) < 1e-9 and 0 < run.timings["overall"] <= outer
         rows = spark.createDataFrame([(p, bool(t >= 0)) for p, t in phases.items()] + [("overall", whole)], "phase string, time_ok boolean")
         kept = run.report.select("experiment_id", "job_id", "generate", "blocks", "src", "dst", "lazy")
         out.append(rows.join(F.broadcast(kept)))  # the report is one row
@@ -413,6 +420,108 @@ def q_export_tsv(spark, sf_dir):
     return read_text(spark, path, df.schema, sep="\t")
 
 
+def q_export_file(spark, sf_dir):
+    """K5: O1 exported as one ordered file with one header, read back with each line's place in the file."""
+    _prepare(spark)
+    r = runs(spark, sf_dir)
+    keys = ["cores", "block_size", "job_id", "id"]
+    shown = rq.overall_sorted(r)
+    path = export_file(r.select(*rq._sized(r), *keys), f"{scratch_dir(spark, 'file')}.tsv", ["nodes", "cores", "blocks", "block_size", "job_id", "id"])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    cells = F.split("value", "\t")
+    return with_position(lines, ["block", "line"]).where("position > 1").select(
+        (F.col("position") - 1).alias("position"), *[cells[k].cast(f.dataType).alias(f.name) for k, f in enumerate(shown.schema)])
+
+
+def _catalog_results(spark, sf_dir) -> str:
+    """The runs as a table of the session's catalog, replaced once; its name."""
+    _prepare(spark)
+    name = f"vecflow_results_{uuid.uuid4().hex[:8]}"
+    folder = scratch_dir(spark, "catalog")
+    write_results_table(runs(spark, sf_dir).limit(0), path=folder, table=name)
+    write_results_table(runs(spark, sf_dir), path=folder, table=name)
+    return name
+
+
+def q_results_catalog(spark, sf_dir):
+    """K4: the results as a catalog table: dropped, created and filled again, read by name."""
+    return spark.table(_catalog_results(spark, sf_dir))
+
+
+def q_results_sql_sorted(spark, sf_dir):
+    """O1 as SQL text over the catalog table."""
+    return results_view(spark, "sorted", _catalog_results(spark, sf_dir))
+
+
+def q_results_sql_gb(spark, sf_dir):
+    """O2 + F1 as SQL text with a named parameter over the catalog table."""
+    return results_view(spark, "sorted_gb", _catalog_results(spark, sf_dir), nparts=4)
+
+
+def q_results_sql_sum_gb(spark, sf_dir):
+    """O3 as SQL text."""
+    return results_view(spark, "sum_gb", _catalog_results(spark, sf_dir))
+
+
+def q_results_sql_strong(spark, sf_dir):
+    """F3 as SQL text: a filter on the computed ``gb``."""
+    return results_view(spark, "strong", _catalog_results(spark, sf_dir), key=6, nparts=4)
+
+
+def q_results_sql_weak(spark, sf_dir):
+    """F2 as SQL text."""
+    return results_view(spark, "weak", _catalog_results(spark, sf_dir), key=48, nparts=4)
+
+
+def q_results_sql_filters(spark, sf_dir):
+    """F4 and F5 as SQL text: rows of either, told apart."""
+    name = _catalog_results(spark, sf_dir)
+    one = results_view(spark, "by_nodes", name, nodes=16).withColumn("view", F.lit("by_nodes"))
+    return one.unionByName(results_view(spark, "by_blocks_and_size", name, blocks=48, block_size=128).withColumn("view", F.lit("by_blocks_and_size")))
+
+
+# Views whose order is part of the result: (rows of the view with the keys of its order, keys)
+def _placed(spark, df, keys):
+    _prepare(spark)
+    return with_position(df, [*keys, "job_id", "id"]).drop("job_id", "id")
+
+
+def q_overall_sorted_order(spark, sf_dir):
+    """O1's order as a column: the place of each run."""
+    return _placed(spark, runs(spark, sf_dir).select("nodes", "cores", "blocks", "block_size", "job_id", "id"), ["nodes", "cores", "blocks", "block_size"])
+
+
+def q_overall_sorted_gb_order(spark, sf_dir):
+    """O2's order as a column."""
+    r = runs(spark, sf_dir).where("nparts = 4").select(rq.data_gb().alias("gb"), "nodes", "cores", "blocks", "block_size", "job_id", "id")
+    return _placed(spark, r, ["gb", "nodes", "cores", "blocks", "block_size"])
+
+
+def q_overall_sum_gb_order(spark, sf_dir):
+    """O3's order as a column."""
+    r = runs(spark, sf_dir).select(rq.sum_gb().alias("sum_gb"), "nodes", "cores", "blocks", "block_size", "job_id", "id")
+    return _placed(spark, r, ["sum_gb", "nodes", "cores", "blocks", "block_size"])
+
+
+def q_weak_series_order(spark, sf_dir):
+    """G1's order as a column."""
+    return _placed(spark, runs(spark, sf_dir).where("nparts = 4").select("blocks", "nodes", "job_id", "id"), ["blocks", "nodes"])
+
+
+def q_strong_series_order(spark, sf_dir):
+    """G2's order as a column."""
+    r = runs(spark, sf_dir).where("nparts = 4").select(rq.data_gb().alias("gb"), "nodes", "job_id", "id")
+    return _placed(spark, r, ["gb", "nodes"])
+
+
+def q_distinct_order(spark, sf_dir):
+    """A9's and A10's order as a column."""
+    _prepare(spark)
+    r = runs(spark, sf_dir)
+    blocks = with_position(rq.distinct_blocks(r), ["blocks"]).select(F.lit("blocks").alias("kind"), F.col("blocks").cast("long").alias("value"), "position")
+    return blocks.unionByName(with_position(rq.distinct_gb(r), ["gb"]).select(F.lit("gb").alias("kind"), F.col("gb").alias("value"), "position"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shift_vectors": q_shift_vectors,
     "matrix_sums": q_matrix_sums,
@@ -454,6 +563,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "strong_series": q_strong_series,
     "scaling_points": q_scaling_points,
     "export_tsv": q_export_tsv,
+    "export_file": q_export_file,
+    "results_catalog": q_results_catalog,
+    "results_sql_sorted": q_results_sql_sorted,
+    "results_sql_gb": q_results_sql_gb,
+    "results_sql_sum_gb": q_results_sql_sum_gb,
+    "results_sql_strong": q_results_sql_strong,
+    "results_sql_weak": q_results_sql_weak,
+    "results_sql_filters": q_results_sql_filters,
+    "overall_sorted_order": q_overall_sorted_order,
+    "overall_sorted_gb_order": q_overall_sorted_gb_order,
+    "overall_sum_gb_order": q_overall_sum_gb_order,
+    "weak_series_order": q_weak_series_order,
+    "strong_series_order": q_strong_series_order,
+    "distinct_order": q_distinct_order,
 }
 
 # ---------------------------------------------------------------- oracle SQL (DuckDB)
@@ -555,3 +678,30 @@ ORACLE_SQL["timed_run_result"] = _with(SQL_V, SQL_SH, SQL_M, SQL_B, "r AS (SELEC
        (SELECT count(*) FROM sh) AS generate_rows, (SELECT count(*) FROM sh) AS shift_rows,
        count(*) AS average_rows FROM b)""") + """SELECT m.mode, r.* FROM r, (VALUES ('eager'), ('lazy')) m(mode)"""
 ORACLE_SQL["timed_run_src"] = ORACLE_SQL["timed_run_result"]
+ORACLE_SQL["results_catalog"] = _with(SQL_RUNS) + "SELECT * FROM runs"
+ORACLE_SQL["results_sql_sorted"] = ORACLE_SQL["overall_sorted"]
+ORACLE_SQL["results_sql_gb"] = ORACLE_SQL["overall_sorted_gb"]
+ORACLE_SQL["results_sql_sum_gb"] = ORACLE_SQL["overall_sum_gb"]
+ORACLE_SQL["results_sql_strong"] = ORACLE_SQL["strong_series_for_gb"]
+ORACLE_SQL["results_sql_weak"] = ORACLE_SQL["weak_series_for_blocks"]
+ORACLE_SQL["results_sql_filters"] = _with(SQL_RUNS) + """SELECT *, 'by_nodes' AS view FROM runs WHERE nodes = 16
+       UNION ALL SELECT *, 'by_blocks_and_size' FROM runs WHERE blocks = 48 AND block_size = 128"""
+ORACLE_SQL["export_file"] = _with(SQL_RUNS, f"""o AS (SELECT {SQL_SIZED},
+       row_number() OVER (ORDER BY nodes, cores, blocks, block_size, job_id, id) AS position FROM runs)""") + "SELECT * FROM o"
+
+
+def _place(keys: str, where: str = "true") -> str:
+    names = ", ".join(k.rsplit(" AS ", 1)[-1] for k in keys.split("; "))
+    return _with(SQL_RUNS, f"k AS (SELECT {keys.replace('; ', ', ')}, job_id, id FROM runs WHERE {where})") + (
+        f"SELECT row_number() OVER (ORDER BY {names}, job_id, id) AS position, {names} FROM k")
+
+
+_SQL_GB = "(CAST(blocks AS BIGINT) * block_size) // 1024 AS gb"
+ORACLE_SQL["overall_sorted_order"] = _place("nodes; cores; blocks; block_size")
+ORACLE_SQL["overall_sorted_gb_order"] = _place(f"{_SQL_GB}; nodes; cores; blocks; block_size", "nparts = 4")
+ORACLE_SQL["overall_sum_gb_order"] = _place("(CAST(nodes AS BIGINT) * blocks * block_size) // 1024 AS sum_gb; nodes; cores; blocks; block_size")
+ORACLE_SQL["weak_series_order"] = _place("blocks; nodes", "nparts = 4")
+ORACLE_SQL["strong_series_order"] = _place(f"{_SQL_GB}; nodes", "nparts = 4")
+ORACLE_SQL["distinct_order"] = _with(SQL_RUNS, "b AS (SELECT DISTINCT blocks FROM runs)", f"g AS (SELECT DISTINCT {_SQL_GB} FROM runs)") + """
+       SELECT 'blocks' AS kind, CAST(blocks AS BIGINT) AS value, row_number() OVER (ORDER BY blocks) AS position FROM b
+       UNION ALL SELECT 'gb', gb, row_number() OVER (ORDER BY gb) FROM g"""

@@ -58,6 +58,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def kept_dir(spark: SparkSession, name: str) -> str:
+    """A new folder under the shared checkpoint folder that is not removed with the scratch folders."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vecflow-{name}-{uuid.uuid4().hex[:12]}"
+
+
 def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     """A new, unique folder under the shared checkpoint folder.
 
@@ -92,6 +97,14 @@ def clean_scratch(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete one scratch folder that is no longer read."""
+    if path in _SCRATCH:
+        _SCRATCH.remove(path)
+    gone = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -7,9 +7,12 @@ moving every row into one task (see ``functions.ids.dense_index``).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from vecflow.functions.ids import dense_index
+from vecflow.session import kept_dir
 from vecflow.sources.reports import FLAT_COLUMNS, RESULT_COLUMNS
 
 
@@ -19,11 +22,21 @@ def results_table(reports: DataFrame) -> DataFrame:
 
 
 def write_results_table(results: DataFrame, path: str | None = None, table: str | None = None) -> None:
-    """Replace the table (drop + create + insert in the reference)."""
-    writer = results.write.mode("overwrite")
+    """Replace the table (drop + create + insert in the reference).
+
+    With ``path`` alone: Parquet in that folder. With ``table``: a table of the session's
+    catalog over files in a new folder, under ``path`` if that is given, else the shared
+    scratch folder. The rows are written first; only then the name is given to them, so
+    a failed write leaves the table as it was, and a query that reads the table while it
+    is replaced by itself still sees the old files.
+    """
     if table:
-        writer.saveAsTable(table)
+        spark = results.sparkSession
+        folder = f"{path.rstrip('/')}/{uuid.uuid4().hex[:12]}" if path else kept_dir(spark, "table")
+        results.write.parquet(folder)
+        spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": table})
+        spark.catalog.createTable(table, path=folder, source="parquet")
     elif path:
-        writer.parquet(path)
+        results.write.mode("overwrite").parquet(path)
     else:
         raise ValueError("give a path or a table name")
