@@ -11,6 +11,7 @@ from pyspark.sql import types as T  # noqa: E402
 
 from vecflow.session import get_spark  # noqa: E402
 from vecflow.sinks.report_files import write_report_files  # noqa: E402
+from vecflow.sinks.vectors import write_vec3  # noqa: E402
 from vecflow.sources import vec3  # noqa: E402
 from vecflow.sources.load import read_vec3  # noqa: E402
 
@@ -31,12 +32,12 @@ def main(out: str) -> None:
         fail_first_attempt(F.col("id").cast("double"), F.col("id")).alias("x"),
         (F.col("id") * 2.0).alias("y"), (F.col("id") * 3.0).alias("z"))
     vec_dir = os.path.join(out, "vec3")
-    src.write.format("vec3").option("maxRowsPerFile", 250).mode("overwrite").save(vec_dir)
+    write_vec3(src, vec_dir, max_rows=250)
     back = read_vec3(spark, vec_dir, columns=("x", "y", "z"))
     xs = sorted(r.x for r in back.collect())
     assert xs == [float(i) for i in range(4000)], "vec3 output lost or duplicated rows"
-    names = os.listdir(vec_dir)
-    assert len([n for n in names if n.endswith(".bin")]) == 16, names  # none of lost attempts
+    names = [n for d, _, files in os.walk(vec_dir) for n in files if d.endswith("kind=xyz") and n.startswith("part-")]
+    assert len(names) == 16, names  # none of lost attempts
 
     runs = spark.range(0, 400, 1, 4).select(
         F.format_string("r%03d", "id").alias("job_id"),

@@ -12,6 +12,11 @@ def _write(path, doubles, extra=b""):
         f.write(np.asarray(doubles, dtype=">f8").tobytes() + extra)
 
 
+def _data_files(folder):
+    """Files of planes that a finished job has left."""
+    return [os.path.join(d, n) for d, _, names in os.walk(folder) for n in names if d.endswith("kind=xyz") and not n.startswith((".", "_"))]
+
+
 @pytest.fixture
 def files(tmp_dir):
     d = os.path.join(tmp_dir, "vec")
@@ -48,8 +53,7 @@ def test_roundtrip_writer(spark, tmp_dir):
     src = spark.range(0, 5000, 1, 4).selectExpr("cast(id as double) x", "id * 2.0 y", "-id * 1.0 z")
     out = os.path.join(tmp_dir, "out")
     write_vec3(src, out)
-    names = sorted(os.listdir(out))
-    assert len([n for n in names if n.endswith(".bin")]) == 4
+    assert len(_data_files(out)) == 4
     back = read_vec3(spark, out)
     assert sorted((r.x, r.y, r.z) for r in back.collect()) == sorted((r.x, r.y, r.z) for r in src.collect())
     # overwrite replaces the earlier files
@@ -84,10 +88,10 @@ def test_blocks_option_prunes_files(spark, files):
 def test_writer_splits_large_partitions(spark, tmp_dir):
     src = spark.range(0, 1000, 1, 1).selectExpr("cast(id as double) x", "0.0 y", "1.0 z")
     out = os.path.join(tmp_dir, "split")
-    src.write.format("vec3").option("maxRowsPerFile", 300).mode("overwrite").save(out)
-    bins = sorted(n for n in os.listdir(out) if n.endswith(".bin"))
+    write_vec3(src, out, max_rows=300)
+    bins = _data_files(out)
     assert len(bins) == 4
-    sizes = sorted(os.path.getsize(os.path.join(out, n)) // 24 for n in bins)
+    sizes = sorted(os.path.getsize(n) // 24 for n in bins)
     assert sizes == [100, 300, 300, 300]
     assert sorted(r.x for r in read_vec3(spark, out).collect()) == [float(i) for i in range(1000)]
 
@@ -110,7 +114,7 @@ def test_blocks_survive_whatever_the_files(spark, tmp_dir, parts, cap):
 
     src = _blocks(spark, parts=parts)
     out = os.path.join(tmp_dir, f"blocks-{parts}-{cap}")
-    src.sortWithinPartitions("block_id", "matrix_id").write.format("vec3").option("maxRowsPerFile", cap).mode("overwrite").save(out)
+    write_vec3(src, out, max_rows=cap)
     back = read_vec3(spark, out, columns=("block_id", "matrix_id", "row_id", "x", "y", "z"))
     assert sorted(back.collect()) == sorted(src.collect())
     assert back.filter("block_id = 2 and row_id < 300").count() == src.filter("block_id = 2 and row_id < 300").count() > 0
@@ -118,16 +122,18 @@ def test_blocks_survive_whatever_the_files(spark, tmp_dir, parts, cap):
     assert tuple(one) == pytest.approx(tuple(two))
 
 
-def test_append_and_overwrite_go_by_the_manifest(spark, tmp_dir):
+def test_append_and_overwrite(spark, tmp_dir):
     out = os.path.join(tmp_dir, "m")
     write_vec3(_blocks(spark, 100), out)
     write_vec3(_blocks(spark, 60), out, mode="append")
     assert read_vec3(spark, out).count() == 160
     # a file of a job that never committed
-    _write(os.path.join(out, "part-00000-0-0000-deadbeef.bin"), np.arange(30))
+    left = os.path.join(out, "_temporary/0/block_id=0/matrix_id=0/chunk=c/kind=xyz")
+    os.makedirs(left)
+    _write(os.path.join(left, "_part-0"), np.arange(30))
     assert read_vec3(spark, out).count() == 160
     write_vec3(_blocks(spark, 20), out)
-    assert read_vec3(spark, out).count() == 20 and not [n for n in os.listdir(out) if "deadbeef" in n]
+    assert read_vec3(spark, out).count() == 20 and not os.path.exists(left)
 
 
 @pytest.mark.parametrize("column", ["x", "block_id", "row_id"])
@@ -138,4 +144,29 @@ def test_null_cannot_be_written(spark, tmp_dir, column):
     bad = _blocks(spark, 10).withColumn(column, F.expr(f"if(row_id = 50, null, {column})"))
     with pytest.raises(PySparkException, match="NULL"):
         write_vec3(bad, os.path.join(tmp_dir, "bad"))
-    assert not [n for n in os.listdir(os.path.join(tmp_dir, "bad")) if n.endswith(".bin")]
+    assert not _data_files(os.path.join(tmp_dir, "bad"))
+
+
+def test_scan_prunes_by_predicate_and_keeps_nothing(spark, tmp_dir):
+    from vecflow.sources.load import scan_vec3
+
+    src = _blocks(spark, 900)
+    out = os.path.join(tmp_dir, "scan")
+    write_vec3(src, out, max_rows=50)
+    df = scan_vec3(spark, out)
+    assert sorted(df.collect()) == sorted(src.collect())
+    some = scan_vec3(spark, out, "block_id = 2 and matrix_id in (0, 1)")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "block_id" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sorted(some.collect()) == sorted(src.filter("block_id = 2 and matrix_id < 2").collect())
+    # two queries on one DataFrame
+    assert df.filter("block_id = 1").count() == 225 and df.filter("block_id = 3").count() == 225 and df.count() == 900
+    assert scan_vec3(spark, out, columns=("x",)).columns == ["x"]
+
+
+def test_hot_matrix_is_cut(spark, tmp_dir):
+    src = _blocks(spark, 600).selectExpr("0L block_id", "if(row_id < 4000, 0, matrix_id) matrix_id", "row_id", "x", "y", "z")
+    out = os.path.join(tmp_dir, "hot")
+    write_vec3(src, out, max_rows=100)
+    assert sorted(read_vec3(spark, out, columns=("block_id", "matrix_id", "row_id", "x", "y", "z")).collect()) == sorted(src.collect())
+    assert max(os.path.getsize(f) // 24 for f in _data_files(out)) <= 100

@@ -33,7 +33,7 @@ from vecflow.sinks.reports import write_reports
 from vecflow.sinks.table import results_table, write_results_table
 from vecflow.sinks.vectors import write_vec3, write_vectors
 from vecflow.sources.generate import generate_vectors, uniform_draws
-from vecflow.sources.load import read_vec3
+from vecflow.sources.load import read_vec3, scan_vec3
 from vecflow.sources.reports import FLAT_COLUMNS, read_reports
 from vecflow.sources import vec3
 
@@ -224,6 +224,11 @@ def q_vec3_roundtrip(spark, sf_dir):
     return read_vec3(spark, _written_vec3(spark, sf_dir), columns=("block_id", "matrix_id", "row_id", *XYZ))
 
 
+def q_vec3_block(spark, sf_dir):
+    """S3 with a filter on the block: only that block's files are read."""
+    return scan_vec3(spark, _written_vec3(spark, sf_dir), "block_id = 3")
+
+
 def q_vectors_sink_roundtrip(spark, sf_dir):
     """K1: shifted vectors written to <dst>/results and read back."""
     path = write_vectors(ops.shift(vectors(spark, sf_dir)), scratch_dir(spark, "dst"))
@@ -539,6 +544,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "generate_structure": q_generate_structure,
     "uniform_buckets": q_uniform_buckets,
     "vec3_roundtrip": q_vec3_roundtrip,
+    "vec3_block": q_vec3_block,
     "vectors_sink_roundtrip": q_vectors_sink_roundtrip,
     "timed_run_report": q_timed_run_report,
     "timed_run_result": q_timed_run_result,
@@ -623,6 +629,7 @@ ORACLE_SQL: dict[str, str] = {
        FROM p, range(0, p.blocks + 1) b(block_id), range(0, p.block_size) mm(matrix_id)) WHERE n > 0""",
     "uniform_buckets": "SELECT CAST(b AS INTEGER) AS bucket, true AS fair FROM range(-2, 3) t(b)",
     "vec3_roundtrip": _with(SQL_V) + "SELECT * FROM v",
+    "vec3_block": _with(SQL_V) + "SELECT * FROM v WHERE block_id = 3",
     "pipeline_dst": SQL_SHIFT,
     "scale_vectors_nd": """SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda e: e / n) AS v
        FROM embeddings JOIN (SELECT label, count(*) AS n FROM embeddings GROUP BY label) USING (label)""",

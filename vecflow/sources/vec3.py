@@ -13,26 +13,20 @@ leaves out the files of all other blocks. Filters are not pushed: Spark 4.1
 keeps what one query pushed to a Python source for later queries over the same
 DataFrame, which then miss rows.
 
-Writing (``df.write.format("vec3")``): every task writes planar files of runs of
-rows of one matrix (at most ``maxRowsPerFile`` rows each, which bounds task
-memory), under names that belong to this job alone, with the rows' ids beside
-them (``.ids``, int64). The commit publishes one manifest that names every file
-with its block and matrix; readers of a folder with a manifest take blocks,
-matrices and row ids from it, so neither the cap nor the partitioning of the
-input changes what is read back, and files of lost attempts or of a job that
-never committed are not read. Earlier files go after the manifest is in place.
-Folders without a manifest are read as one block per file.
+Folders that ``sinks.vectors.write_vec3`` wrote hold blocks and matrices in their paths,
+``block_id=3/matrix_id=1/chunk=.../kind=xyz/part-...``, with the rows' ids (int64,
+big-endian) beside them under ``kind=ids``; any other folder is read as one block per
+file. Spark's own writer made and committed those files, so readers need no list of them.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from vecflow.sources.fs import filesystem as _filesystem, uri_prefix
@@ -40,11 +34,10 @@ from vecflow.sources.fs import filesystem as _filesystem, uri_prefix
 FORMAT = "vec3"
 DOUBLE_BYTES = 8
 FILE_SCHEMA = "path string, block_id bigint, matrix_id int, row_id bigint, x double, y double, z double"
-MANIFEST = "_vec3_manifest.json"
 PLANES = ("x", "y", "z")
 DEFAULT_ROWS_PER_SPLIT = 4 * 1024 * 1024  # ~96 MiB of vectors per task
 DEFAULT_BATCH_ROWS = 256 * 1024  # ~10 MB per Arrow batch; measured 30% faster than 64 Ki
-DEFAULT_MAX_ROWS_PER_FILE = 4 * 1024 * 1024  # ~96 MiB of Python memory per writing task (about one read split)
+_PLACE = re.compile(r"/block_id=(-?\d+)/matrix_id=(-?\d+)/chunk=[^/]+/kind=(xyz|ids)/[^/]+$")
 
 
 def _visible(name: str) -> bool:
@@ -81,26 +74,37 @@ class Vec3File:
     ids: str | None = None  # file of the row ids; without, a row's id is its position
 
 
-def read_manifest(path: str) -> list[Vec3File] | None:
-    """The files that the folder's manifest names, or None if it has none."""
+def placed_files(path: str) -> list[Vec3File]:
+    """Files that lie under block, matrix and chunk folders, with the ids beside them."""
     from pyarrow import fs as pafs
 
     filesystem, root = _filesystem(path)
-    name = f"{root}/{MANIFEST}"
-    if filesystem.get_file_info(name).type != pafs.FileType.File:
-        return None
-    with filesystem.open_input_stream(name) as f:
-        entries = json.loads(f.read())
+    if filesystem.get_file_info(root).type != pafs.FileType.Directory:
+        return []
     prefix = uri_prefix(path, root)
-    return [Vec3File(f"{prefix}{root}/{e['name']}", e["rows"], e["block_id"], e["matrix_id"], f"{prefix}{root}/{e['name']}.ids")
-            for e in entries]
+    found: dict[str, list] = {"xyz": [], "ids": []}
+    for e in filesystem.get_file_info(pafs.FileSelector(root, recursive=True)):
+        place = _PLACE.search(e.path)
+        if place and e.type == pafs.FileType.File and _visible(e.path):
+            found[place[3]].append((e.path.rsplit("/", 2)[0], prefix + e.path, e.size, int(place[1]), int(place[2])))
+    ids = {f[0]: f[1] for f in found["ids"]}
+    return [Vec3File(name, size // DOUBLE_BYTES // 3, block, matrix, ids.get(chunk)) for chunk, name, size, block, matrix in sorted(found["xyz"])]
+
+
+def ids_beside(path: str) -> str | None:
+    """The file of the row ids of one file of planes."""
+    from pyarrow import fs as pafs
+
+    filesystem, local = _filesystem(path)
+    folder = local.rsplit("/", 2)[0] + "/kind=ids"
+    if filesystem.get_file_info(folder).type != pafs.FileType.Directory:
+        return None
+    names = [e.path for e in filesystem.get_file_info(pafs.FileSelector(folder)) if e.type == pafs.FileType.File and _visible(e.path)]
+    return uri_prefix(path, local) + names[0] if names else None
 
 
 def vector_files(path: str) -> list[Vec3File]:
-    listed = read_manifest(path)
-    if listed is not None:
-        return listed
-    return [Vec3File(p, size // DOUBLE_BYTES // 3, k) for k, (p, size) in enumerate(list_vector_files(path))]
+    return placed_files(path) or [Vec3File(p, size // DOUBLE_BYTES // 3, k) for k, (p, size) in enumerate(list_vector_files(path))]
 
 
 @dataclass
@@ -168,106 +172,6 @@ class Vec3Reader(DataSourceReader):
             return np.frombuffer(f.read_at((hi - lo) * 8, lo * 8), dtype=">i8").astype(np.int64)
 
 
-@dataclass
-class Vec3Written(WriterCommitMessage):
-    files: list  # manifest entries
-
-
-class Vec3Writer(DataSourceArrowWriter):
-    def __init__(self, options: dict, overwrite: bool):
-        self.path = options.get("path")
-        if not self.path:
-            raise ValueError("vec3: a path is required")
-        self.overwrite = overwrite
-        self.max_rows = int(options.get("maxRowsPerFile", DEFAULT_MAX_ROWS_PER_FILE))
-        self.job = uuid.uuid4().hex[:8]
-
-    def _flush(self, filesystem, root, run, key, tag, seq):
-        """Files of one run of rows of a matrix: the planes, and the row ids beside them."""
-        name = f"part-{tag}-{seq:04d}-{self.job}.bin"
-        with filesystem.open_output_stream(f"{root}/{name}") as out:
-            for p in PLANES:
-                for part in run:
-                    out.write(part.column(p).to_numpy(zero_copy_only=False).astype(">f8", copy=False).tobytes())
-        with filesystem.open_output_stream(f"{root}/{name}.ids") as out:
-            for part in run:
-                out.write(part.column("row_id").to_numpy(zero_copy_only=False).astype(">i8").tobytes())
-        return {"name": name, "rows": sum(p.num_rows for p in run), "block_id": key[0], "matrix_id": key[1]}
-
-    def write(self, batches):
-        from pyspark import TaskContext
-
-        ctx = TaskContext.get()
-        tag = f"{ctx.partitionId():05d}-{ctx.attemptNumber()}" if ctx else "00000-0"
-        filesystem, root = _filesystem(self.path)
-        filesystem.create_dir(root, recursive=True)
-        files, run, key, rows = [], [], None, 0
-        for batch in batches:
-            for p in PLANES:
-                if batch.column(p).null_count:
-                    raise ValueError(f"vec3: coordinate {p} is NULL, which the file format cannot hold")
-            batch = self._with_keys(batch, tag, sum(f["rows"] for f in files) + rows)
-            block, matrix = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block_id", "matrix_id"))
-            edge = np.flatnonzero((block[1:] != block[:-1]) | (matrix[1:] != matrix[:-1])) + 1
-            for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), batch.num_rows]):
-                while lo < hi:
-                    here = (int(block[lo]), int(matrix[lo]))
-                    if rows and (here != key or rows >= self.max_rows):
-                        files.append(self._flush(filesystem, root, run, key, tag, len(files)))
-                        run, rows = [], 0
-                    key = here
-                    take = min(hi - lo, self.max_rows - rows)
-                    run.append(batch.slice(lo, take))
-                    rows += take
-                    lo += take
-        if rows:
-            files.append(self._flush(filesystem, root, run, key, tag, len(files)))
-        return Vec3Written(files)
-
-    def _with_keys(self, batch, tag, before):
-        """Rows without block, matrix or row id: the task is a block of one matrix, ids are positions."""
-        given = {n: batch.column(n) for n in batch.schema.names}
-        n = batch.num_rows
-        default = {"block_id": np.full(n, int(tag.split("-")[0]), np.int64), "matrix_id": np.zeros(n, np.int32),
-                   "row_id": np.arange(before, before + n, dtype=np.int64)}
-        for c, v in default.items():
-            if c not in given:
-                given[c] = pa.array(v)
-            elif given[c].null_count:
-                raise ValueError(f"vec3: {c} is NULL; a file belongs to one block and matrix")
-        return pa.RecordBatch.from_pydict(given)
-
-    def commit(self, messages):
-        filesystem, root = _filesystem(self.path)
-        filesystem.create_dir(root, recursive=True)
-        entries = [f for m in messages if m is not None for f in m.files]
-        before = read_manifest(self.path) if not self.overwrite else None
-        if before:
-            entries = [{"name": f.path.rsplit("/", 1)[-1], "rows": f.rows, "block_id": f.block_id, "matrix_id": f.matrix_id} for f in before] + entries
-        temp = f"{root}/.{MANIFEST}.{self.job}"
-        with filesystem.open_output_stream(temp) as out:
-            out.write(json.dumps(sorted(entries, key=lambda e: (e["block_id"], e["matrix_id"], e["name"]))).encode())
-        filesystem.move(temp, f"{root}/{MANIFEST}")
-        # what the manifest does not name: replaced files, files of lost attempts of this job
-        self._remove(filesystem, {e["name"] for e in entries}, everything=self.overwrite)
-
-    def abort(self, messages):
-        filesystem, _ = _filesystem(self.path)
-        self._remove(filesystem, set(), everything=False)
-
-    def _remove(self, filesystem, keep: set, everything: bool) -> None:
-        """Delete data files that are not kept: of this job only, or all of them."""
-        try:
-            listed = list_vector_files(self.path)
-        except FileNotFoundError:
-            return
-        for path, _ in listed:
-            name = path.rsplit("/", 1)[-1]
-            own = f"-{self.job}.bin" in name
-            if name.removesuffix(".ids") not in keep and (own or everything and ".bin" in name):
-                filesystem.delete_file(_filesystem(path)[1])
-
-
 class Vec3DataSource(DataSource):
     @classmethod
     def name(cls):
@@ -279,13 +183,7 @@ class Vec3DataSource(DataSource):
     def reader(self, schema: StructType):
         return Vec3Reader(self.options, schema)
 
-    def writer(self, schema: StructType, overwrite: bool):
-        missing = set(PLANES) - {f.name for f in schema.fields}
-        if missing:
-            raise ValueError(f"vec3: input lacks columns {sorted(missing)}")
-        return Vec3Writer(self.options, overwrite)
-
 
 def register(spark) -> None:
-    """Make ``spark.read.format("vec3")`` and ``df.write.format("vec3")`` available."""
+    """Make ``spark.read.format("vec3")`` available."""
     spark.dataSource.register(Vec3DataSource)
