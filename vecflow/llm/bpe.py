@@ -30,10 +30,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vecflow.llm.common import kept_between_tasks
+
 #: largest tokenizer file that is broadcast
 MAX_FILE_BYTES = 64 << 20
-#: entries per cache
-CACHE_ENTRIES = 600_000
+#: bytes per cache, at most (the two share most of what they hold)
+CACHE_BYTES = 128 << 20
+#: what an entry takes besides its characters and ids
+ENTRY_BYTES = 180
 #: characters encoded at a time
 WINDOW = 1 << 20
 _NEVER = 1 << 60
@@ -57,8 +61,8 @@ def byte_alphabet() -> list[str]:
 class Cache:
     """A dictionary of bounded size: when its newer half is full, the older half goes; what is found stays."""
 
-    def __init__(self, entries: int = CACHE_ENTRIES):
-        self.half = entries // 2
+    def __init__(self, size: int = CACHE_BYTES):
+        self.half, self.held = size // 2, 0
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -71,8 +75,9 @@ class Cache:
         return value
 
     def keep(self, key: str, value: bytes) -> None:
-        if len(self.new) >= self.half:
-            self.old, self.new = self.new, {}
+        if self.held >= self.half:
+            self.old, self.new, self.held = self.new, {}, 0
+        self.held += len(key) + len(value) + ENTRY_BYTES
         self.new[key] = value
 
 
@@ -221,7 +226,7 @@ class ForcedBoundaryBPE:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
-_LOADED: dict[int, ForcedBoundaryBPE] = {}
+_LOADED: dict[int, ForcedBoundaryBPE] = kept_between_tasks({})
 
 
 def loaded(text: str) -> ForcedBoundaryBPE:

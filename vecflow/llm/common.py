@@ -111,8 +111,25 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return mix64(h + lengths.astype(np.uint64) * _GOLDEN)
 
 
+#: what operators keep in a Python worker from one task to the next
+_CACHES: list[dict] = []
+
+
+def kept_between_tasks(cache: dict) -> dict:
+    """Registers a cache that ``free_caches`` empties."""
+    _CACHES.append(cache)
+    return cache
+
+
+def free_caches() -> None:
+    """Called where texts are hashed: an operator that does so has no use for what another one left in the worker."""
+    for cache in _CACHES:
+        cache.clear()
+
+
 def text_slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Ranges of row numbers of about SLICE_BYTES of text each; a longer text is alone."""
+    free_caches()
     lo, size = 0, 0
     for i, t in enumerate(texts):
         if size and size + len(t) > SLICE_BYTES:

@@ -12,7 +12,8 @@ grouping scheme:
    chosen by a bounded knapsack for the best fill, each used as often as the
    remaining counts allow;
 3. actual pieces are substituted for rounded ones, longest first;
-4. the freed room and the small pieces: best fit, decreasing.
+4. the freed room, the small pieces and those of configurations that rounding left weak:
+   best fit, decreasing.
 
 Shards lose at most a partly filled sequence or so each, against about
 ``SHARD_PIECES`` pieces.
@@ -39,8 +40,10 @@ from vecflow.llm.bpe import loaded, read_tokenizer
 CAPACITY = 2048
 #: lengths over this share of the capacity are large
 LARGE_SHARE = 1 / 8
-#: groups of equal cardinality among the large lengths
-GROUPS = 1500
+#: large pieces per group, about: groups of equal cardinality among the large lengths
+GROUP_PIECES = 4
+#: a configuration that its actual pieces fill to less than this is opened again
+WEAK = 0.98
 #: pieces per shard, about
 SHARD_PIECES = 60_000
 
@@ -131,7 +134,7 @@ def _patterns(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tupl
     return out
 
 
-def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
+def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int | None = None, weak: float = WEAK) -> tuple[np.ndarray, np.ndarray]:
     """(sequence number, offset) of each piece; lengths are from 1 to ``capacity``."""
     lengths = np.asarray(lengths, dtype=np.int64)
     n = len(lengths)
@@ -143,13 +146,14 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
     seq[full] = np.arange(len(full))
     order = order[len(full):]
     large = order[lengths[order] > capacity * LARGE_SHARE]
-    small = order[len(large):]
+    rest = order[len(large):].tolist()
     fills: list[int] = []
     base = len(full)
     if len(large):
         # equal cardinality: the k-th group of the lengths in falling order, rounded up to its largest
-        group = np.arange(len(large)) * min(groups, len(large)) // len(large)
+        group = np.arange(len(large)) * (groups or -(-len(large) // GROUP_PIECES)) // len(large)
         at = np.searchsorted(group, np.arange(group[-1] + 2))
+        at = at[np.append(True, np.diff(at) > 0)]
         rounded = lengths[large[at[:-1]]]
         sizes, which = np.unique(rounded, return_inverse=True)
         members = [[] for _ in sizes]
@@ -157,22 +161,27 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
             members[which[g]].extend(large[at[g]:at[g + 1]].tolist())
         counts = np.array([len(m) for m in members])
         heads = [0] * len(sizes)
+        opened: list[int] = []
         for chosen, times in _patterns(sizes, counts, capacity):
             for _ in range(times):
-                here = 0
+                here, own = 0, []
                 for i, k in chosen:
-                    for _ in range(k):
-                        p = members[i][heads[i]]
-                        heads[i] += 1
-                        seq[p], off[p] = base + len(fills), here
-                        here += int(lengths[p])
+                    own += members[i][heads[i]:heads[i] + k]
+                    heads[i] += k
+                if int(lengths[own].sum()) < weak * capacity:
+                    opened += own
+                    continue
+                for p in own:
+                    seq[p], off[p] = base + len(fills), here
+                    here += int(lengths[p])
                 fills.append(here)
+        rest = sorted(opened, key=lambda p: (-lengths[p], p)) + rest
     # best fit: the sequence with the least room that is enough; opened sequences join in
     rooms: dict[int, list[int]] = {}
     for b, f in enumerate(fills):
         rooms.setdefault(capacity - f, []).append(b)
     keys = sorted(rooms)
-    for p in small.tolist():
+    for p in rest:
         size = int(lengths[p])
         i = bisect.bisect_left(keys, size)
         if i == len(keys):
@@ -185,12 +194,12 @@ def pack(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) ->
                 del rooms[room], keys[i]
         seq[p], off[p] = base + b, fills[b]
         fills[b] += size
-        rest = room - size
-        if rest:
-            if rest not in rooms:
-                bisect.insort(keys, rest)
-                rooms[rest] = []
-            rooms[rest].append(b)
+        left = room - size
+        if left:
+            if left not in rooms:
+                bisect.insort(keys, left)
+                rooms[left] = []
+            rooms[left].append(b)
     return seq, off
 
 

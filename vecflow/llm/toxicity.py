@@ -8,8 +8,9 @@ to a probability by isotonic regression on labelled rows that the trees have not
 
 Labels are learned only from rows whose crc32(id as text) mod 5 is not 0 (fold 0 is held
 out; fold 4 calibrates), and of these from at most ``SAMPLE``, those with the smallest
-id hashes. Everything that is kept of them has a bounded size: the sample's ids and the
-lexicon are broadcast. Labels, language, source and id are no inputs of a score.
+id hashes. The sample's ids are broadcast, its texts are stored once, and all learning
+reads that store. Every word and word beginning of the sample is counted; the model keeps
+the ``LEXICON`` best. Labels, language, source and id are no inputs of a score.
 
 Defined cases: a null or empty text has all features 0 and is scored like any other; a
 null id is never held out; several labels of an id: the largest counts; with labels of one
@@ -35,9 +36,12 @@ from vecflow.llm.common import as_bytes, concat_texts, hashed_texts, mix64, text
 
 #: labelled rows used, at most
 SAMPLE = 20_000
-#: lexicon entries, and candidates counted for it, at most
+#: entries of the lexicon: the model's size
 LEXICON = 2_000
-CANDIDATES = 50_000
+#: distinct entries that a counting task holds before it hands them on
+HELD = 200_000
+#: partitions of the stored sample
+PARTS = 32
 #: classes of copies that an entry must occur in, among the toxic rows
 OFTEN = 4
 #: smallest hashes of a text's runs of SHINGLE words that find its copies, and how many of them copies share
@@ -191,23 +195,33 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     def by_class(classes):
         def run(batches):
             seen: set[tuple[str, int]] = set()
+
+            def flush():
+                return pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64())], names=["e", "c"])
+
             for b in batches:
-                texts = b.column(0).to_pylist()
-                for t, key in zip(texts, sketches(as_bytes(b.column(0)))):
+                for t, key in zip(b.column(0).to_pylist(), sketches(as_bytes(b.column(0)))):
                     c = classes.value[key.tobytes()]
                     seen.update((e, c) for w in set((t or "").lower().split()) for e in entries_of(plain_word(w)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array([e for e, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.int64())], names=["e", "c"])
+                    if len(seen) >= HELD:
+                        yield flush()
+                        seen.clear()
+            yield flush()
         return run
 
-    def count(wanted):
-        def run(batches):
-            seen: Counter[str] = Counter()
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    seen.update({e for c in set((t or "").lower().split()) for e in entries_of(plain_word(c)[0])} & wanted.value)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["e", "n"])
-        return run
+    def count(batches):
+        seen: Counter[str] = Counter()
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["e", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                seen.update({e for c in set((t or "").lower().split()) for e in entries_of(plain_word(c)[0])})
+                if len(seen) >= HELD:
+                    yield flush()
+                    seen.clear()
+        yield flush()
 
     n_toxic, n = rows.agg(F.sum("toxic"), F.count("toxic")).first()
     if not n_toxic or n_toxic == n:
@@ -219,15 +233,12 @@ def learn_lexicon(rows: DataFrame, size: int = LEXICON) -> dict[str, float]:
     classes = copy_classes(found)
     n_classes = len(np.unique(classes))
     held = rows.sparkSession.sparkContext.broadcast({x.tobytes(): int(c) for x, c in zip(found, classes)})
-    top = toxic.mapInArrow(by_class(held), "e string, c long").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("n")).where(
-        (F.col("n") >= OFTEN) & (F.length("e") > 1)).orderBy(F.desc("n"), "e").limit(CANDIDATES).collect()
-    bad = {r.e: r.n for r in top}
-    wanted = rows.sparkSession.sparkContext.broadcast(frozenset(bad))  # at most CANDIDATES short strings
-    good = {r.e: r.n for r in rows.where("toxic = 0").select("text").mapInArrow(count(wanted), "e string, n long").groupBy("e").agg(
-        F.sum("n").alias("n")).collect()}
-    odds = {e: math.log((k + 0.5) / (n_classes + 1)) - math.log((good.get(e, 0) + 0.5) / (n - n_toxic + 1)) for e, k in bad.items()}
-    best = sorted((e for e in odds if odds[e] > 3), key=lambda e: (-odds[e] * bad[e], e))[:size]
-    return {e: odds[e] for e in best}
+    bad = toxic.mapInArrow(by_class(held), "e string, c long").distinct().groupBy("e").agg(F.count(F.lit(1)).alias("k")).where(
+        (F.col("k") >= OFTEN) & (F.length("e") > 1))
+    good = rows.where("toxic = 0").select("text").mapInArrow(count, "e string, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    odds = F.log((F.col("k") + 0.5) / (n_classes + 1)) - F.log((F.coalesce("n", F.lit(0)) + 0.5) / (n - n_toxic + 1))
+    best = bad.join(good, "e", "left").select("e", "k", odds.alias("odds")).where("odds > 3").orderBy(F.desc(F.col("odds") * F.col("k")), "e").limit(size)
+    return {r.e: r.odds for r in best.collect()}
 
 
 class ToxicityModel:
@@ -266,14 +277,16 @@ def with_features(df: DataFrame, lexicon: dict[str, float], text: str, out: str)
 
 def learn(docs: DataFrame, labels: DataFrame, text: str = "text", id: str = "doc_id") -> ToxicityModel:
     known = sample_labels(labels, id).checkpoint()
-    rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(known), "doc").select("text", "toxic", "fold")
+    # one pass over the documents; what is learned reads the stored sample (dealt by id: copies spread)
+    rows = docs.select(F.col(id).alias("doc"), F.col(text).alias("text")).join(F.broadcast(known), "doc").repartition(PARTS, "doc").select(
+        "text", "toxic", "fold").checkpoint()
     kinds = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(kinds) < 2:
         return ToxicityModel(constant=float(next(iter(kinds), 0)))
     lexicon = learn_lexicon(rows)
     x = with_features(rows, lexicon, "text", "x").select(array_to_vector(F.col("x")).alias("features"), F.col("toxic").cast("double").alias("label"), "fold")
-    # a bounded sample of short rows: few partitions are enough
-    x = x.coalesce(8).checkpoint()
+    # the trees pass over the stored features many times: a few tasks for at most SAMPLE short rows
+    x = x.checkpoint().coalesce(8)
     fit, rest = x.where("fold != 4"), x.where("fold = 4")
     if fit.select("label").distinct().count() < 2:
         return ToxicityModel(constant=float(kinds.get(1, 0) >= kinds.get(0, 0)))
