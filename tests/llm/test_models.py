@@ -214,3 +214,17 @@ def test_mixed_words_are_read_as_letters():
     near = toxicity.features([b"you idiot", b"idiot a b c d e f g you", b""], marks)
     k = toxicity.FEATURES.index("hits_near_you")
     assert near[:, k].tolist() == [1, 0, 0] and not near[2].any()
+
+
+def test_language_model_ignores_files_and_their_order(spark):
+    import random
+
+    from tests.llm.helpers import words
+
+    rng = random.Random(8)
+    rows = [(i, words(rng, 40, 80)) for i in range(240)] + [(900 + i, "same text in a third of the rows") for i in range(120)]
+    kind = "doc_id long, text string"
+    one = spark.createDataFrame(rows, kind).coalesce(1)
+    eight = spark.createDataFrame(rows[::-1], kind).repartition(8)
+    a, b = ({r.doc_id: r.score for r in lm.score_documents(df).collect()} for df in (one, eight))
+    assert a.keys() == b.keys() and max(abs(a[i] - b[i]) for i in a) < 1e-6 * max(abs(x) for x in a.values())

@@ -13,8 +13,10 @@ branch's prior is its smoothed share of the node's training tokens, and words of
 have their smoothed share of it; one unseen word of a group is spread over its leaves, so
 the model is a proper distribution.
 
-Training is distributed: in each round every partition runs mini-batch updates (adaptive
-steps) from the current parameters over its share of that round's training texts, and the
+Training is distributed: texts are dealt to rounds and shares by a hash of id and text (so
+copies spread), ``SHARES`` or more at every size, and lie in a share in the order of that
+hash: neither files nor their order change a score. In each round every share runs
+mini-batch updates (adaptive steps) from the current parameters over its texts, and the
 results are averaged by tokens. The rounds' texts together are all training texts.
 
 Word counts cover all training texts and stay distributed. Scoring needs a word's count
@@ -55,15 +57,23 @@ HEAD = 1 << 18
 ROUNDS = 2
 RATE = 0.5
 BATCH = 4096
-#: training tokens per partition of a round, at least (its parameters are 6.7 MB at most)
-SHARD_TOKENS = 2_000_000
+#: shares of a round, at least, and training tokens of a share (its parameters are 6.7 MB at most) where there are more
+SHARES, SHARD_TOKENS = 8, 2_000_000
 END = 0
+#: scores stay within these bounds, so that their exponentials are finite numbers
+EDGE = np.float32(60)
+_ONES = np.ones(CLASSES, dtype=np.float32)
 
 
 def held_out(id) -> bool:
     return id is not None and zlib.crc32(str(id).encode()) % 5 == 1
 
 
+def training(id):
+    """The same fold as a column: true for training texts, a null id among them."""
+    return F.coalesce(F.crc32(id.cast("string").cast("binary")) % 5 != 1, F.lit(True))
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word hashes, endings, index of each text's first word); an ending is the last two bytes, A-Z lower-cased."""
     buf, offsets = concat_texts(texts)
@@ -273,26 +283,26 @@ def positions(words: np.ndarray, endings: np.ndarray, at: np.ndarray, classes: C
 
 
 def _exponentials(w: np.ndarray, rows: np.ndarray, prior: np.ndarray, constant: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(scores less their maximum, exponentials of these) of each history's classes."""
+    """(scores within EDGE, exponentials of these) of each history's classes."""
     z = w.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
         z += w.take(rows[:, k], axis=0)
     z += w[-1] + prior if constant else prior  # the constant row is the last
-    z -= z.max(axis=1, keepdims=True)
+    np.clip(z, -EDGE, EDGE, out=z)
     return z, np.exp(z)
 
 
 def log_shares(w: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, constant: bool = True) -> np.ndarray:
     """Natural logarithm of the share that each history gives its class."""
     z, e = _exponentials(w, rows, prior, constant)
-    return z[np.arange(len(cls)), cls] - np.log(e.sum(axis=1))
+    return z[np.arange(len(cls)), cls] - np.log(e @ _ONES)
 
 
 def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, rate: float = RATE,
            constant: bool = True) -> None:
     """One mini-batch step on the rows of the batch, in place."""
     _, d = _exponentials(w, rows, prior, constant)
-    d /= d.sum(axis=1, keepdims=True)
+    d /= (d @ _ONES)[:, None]
     d[np.arange(len(cls)), cls] -= 1
     flat = rows.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # CELLS fit: a radix sort
@@ -315,19 +325,19 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
     w, squares = np.zeros((size, CLASSES), dtype=np.float32), np.zeros(size, dtype=np.float32)
     if not classes.tokens:
         return w
-    # a share is whole partitions: their results are what the round shuffles
-    shares = max(1, classes.tokens // SHARD_TOKENS)
-    chosen = docs.select(F.col(id), F.col(text))
-    if chosen.rdd.getNumPartitions() > shares:
-        chosen = chosen.coalesce(shares)
+    shares = max(SHARES, classes.tokens // SHARD_TOKENS)
+    chosen = docs.where(training(F.col(id))).select(
+        F.xxhash64(F.col(id).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
     for r in range(rounds):
+        # a round's texts, each shuffled in its own round only; equal keys are equal texts
+        dealt = chosen.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(rounds)) == r).repartition(shares, "key").sortWithinPartitions("key", "text")
         now = sc.broadcast((w, squares, classes))  # fixed size
 
-        def run(batches, r=r, now=now):
+        def run(batches, now=now):
             w, squares, classes = now.value[0].copy(), now.value[1].copy(), now.value[2]
             seen = 0
             for b in batches:
-                texts = [t for i, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1))) if not held_out(i) and zlib.crc32(t) // 7 % rounds == r]
+                texts = as_bytes(b.column(0))
                 for lo, hi in text_slices(texts):
                     words, endings, at = words_of(texts[lo:hi])
                     cls, rows, _ = positions(words, endings, at, classes)
@@ -359,7 +369,7 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
                                                   "v": pa.array([(part / n).astype(np.float32).tobytes()], pa.binary())})
 
         kind = "k int, n long, v binary"
-        parts = chosen.mapInArrow(run, kind).withColumn("p", F.expr("pmod(spark_partition_id(), 16)"))
+        parts = dealt.select("text").mapInArrow(run, kind).withColumn("p", F.expr("pmod(spark_partition_id(), 16)"))
         parts = parts.repartition(64, "k", "p").select("k", "n", "v").mapInArrow(mean, kind).repartition(64, "k").mapInArrow(mean, kind)
         got = {x.k: np.frombuffer(bytes(x.v), np.float32).reshape(-1, CLASSES + 1) for x in parts.collect()}  # the averaged table
         if got:
@@ -374,7 +384,7 @@ def score_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
     sc = spark.sparkContext
     kind = docs.schema[id].dataType.simpleString()
     vocabulary = count_words(docs, text, id).checkpoint()
-    ends = docs.where(F.coalesce(F.crc32(F.col(id).cast("string").cast("binary")) % 5 != 1, F.lit(True))).count()
+    ends = docs.where(training(F.col(id))).count()
     classes = summarise(vocabulary, ends)
     w = train(docs, classes, text, id)
     # the head: as many of the most frequent words as fit, by a count they all reach
