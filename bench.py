@@ -46,7 +46,7 @@ HEADLINE = [
     "distinct_gb", "weak_series", "strong_series", "scaling_points", "scale_vectors_nd", "weak_series_for_blocks",
     "strong_series_for_gb", "runs_by_blocks_and_size", "vec3_roundtrip", "vectors_sink_roundtrip", "pipeline_dst",
     "timed_run_report", "timed_run_result", "timed_run_src", "report_json_native", "report_xml_native", "results_table",
-    "export_tsv",
+    "export_tsv", "export_file", "vec3_block", "results_catalog", "results_sql_sorted", "results_sql_gb", "overall_sorted_order",
     # one small file per run, as the format asks: measured once
     "reports_flatten", "report_xml", "report_stream",
 ]
@@ -121,15 +121,15 @@ def main() -> None:
 
     n_vec = (GEN["blocks"] + 1) * GEN["block_size"] * GEN["multiplier"]
     extra = {}
-    for mode, lazy in (("eager", False), ("lazy", True)):
-        runs = [run_pipeline(spark, generate=True, lazy=lazy, **GEN) for _ in range(REPEAT)]
+    for mode, lazy, store in (("eager", False, "files"), ("eager_memory", False, "memory"), ("lazy", True, None)):
+        runs = [run_pipeline(spark, generate=True, lazy=lazy, store=store, **GEN) for _ in range(REPEAT)]
         run = min(runs, key=lambda r: r.timings["overall"])
         for phase in ("map", "shift", "average", "reduce", "overall"):
             times[f"timed_run_{mode}_{phase}"] = round(run.timings[phase], 4)
         extra[f"timed_run_{mode}_vectors_per_sec_per_core"] = round(n_vec / run.timings["overall"] / CPUS)
         if not lazy:
-            extra["timed_run_eager_map_vectors_per_sec_per_core"] = round(n_vec / run.timings["map"] / CPUS)
-            extra["timed_run_eager_shift_vectors_per_sec_per_core"] = round(n_vec / run.timings["shift"] / CPUS)
+            extra[f"timed_run_{mode}_map_vectors_per_sec_per_core"] = round(n_vec / run.timings["map"] / CPUS)
+            extra[f"timed_run_{mode}_shift_vectors_per_sec_per_core"] = round(n_vec / run.timings["shift"] / CPUS)
 
     # file source: one planar file per task, written untimed, then timed runs reading them
     src = scratch_dir(spark, "bench-vec3")
