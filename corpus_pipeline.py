@@ -3,6 +3,13 @@
 Each stage is one of the operators of ``vecflow.llm`` over all that the stage before it
 kept; its result is written as Parquet and read again as the next one's documents. All
 but the last return the columns of ``documents``.
+
+Defined cases, at every stage: an empty table gives no rows; extra columns pass through
+all stages but the last; a null id is a value like any other; repeated rows are documents
+each until the n-gram join keeps one of their group. Null and empty texts pass quality
+(weight 0) and toxicity by their scores like others, are linked with nothing, stay null or
+empty in suffix_dedup, and become one piece (the separator). Texts are read whole. ``n_chars``,
+where there is one, follows the text (null for a null text).
 """
 
 from __future__ import annotations
@@ -38,7 +45,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes covered by repeated 400-byte strings go; rows stay, n_chars follows the text."""
     prepare(spark)
-    return suffix_dedup.deduplicated(docs).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    kept = suffix_dedup.deduplicated(docs)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
