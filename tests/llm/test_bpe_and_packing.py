@@ -31,6 +31,21 @@ def test_encodes_and_decodes_as_the_library(pair):
         assert mine.decode(want) == ref.decode(want, skip_special_tokens=False)
 
 
+def test_every_code_point(pair):
+    """Alone and inside a word; of the planes without any assigned character every 97th."""
+    mine, ref = pair
+    points = [chr(c) for p in range(17) for c in range(p << 16, (p + 1) << 16, 1 if p in (0, 1, 2, 3, 14) else 97)
+              if not 0xD800 <= c < 0xE000]
+    for lo in range(0, len(points), 2048):
+        for text in (" ".join(points[lo:lo + 2048]), " ".join(f"A{c}\u0301B1{c}" for c in points[lo:lo + 2048])):
+            if mine.encode(text) != ref.encode(text, add_special_tokens=False).ids:
+                odd = [c for c in text.split(" ") if mine.encode(c) != ref.encode(c, add_special_tokens=False).ids]
+                raise AssertionError(f"{len(odd)} chunks differ, {odd[:5]!r}")
+    odd = "Hello \u0558Wor\u1c89ld, \U000323b0\u0301 it's <|endoftext|>\u0558 x" + " y\u058c" * 50
+    want = ref.encode(odd, add_special_tokens=False).ids
+    assert mine.encode(odd) == want and mine.decode(want) == ref.decode(want, skip_special_tokens=False)
+
+
 def test_windows_do_not_change_the_ids(pair, monkeypatch):
     mine, ref = pair
     text = " ".join(f"word{i} é," for i in range(400))

@@ -9,6 +9,11 @@ fragment. Files of the ``tokenizers`` kind with a byte-level BPE model, an
 end-of-word suffix and a splitting pattern are read; the path is a parameter, the
 file's bytes go to the executors as one broadcast of bounded size.
 
+Python's Unicode tables and the tokenizer's are of different ages. White-space separated
+chunks with a character that Python's hold unassigned, or that combines otherwise in the
+file's normaliser, are normalised and split into words by the file's own normaliser and
+pre-tokenizer; their words are encoded here like all others.
+
 Defined cases: a null text counts as the empty text (no ids, empty decoding);
 texts of any length are handled in windows cut at spaces; repeated rows give
 repeated results; an empty table gives an empty result; other columns of the
@@ -17,10 +22,12 @@ input are ignored unless asked for with ``keep``, and may bear any name.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -58,6 +65,28 @@ def byte_alphabet() -> list[str]:
     return out
 
 
+@functools.cache
+def unassigned() -> list[str]:
+    """Characters that this Python's Unicode tables do not know, as ranges of a pattern's class."""
+    ranges, start = [], None
+    for c in range(sys.maxunicode + 2):
+        out = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
+        if out and start is None:
+            start = c
+        elif not out and start is not None:
+            ranges.append(f"{chr(start)}-{chr(c - 1)}")
+            start = None
+    return ranges
+
+
+@functools.cache
+def combining() -> tuple[list[str], list[str]]:
+    """Characters that combine, and those that are canonically a sequence of others."""
+    every = list(map(chr, range(sys.maxunicode + 1)))
+    return ([c for c in every if unicodedata.combining(c)],
+            [c for c in every if (d := unicodedata.decomposition(c)) and d[0] != "<"])
+
+
 class Cache:
     """A dictionary of bounded size: when its newer half is full, the older half goes; what is found stays."""
 
@@ -94,10 +123,12 @@ class ForcedBoundaryBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         by_id = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [by_id.get(i, "") for i in range(max(by_id) + 1)]
+        self._source = text
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self._pattern = regex.compile(split["pattern"]["Regex"])
         alphabet = byte_alphabet()
+        self._byte_of = {c: i for i, c in enumerate(alphabet)}
         # ids of single bytes, within a word and at its end
         self._inner = [self.vocab[c] for c in alphabet]
         self._final = [self.vocab[c + self.suffix] for c in alphabet]
@@ -108,10 +139,9 @@ class ForcedBoundaryBPE:
             self._rank[self.vocab[a] << 32 | self.vocab[b]] = len(self._made)
             self._made.append(self.vocab[a + b])
         # byte pairs seen side by side in some token; all others are certain cuts
-        byte_of = {c: i for i, c in enumerate(alphabet)}
         self.inside: set[int] = set()
         for t in self.vocab:
-            body = [byte_of[c] for c in t.removesuffix(self.suffix)]
+            body = [self._byte_of[c] for c in t.removesuffix(self.suffix)]
             self.inside.update(x << 8 | y for x, y in zip(body, body[1:]))
         self._chunks, self._words = Cache(), Cache()
 
@@ -187,32 +217,76 @@ class ForcedBoundaryBPE:
             self._chunks.keep(chunk, out)
         return out
 
-    def windows(self, text: str) -> Iterator[bytes]:
-        """Ids (little-endian unsigned 32-bit) of consecutive windows of a text.
+    @functools.cached_property
+    def _file(self):
+        """The file's own normaliser and pre-tokenizer."""
+        from tokenizers import Tokenizer
 
-        Normalised as the file says: NFC, white space separates, lower case character
-        by character (a final sigma like any other).
-        """
+        own = Tokenizer.from_str(self._source)
+        return own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
+
+    @functools.cached_property
+    def _odd(self) -> re.Pattern[str]:
+        """One character for which Python's Unicode tables may not be the file's: unassigned, of another combining
+        class (it changes places with marks of the lowest or highest class), or composed by one of them only."""
+        normal = self._file[0]
+
+        def differs(text: str) -> bool:
+            return normal(text) != unicodedata.normalize("NFC", text).lower()
+
+        marks, composed = combining()
+        odd = {c for c in marks if differs("\u0345" + c) or differs(c + "\u0334")}
+        odd.update(parts[-1] for c in composed if not c.isspace() and differs(parts := unicodedata.normalize("NFD", c)))
+        return re.compile("[" + "".join(unassigned() + sorted(map(re.escape, odd))) + "]")
+
+    def _by_file(self, chunk: str) -> bytes:
+        normal, words = self._file
+        out = []
+        for word, _ in words(normal(chunk)):
+            word = bytes(map(self._byte_of.__getitem__, word)).decode()
+            out.append(self._words.find(word) or self._word(word))
+        return b"".join(out)
+
+    def windows(self, text: str) -> Iterator[bytes]:
+        """Ids (little-endian unsigned 32-bit) of consecutive windows of a text."""
         pieces = self._special.split(text) if self._special and "<|" in text else [text]
         for k, piece in enumerate(pieces):
             if k % 2:
                 yield array("I", [self.special[piece]]).tobytes()
                 continue
-            if not piece.isascii():
-                piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3")
-            piece = piece.lower()
-            # str.split also parts at four control characters that are not white space here
-            odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
-            lo, cache, chunk = 0, self._chunks, self._chunk
-            while lo < len(piece):
-                cut = _SPACE.search(piece, lo + WINDOW) if len(piece) - lo > WINDOW else None
-                hi = cut.start() if cut else len(piece)
-                part = piece if hi - lo == len(piece) else piece[lo:hi]
-                new = cache.new.get
-                got = [new(c) or cache.find(c) or chunk(c) for c in (filter(None, _SPACE.split(part)) if odd else part.split())]
-                if got:
-                    yield b"".join(got)
-                lo = hi
+            lo = 0
+            while not piece.isascii() and (odd := self._odd.search(piece, lo)):
+                # the white-space separated chunk around that character
+                start, stop = odd.start(), _SPACE.search(piece, odd.end())
+                while start > lo and not _SPACE.match(piece, start - 1):
+                    start -= 1
+                stop = stop.start() if stop else len(piece)
+                yield from self._windows(piece[lo:start])
+                yield self._by_file(piece[start:stop])
+                lo = stop
+            yield from self._windows(piece[lo:] if lo else piece)
+
+    def _windows(self, piece: str) -> Iterator[bytes]:
+        """Ids of consecutive windows of a text without special tokens and odd characters.
+
+        Normalised as the file says: NFC, white space separates, lower case character
+        by character (a final sigma like any other).
+        """
+        if not piece.isascii():
+            piece = unicodedata.normalize("NFC", piece).replace("\u03a3", "\u03c3")
+        piece = piece.lower()
+        # str.split also parts at four control characters that are not white space here
+        odd = any(c in piece for c in "\x1c\x1d\x1e\x1f")
+        lo, cache, chunk = 0, self._chunks, self._chunk
+        while lo < len(piece):
+            cut = _SPACE.search(piece, lo + WINDOW) if len(piece) - lo > WINDOW else None
+            hi = cut.start() if cut else len(piece)
+            part = piece if hi - lo == len(piece) else piece[lo:hi]
+            new = cache.new.get
+            got = [new(c) or cache.find(c) or chunk(c) for c in (filter(None, _SPACE.split(part)) if odd else part.split())]
+            if got:
+                yield b"".join(got)
+            lo = hi
 
     def encode(self, text: str | None) -> list[int]:
         return array("I", self.encode_bytes(text)).tolist()
