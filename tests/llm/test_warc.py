@@ -26,7 +26,7 @@ def test_round_trip(spark, tmp_path):
     key = lambda r: tuple(str(x) for x in r)
     assert sorted((tuple(r)[:5] for r in got), key=key) == sorted(want, key=key)
     texts = warc.read_warc(spark, path, payloads=True).where("record_type = 'response' and page_id is not null")
-    assert {(r.page_id, r.payload) for r in texts.collect()} == {(p, h or "") for p, _, h, *_ in ROWS if p is not None and (h != BIG or p == 5)}
+    assert {(r.page_id, bytes(r.payload)) for r in texts.collect()} == {(p, (h or "").encode()) for p, _, h, *_ in ROWS if p is not None and (h != BIG or p == 5)}
 
 
 def test_empty_table(spark):
@@ -61,7 +61,28 @@ def test_arc_files_are_converted(spark, tmp_path):
     (tmp_path / "a.arc").write_bytes(data)
     (tmp_path / "b.arc.gz").write_bytes(gzip.compress(data))
     got = warc.convert_arc(spark.read.format("binaryFile").load(f"file://{tmp_path}")).select("url", "warc_date", "payload", "arc_version").collect()
-    assert [tuple(r) for r in got] == [("http://h/", "2021-01-02T03:04:05Z", "<p>", 2)] * 2
+    assert [tuple(r) for r in got] == [("http://h/", "2021-01-02T03:04:05Z", b"<p>", 2)] * 2
+
+
+def test_payloads_of_any_bytes_and_addresses_that_look_like_ids(spark, tmp_path, monkeypatch):
+    """An image, an address that ends in #page=2, a header that is not UTF-8: through ARC, WARC files of two records each, and back."""
+    image = b"\x89PNG\r\n\x1a\n\r\n\r\nWARC/1.0\r\n" + bytes(range(256)) * 8
+    parts = [("http://h/a#page=2", image), ("http://h/b", image), ("http://h/\xe9", b"\xff\xfe\x00"), ("http://h/c", b"")]
+    data = warc.arc_version_block(1, "f.arc", "20210102030405") + b"".join(
+        f"{u} 0.0.0.0 20210102030405 image/png {len(p)}\n".encode("latin-1") + p + b"\n" for u, p in parts)
+    (tmp_path / "a.arc").write_bytes(data)
+    files = spark.read.format("binaryFile").load(f"file://{tmp_path}")
+    alone = warc.convert_arc(files)
+    assert [(r.page_id, r.url, bytes(r.payload)) for r in alone.collect()] == [(None, *p) for p in parts]
+    monkeypatch.setattr(warc, "FILE_RECORDS", 2)
+    path = scratch_dir(spark, "test-warc")
+    blocks = files.selectExpr("content", "array(4L, 9L, null, 5L) as page_ids")
+    warc.write_warc(warc.with_revisits(warc.convert_arc(blocks), warc.convert_arc(blocks, payloads=False)), path)
+    assert spark.read.format("binaryFile").load(path).count() >= 2
+    got = {r.page_id: (r.record_type, r.refers_to, bytes(r.payload)) for r in warc.read_warc(spark, path, payloads=True).collect()}
+    assert got == {4: ("revisit", 9, b""), 9: ("response", None, image), None: ("response", None, parts[2][1]), 5: ("response", None, b"")}
+    with pytest.raises(Exception, match="comes with 1 page ids"):
+        warc.convert_arc(files.selectExpr("content", "array(4L) as page_ids")).collect()
 
 
 def test_query_matches_sql(spark):

@@ -8,16 +8,23 @@ and payload), timestamp (14 digits to ISO 8601), type, payload digest. Equal pay
 at least ``REVISIT_BYTES`` are stored once: the record of the largest page id is the
 response, the others are revisits that refer to it.
 
+Payloads are bytes of any kind. ARC header lines have no field for a page id, so the ids
+of a block's records go beside it, as a column of their own; archives that come without
+that column get null ids.
+
 WARC files are gzip files in the shared folder, written by Spark's text writer with the
-record separator as line separator (all payloads are UTF-8 text), hence with its commit
-protocol, and read as whole files that are parsed by declared lengths. A file holds what
-one task wrote, so its size is bounded by the partition size.
+record separator as line separator (it writes the bytes as they are), hence with its
+commit protocol, and read as whole files that are parsed by declared lengths. A file
+holds at most ``FILE_RECORDS`` records of what one task wrote; reading unpacks a file
+record by record and passes rows on in batches of about ``BLOCK_BYTES``.
 
 Defined cases: a null payload is empty; a null address is ``about:blank``; spaces and
-control characters in an address are percent-encoded; a null page id is kept and counts
-as smaller than any other; repeated rows whose id is the largest of their payload are
-all responses; payloads of any length are kept whole; an empty table gives no records;
-extra columns are ignored.
+control characters in an address are percent-encoded; a null page id is kept, counts as
+smaller than any other, and records that all have none are all responses; repeated rows
+whose id is the largest of their payload are all responses; payloads of any length are
+kept whole; header lines that are not UTF-8 are read as Latin-1; a block whose ids are
+not as many as its records fails; an empty table gives no records; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +32,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-import re
 import uuid
 from collections.abc import Iterator
 from typing import BinaryIO
@@ -39,6 +45,8 @@ from pyspark.sql import functions as F
 REVISIT_BYTES = 1000
 #: bytes of an ARC block, about
 BLOCK_BYTES = 4 << 20
+#: records of a WARC file, at most
+FILE_RECORDS = 4096
 
 # The header fields of the two ARC versions, as the version block names them.
 ARC_FIELDS = {
@@ -46,7 +54,7 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 RECORD = ("page_id long, url string, warc_date string, content_type string, record_id string, arc_version int, "
-          "payload_bytes long, payload_digest string, payload string")
+          "payload_bytes long, payload_digest string, payload binary")
 
 
 # ------------------------------------------------------------------ ARC
@@ -75,6 +83,13 @@ def _line(f: BinaryIO) -> bytes:
     return line.rstrip(b"\r\n")
 
 
+def _text(line: bytes) -> str:
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def _exactly(f: BinaryIO, n: int) -> bytes:
     data = f.read(n)
     if len(data) != n:
@@ -89,14 +104,14 @@ def read_arc(f: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
     while head := _line(f):
         if head.startswith(b"filedesc://"):
             body = _exactly(f, int(head.rsplit(b" ", 1)[1]))
-            first, fields = body.decode().splitlines()[:2]
+            first, fields = _text(body).splitlines()[:2]
             version, names = int(first.split()[0]), fields.split()
             if version not in ARC_FIELDS:
                 raise ValueError(f"ARC version {version} is not known")
             continue
         if not version:
             raise ValueError("an ARC stream must open with its version block")
-        values = head.decode().rsplit(" ", len(names) - 1)
+        values = _text(head).rsplit(" ", len(names) - 1)
         if len(values) != len(names):
             raise ValueError(f"an ARC {version} header needs {len(names)} fields: {head[:100]!r}")
         fields = dict(zip(names, values))
@@ -105,26 +120,32 @@ def read_arc(f: BinaryIO) -> Iterator[tuple[int, dict[str, str], bytes]]:
 
 def pages_as_arc(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html",
                  date: str = "20200101000000") -> DataFrame:
-    """Pages as ARC blocks (one binary row each, a complete stream of some records), versions 1 and 2 in turn."""
+    """Pages as ARC blocks, versions 1 and 2 in turn: a complete stream of some records, and their page ids in order."""
+    def block(out: bytearray, ids: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"content": pa.array([bytes(out)], pa.binary()),
+                                           "page_ids": pa.array([ids], pa.list_(pa.int64()))})
+
     def run(batches):
-        k, out = 0, bytearray()
+        k, out, ids = 0, bytearray(), []
         for b in batches:
-            for page, address, text in zip(*(c.to_pylist() for c in b.columns)):
+            for page, address, payload in zip(*(c.to_pylist() for c in b.columns)):
                 version = 1 + k % 2
                 name = f"pages-{k}.arc"
                 if not out:
                     out += arc_version_block(version, name, date)
                 address = quote(address if address is not None else "about:blank", safe="%/:=&?~#+!$,;'@()*[]")
-                out += arc_record(version, f"{address}#page={'' if page is None else page}", date, "text/html",
-                                  (text or "").encode(), name, len(out))
+                out += arc_record(version, address, date, "text/html", payload or b"", name, len(out))
+                ids.append(page)
                 if len(out) >= BLOCK_BYTES:
-                    yield pa.RecordBatch.from_pydict({"content": pa.array([bytes(out)], pa.binary())})
+                    yield block(out, ids)
                     out.clear()
+                    ids = []
                     k += 1
         if out:
-            yield pa.RecordBatch.from_pydict({"content": pa.array([bytes(out)], pa.binary())})
+            yield block(out, ids)
 
-    return pages.select(F.col(id).cast("long"), F.col(url), F.col(html)).mapInArrow(run, "content binary")
+    return pages.select(F.col(id).cast("long"), F.col(url), F.col(html).cast("binary")).mapInArrow(
+        run, "content binary, page_ids array<long>")
 
 
 # ------------------------------------------------------------------ conversion
@@ -147,30 +168,34 @@ def opened(data: bytes) -> BinaryIO:
 def convert_arc(blocks: DataFrame, payloads: bool = True) -> DataFrame:
     """WARC records (not yet told apart as responses and revisits) of ARC streams in column ``content``.
 
-    ``blocks`` may be archive files read as ``binaryFile`` or the rows of ``pages_as_arc``.
+    ``blocks`` may be archive files read as ``binaryFile`` or the rows of ``pages_as_arc``,
+    whose column ``page_ids`` names the page of each record.
     """
     def run(batches):
         for b in batches:
-            for content in b.column(0):
-                rows, held = [], 0
-                for version, f, payload in read_arc(opened(content.as_py())):
-                    address, _, page = f["URL"].rpartition("#page=")
+            for content, ids in zip(b.column(0), b.column(1)):
+                rows, held, pages, k = [], 0, ids.as_py(), 0
+                for k, (version, f, payload) in enumerate(read_arc(opened(content.as_py())), 1):
+                    page = pages[k - 1] if pages is not None and k <= len(pages) else None
                     digest = hashlib.sha1(payload).hexdigest()
-                    rid = synthetic_id(f["URL"].encode(), f["Archive-date"].encode(), digest.encode())
-                    rows.append((int(page) if re.fullmatch(r"-?\d+", page) else None, address or f["URL"], iso_date(f["Archive-date"]),
-                                 f["Content-type"], rid, version, len(payload), digest, payload.decode() if payloads else None))
+                    rid = synthetic_id(f["URL"].encode(), f["Archive-date"].encode(), digest.encode(), str(page).encode())
+                    rows.append((page, f["URL"], iso_date(f["Archive-date"]), f["Content-type"], rid, version, len(payload), digest,
+                                 payload if payloads else None))
                     held += len(payload)
                     if held > BLOCK_BYTES:
                         yield _records(rows)
                         rows, held = [], 0
+                if pages is not None and len(pages) != k:
+                    raise ValueError(f"a block of {k} records comes with {len(pages)} page ids")
                 if rows:
                     yield _records(rows)
 
-    return blocks.select("content").mapInArrow(run, RECORD)
+    ids = F.col("page_ids") if "page_ids" in blocks.columns else F.lit(None).cast("array<long>").alias("page_ids")
+    return blocks.select("content", ids).mapInArrow(run, RECORD)
 
 
 def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.string()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string(), pa.binary()]
     names = [x.split()[0] for x in RECORD.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
@@ -212,8 +237,9 @@ def write_warc(records: DataFrame, path: str) -> None:
         header("X-Payload-Length", F.col("payload_bytes").cast("string")),
         header("X-ARC-Version", F.col("arc_version").cast("string")),
         header("Content-Type", F.col("content_type")), header("Content-Length", length), F.lit("\r\n"),
-        F.when(revisit, F.lit("")).otherwise(F.col("payload")))
-    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+        F.when(revisit, F.lit("")).otherwise(F.col("payload").cast("string")))
+    records.select(text.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option(
+        "maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def parse_warc(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -221,9 +247,9 @@ def parse_warc(f: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
     while first := _line(f):
         if not first.startswith(b"WARC/"):
             raise ValueError(f"no WARC record begins with {first[:60]!r}")
-        fields: dict[str, str] = {"version": first.decode()}
+        fields: dict[str, str] = {"version": _text(first)}
         while line := f.readline().rstrip(b"\r\n"):
-            name, _, value = line.decode().partition(":")
+            name, _, value = _text(line).partition(":")
             fields[name.strip().lower()] = value.strip()
         yield fields, _exactly(f, int(fields["content-length"]))
 
@@ -236,25 +262,33 @@ def read_warc(spark: SparkSession, path: str, id: str = "page_id", payloads: boo
     def number(text: str | None) -> int | None:
         return None if text is None else int(text)
 
+    names = [id, "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "payload"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+
     def run(batches):
         for b in batches:
             for content in b.column(0):
-                rows = []
+                rows, held = [], 0
                 for f, data in parse_warc(opened(content.as_py())):
                     digest = f["warc-payload-digest"].removeprefix("sha1:")
                     if f["warc-type"] == "response" and hashlib.sha1(data).hexdigest() != digest:
                         raise ValueError(f"payload of {f['warc-record-id']} does not have its digest")
                     rows.append((number(f.get("x-page-id")), number(f["x-payload-length"]), digest, f["warc-type"],
                                  number(f.get("x-refers-to-page-id")), f["warc-record-id"].strip("<>"), f["warc-date"],
-                                 data.decode() if payloads else None))
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                names = [id, "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "warc_date", "payload"]
+                                 data if payloads else None))
+                    held += len(data)
+                    if payloads and held > BLOCK_BYTES:
+                        yield batch(rows)
+                        rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    yield batch(rows)
 
     out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(
         run, f"`{id}` long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, "
-             "warc_date string, payload string")
+             "warc_date string, payload binary")
     return out if payloads else out.drop("payload")
 
 
