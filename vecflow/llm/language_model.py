@@ -16,8 +16,9 @@ the model is a proper distribution.
 Training is distributed: texts are dealt to rounds and shares by a hash of id and text (so
 copies spread), ``SHARES`` or more at every size, and lie in a share in the order of that
 hash: neither files nor their order change a score. In each round every share runs
-mini-batch updates (adaptive steps) from the current parameters over its texts, and the
-results are averaged by tokens. The rounds' texts together are all training texts.
+mini-batch updates (adaptive steps) from the current parameters over its texts; what it
+changed (the rows it touched, no others) is averaged by tokens, first among ``FAN_IN``
+shares, then among all. The rounds' texts together are all training texts.
 
 Word counts cover all training texts and stay distributed. Scoring needs a word's count
 only in one sum per text; frequent words (``HEAD`` at most, broadcast) are looked up in
@@ -59,6 +60,8 @@ RATE = 0.5
 BATCH = 4096
 #: shares of a round, at least, and training tokens of a share (its parameters are 6.7 MB at most) where there are more
 SHARES, SHARD_TOKENS = 8, 2_000_000
+#: parts that the parameter table travels in; shares whose changes are added up first
+PARTS, FAN_IN = 64, 16
 END = 0
 #: scores stay within these bounds, so that their exponentials are finite numbers
 EDGE = np.float32(60)
@@ -318,6 +321,13 @@ def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray
     w[used] -= g
 
 
+def _changes(k: int, n: int, rows: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Changes of some rows of part ``k`` of the parameter table, made from ``n`` tokens."""
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()),
+         pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["k", "n", "cells", "v"])
+
+
 def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = ROUNDS) -> np.ndarray:
     sc = docs.sparkSession.sparkContext
     # the classes' rows, then the steps'
@@ -325,16 +335,18 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
     w, squares = np.zeros((size, CLASSES), dtype=np.float32), np.zeros(size, dtype=np.float32)
     if not classes.tokens:
         return w
-    shares = max(SHARES, classes.tokens // SHARD_TOKENS)
+    shares, width = max(SHARES, classes.tokens // SHARD_TOKENS), -(-size // PARTS)
+    model = sc.broadcast(classes)
     chosen = docs.where(training(F.col(id))).select(
         F.xxhash64(F.col(id).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
     for r in range(rounds):
         # a round's texts, each shuffled in its own round only; equal keys are equal texts
         dealt = chosen.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(rounds)) == r).repartition(shares, "key").sortWithinPartitions("key", "text")
-        now = sc.broadcast((w, squares, classes))  # fixed size
+        now = sc.broadcast(np.concatenate([w, squares[:, None]], axis=1))  # fixed size
 
         def run(batches, now=now):
-            w, squares, classes = now.value[0].copy(), now.value[1].copy(), now.value[2]
+            classes = model.value
+            w, squares = now.value[:, :-1].copy(), now.value[:, -1].copy()
             seen = 0
             for b in batches:
                 texts = as_bytes(b.column(0))
@@ -349,32 +361,35 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
                         update(w[CELLS:], squares[CELLS:], cells[s], branch[s], classes.shares[node[s]], STEP_RATE, False)
                     seen += len(cls)
             if seen:
-                both = np.concatenate([w, squares[:, None]], axis=1).astype(np.float64) * seen
-                for k, part in enumerate(np.array_split(both, 64)):
-                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([seen], pa.int64()),
-                                                      "v": pa.array([(part / seen).astype(np.float32).tobytes()], pa.binary())})
+                both = np.concatenate([w, squares[:, None]], axis=1)
+                for k, lo in enumerate(range(0, size, width)):
+                    old, new = now.value[lo:lo + width], both[lo:lo + width]
+                    rows = np.flatnonzero((new != old).any(axis=1))
+                    yield _changes(k, seen, rows, new[rows] - old[rows])
 
-        def mean(batches):
+        def add(batches):
             acc: dict[int, list] = {}
             for b in batches:
-                for k, n, v in zip(*(c.to_pylist() for c in b.columns)):
-                    part = np.frombuffer(v, np.float32).astype(np.float64) * n
-                    if k in acc:
-                        acc[k][0] += n
-                        acc[k][1] += part
-                    else:
-                        acc[k] = [n, part]
-            for k, (n, part) in acc.items():
-                yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "n": pa.array([n], pa.int64()),
-                                                  "v": pa.array([(part / n).astype(np.float32).tobytes()], pa.binary())})
-
-        kind = "k int, n long, v binary"
-        parts = dealt.select("text").mapInArrow(run, kind).withColumn("p", F.expr("pmod(spark_partition_id(), 16)"))
-        parts = parts.repartition(64, "k", "p").select("k", "n", "v").mapInArrow(mean, kind).repartition(64, "k").mapInArrow(mean, kind)
-        got = {x.k: np.frombuffer(bytes(x.v), np.float32).reshape(-1, CLASSES + 1) for x in parts.collect()}  # the averaged table
-        if got:
-            both = np.concatenate([got[k] for k in sorted(got)])
-            w, squares = both[:, :-1].copy(), both[:, -1].copy()
+                for k, n, rows, v in zip(*(c.to_pylist() for c in b.columns)):
+                    total = acc.setdefault(k, [0, np.zeros((width, CLASSES + 1))])
+                    rows = np.frombuffer(rows, np.int32)
+                    total[0] += n
+                    total[1][rows] += np.frombuffer(v, np.float32).reshape(len(rows), CLASSES + 1).astype(np.float64) * n
+            for k, (n, total) in acc.items():
+                rows = np.flatnonzero(total.any(axis=1))
+                yield _changes(k, n, rows, total[rows] / n)
+
+        kind = "k int, n long, cells binary, v binary"
+        parts = dealt.select("text").mapInArrow(run, kind).withColumn("p", F.expr(f"spark_partition_id() div {FAN_IN}"))
+        tasks = PARTS * min(-(-shares // FAN_IN), PARTS)
+        parts = parts.repartition(tasks, "k", "p").select("k", "n", "cells", "v").mapInArrow(add, kind)
+        for x in parts.repartition(PARTS, "k").mapInArrow(add, kind).collect():  # one table of changes
+            rows = x.k * width + np.frombuffer(bytes(x.cells), np.int32)
+            change = np.frombuffer(bytes(x.v), np.float32).reshape(len(rows), CLASSES + 1)
+            w[rows] += change[:, :-1]
+            squares[rows] += change[:, -1]
+        now.destroy()
+    model.destroy()
     return w
 
 
