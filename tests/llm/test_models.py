@@ -108,6 +108,19 @@ def test_shares_inside_a_class_sum_to_one(spark):
     assert (known + unseen) / 10 ** classes.scale[group] == pytest.approx(1, abs=1e-4)
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """One file or seven, in either order, and any number of shuffle partitions."""
+    docs = spark.createDataFrame([(i, f"the a{i % 7} of b{i % 5} and c{i}" * (1 + i % 3)) for i in range(60)], "doc_id long, text string")
+    got, before = [], spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for df, parts in ((docs.coalesce(1), "8"), (docs.orderBy(F.desc("doc_id")).repartition(7), "3")):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            got.append({r.doc_id: r.score for r in lm.score_documents(df).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(math.isclose(got[0][i], got[1][i], rel_tol=1e-4) for i in range(60))
+
+
 def test_language_model_empty(spark):
     assert lm.score_documents(spark.createDataFrame([], DOCS)).count() == 0
     only = spark.createDataFrame([(2, "x y", "", 1, 1)], DOCS)  # crc32("2") mod 5 decides

@@ -15,7 +15,7 @@ the model is a proper distribution.
 
 Training is distributed: texts are dealt to rounds and shares by a hash of id and text (so
 copies spread), ``SHARES`` or more at every size, and lie in a share in the order of that
-hash: neither files nor their order change a score. In each round every share runs
+hash: neither files, their order nor the number of partitions change a score. In each round every share runs
 mini-batch updates (adaptive steps) from the current parameters over its texts; what it
 changed (the rows it touched, no others) is averaged by tokens, first among ``FAN_IN``
 shares, then among all. The rounds' texts together are all training texts.
@@ -321,11 +321,11 @@ def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray
     w[used] -= g
 
 
-def _changes(k: int, n: int, rows: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+def _changes(k: int, share: int, n: int, rows: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     """Changes of some rows of part ``k`` of the parameter table, made from ``n`` tokens."""
     return pa.RecordBatch.from_arrays(
-        [pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()),
-         pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["k", "n", "cells", "v"])
+        [pa.array([k], pa.int32()), pa.array([share], pa.int64()), pa.array([n], pa.int64()), pa.array([rows.astype(np.int32).tobytes()], pa.binary()),
+         pa.array([v.astype(np.float32).tobytes()], pa.binary())], names=["k", "share", "n", "cells", "v"])
 
 
 def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = ROUNDS) -> np.ndarray:
@@ -341,48 +341,59 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
         F.xxhash64(F.col(id).cast("string"), F.coalesce(F.col(text), F.lit(""))).alias("key"), F.col(text).alias("text"))
     for r in range(rounds):
         # a round's texts, each shuffled in its own round only; equal keys are equal texts
-        dealt = chosen.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(rounds)) == r).repartition(shares, "key").sortWithinPartitions("key", "text")
+        dealt = chosen.where(F.pmod(F.shiftrightunsigned("key", 40), F.lit(rounds)) == r).withColumn(
+            "share", F.pmod(F.shiftrightunsigned("key", 8), F.lit(shares))).repartition(2 * shares, "share").sortWithinPartitions("share", "key", "text")
         now = sc.broadcast(np.concatenate([w, squares[:, None]], axis=1))  # fixed size
 
         def run(batches, now=now):
-            classes = model.value
-            w, squares = now.value[:, :-1].copy(), now.value[:, -1].copy()
-            seen = 0
-            for b in batches:
-                texts = as_bytes(b.column(0))
-                for lo, hi in text_slices(texts):
-                    words, endings, at = words_of(texts[lo:hi])
-                    cls, rows, _ = positions(words, endings, at, classes)
-                    token, node, branch, cells = steps(words, at, cls, classes)
-                    for k in range(0, len(cls), BATCH):
-                        update(w[:CELLS], squares[:CELLS], rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
-                    for k in range(0, len(token), BATCH):
-                        s = slice(k, k + BATCH)
-                        update(w[CELLS:], squares[CELLS:], cells[s], branch[s], classes.shares[node[s]], STEP_RATE, False)
-                    seen += len(cls)
-            if seen:
+            classes, at_share, seen = model.value, None, 0
+            w = squares = None
+
+            def changed():
                 both = np.concatenate([w, squares[:, None]], axis=1)
                 for k, lo in enumerate(range(0, size, width)):
                     old, new = now.value[lo:lo + width], both[lo:lo + width]
                     rows = np.flatnonzero((new != old).any(axis=1))
-                    yield _changes(k, seen, rows, new[rows] - old[rows])
+                    yield _changes(k, at_share, seen, rows, new[rows] - old[rows])
+
+            for b in batches:
+                share, texts = b.column(0).to_numpy(), as_bytes(b.column(1))
+                edges = np.flatnonzero(np.append(True, share[1:] != share[:-1]))[:len(share)].tolist()
+                for first, last in zip(edges, edges[1:] + [len(share)]):
+                    if share[first] != at_share:
+                        if seen:
+                            yield from changed()
+                        at_share, seen = int(share[first]), 0
+                        w, squares = now.value[:, :-1].copy(), now.value[:, -1].copy()
+                    for lo, hi in text_slices(texts[first:last]):
+                        words, endings, at = words_of(texts[first + lo:first + hi])
+                        cls, rows, _ = positions(words, endings, at, classes)
+                        token, node, branch, cells = steps(words, at, cls, classes)
+                        for k in range(0, len(cls), BATCH):
+                            update(w[:CELLS], squares[:CELLS], rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
+                        for k in range(0, len(token), BATCH):
+                            s = slice(k, k + BATCH)
+                            update(w[CELLS:], squares[CELLS:], cells[s], branch[s], classes.shares[node[s]], STEP_RATE, False)
+                        seen += len(cls)
+            if seen:
+                yield from changed()
 
         def add(batches):
             acc: dict[int, list] = {}
             for b in batches:
-                for k, n, rows, v in zip(*(c.to_pylist() for c in b.columns)):
+                for k, _, n, rows, v in zip(*(c.to_pylist() for c in b.columns)):
                     total = acc.setdefault(k, [0, np.zeros((width, CLASSES + 1))])
                     rows = np.frombuffer(rows, np.int32)
                     total[0] += n
                     total[1][rows] += np.frombuffer(v, np.float32).reshape(len(rows), CLASSES + 1).astype(np.float64) * n
             for k, (n, total) in acc.items():
                 rows = np.flatnonzero(total.any(axis=1))
-                yield _changes(k, n, rows, total[rows] / n)
+                yield _changes(k, 0, n, rows, total[rows] / n)
 
-        kind = "k int, n long, cells binary, v binary"
-        parts = dealt.select("text").mapInArrow(run, kind).withColumn("p", F.expr(f"spark_partition_id() div {FAN_IN}"))
+        kind = "k int, share long, n long, cells binary, v binary"
+        parts = dealt.select("share", "text").mapInArrow(run, kind).withColumn("p", F.expr(f"share div {FAN_IN}"))
         tasks = PARTS * min(-(-shares // FAN_IN), PARTS)
-        parts = parts.repartition(tasks, "k", "p").select("k", "n", "cells", "v").mapInArrow(add, kind)
+        parts = parts.repartition(tasks, "k", "p").select("k", "share", "n", "cells", "v").mapInArrow(add, kind)
         for x in parts.repartition(PARTS, "k").mapInArrow(add, kind).collect():  # one table of changes
             rows = x.k * width + np.frombuffer(bytes(x.cells), np.int32)
             change = np.frombuffer(bytes(x.v), np.float32).reshape(len(rows), CLASSES + 1)
