@@ -57,6 +57,19 @@ def test_model_is_a_distribution():
     assert np.allclose(sum(np.exp(lm.log_shares(w, rows, np.full(50, c), prior)) for c in range(lm.CLASSES)), 1, atol=1e-5)
 
 
+@pytest.mark.parametrize("few", [0, 3, 1000])
+def test_sums_over_a_batch(few, monkeypatch):
+    monkeypatch.setattr(lm, "FEW", few)
+    rng = np.random.default_rng(4)
+    rows = np.minimum(rng.geometric(0.02, (500, 3)), 200).astype(np.int64)  # cells met once to some hundred times
+    d = rng.standard_normal((500, lm.CLASSES)).astype(np.float32)
+    want = np.zeros((201, lm.CLASSES))
+    np.add.at(want, rows, d[:, None])
+    used, g = lm._sums(rows, d)
+    assert sorted(used) == sorted(set(rows.ravel().tolist())) and np.allclose(g, want[used], atol=1e-4)
+    assert lm._sums(rows[:0], d[:0])[1].shape == (0, lm.CLASSES)
+
+
 def test_histories_do_not_cross_texts():
     words, endings, at = lm.words_of([b"a b c", b"", b"d E"])
     classes = lm.Classes(1, 1, 1, np.sort(words), np.ones(5, np.int64), np.full(1 << 16, 31), np.zeros(32), np.zeros(32, np.float32))

@@ -47,10 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def mix64(h: np.ndarray) -> np.ndarray:
     """splitmix64 finaliser, elementwise on uint64."""
     h = h ^ (h >> np.uint64(30))
-    h = h * _M1
-    h = h ^ (h >> np.uint64(27))
-    h = h * _M2
-    return h ^ (h >> np.uint64(31))
+    h *= _M1
+    h ^= h >> np.uint64(27)
+    h *= _M2
+    h ^= h >> np.uint64(31)
+    return h
 
 
 def _power_table(n: int) -> np.ndarray:

@@ -66,6 +66,10 @@ END = 0
 #: scores stay within these bounds, so that their exponentials are finite numbers
 EDGE = np.float32(60)
 _ONES = np.ones(CLASSES, dtype=np.float32)
+#: a row of the parameter table as one item
+_ROW = np.dtype((np.void, 4 * CLASSES))
+#: cells whose occurrences in a batch are added cell by cell
+FEW = 32
 
 
 def held_out(id) -> bool:
@@ -104,7 +108,7 @@ class Classes:
     depth: np.ndarray | None = None  # steps inside each class
     base: np.ndarray | None = None  # [class, step]: first node of the step, a row of ``shares``
     shares: np.ndarray | None = None  # log share of each branch of a node
-    cells: int = 0  # rows of the steps' parameter table
+    cells: int = 0  # rows of the steps' parameter table, a power of two
 
     def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
         out = self.ending[endings]
@@ -239,13 +243,13 @@ def steps(words: np.ndarray, at: np.ndarray, cls: np.ndarray, classes: Classes)
     depth = classes.depth[cls]
     token = np.repeat(np.arange(len(cls)), depth)
     k = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth)
-    seen = np.where(k > 0, h[token] >> (64 - 5 * np.maximum(k, 1)).astype(np.uint64), np.uint64(0)).astype(np.int64)
-    branch = (h[token] >> (59 - 5 * k).astype(np.uint64)).astype(np.int64) & (WAYS - 1)
-    node = classes.base[cls[token], k] + seen
+    digits = (h[token] >> (59 - 5 * k).astype(np.uint64)).astype(np.int64)  # those before the step, and its own
+    branch = digits & (WAYS - 1)
+    node = classes.base[cls[token], k] + (digits >> 5)
     place = mix64(node.astype(np.uint64) + np.uint64(1))
     cells = np.empty((len(token), len(histories)), dtype=np.int64)
     for f, x in enumerate(histories):
-        cells[:, f] = (mix64(place + np.uint64(2 * f + 1) * x[token]) % np.uint64(max(classes.cells, 1))).astype(np.int64)
+        cells[:, f] = mix64(place + (np.uint64(2 * f + 1) * x)[token]) & np.uint64(max(classes.cells, 1) - 1)
     return token, node, branch, cells
 
 
@@ -255,7 +259,7 @@ def step_shares(w: np.ndarray, tokens: int, part: tuple, classes: Classes) -> np
     parts = []
     for k in range(0, len(token), BATCH):
         s = slice(k, k + BATCH)
-        prior = classes.shares[node[s]]
+        prior = classes.shares.take(node[s], axis=0)
         more = log_shares(w, cells[s], branch[s], prior, False) - prior[np.arange(len(prior)), branch[s]]
         parts.append(more)
     return np.bincount(token, weights=np.concatenate(parts), minlength=tokens) if parts else np.zeros(tokens)
@@ -301,24 +305,45 @@ def log_shares(w: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarr
     return z[np.arange(len(cls)), cls] - np.log(e @ _ONES)
 
 
+def _sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cells that occur in ``rows``, sum of ``d`` over each cell's occurrences).
+
+    Most cells occur once or a few times: the first occurrences of all are added together,
+    then the second ones, until only FEW cells have more.
+    """
+    flat = rows.ravel()
+    order = np.argsort(flat.astype(np.uint16), kind="stable")  # CELLS fit: a radix sort
+    at = flat.take(order)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))[:len(at)]
+    count = np.diff(np.append(first, len(at)))
+    most = np.argsort((len(at) - count).astype(np.uint16 if len(at) < 1 << 16 else np.int64), kind="stable")
+    first, count = first[most], count[most]
+    order //= rows.shape[1]
+    g = d.take(order[first], axis=0)
+    m, j = np.count_nonzero(count > 1), 1
+    while m > FEW:
+        g[:m] += d.take(order[first[:m] + j], axis=0)
+        j += 1
+        m = np.count_nonzero(count[:m] > j)
+    for i in range(m):
+        g[i] += d.take(order[first[i] + j:first[i] + count[i]], axis=0).sum(axis=0)
+    return at[first], g
+
+
 def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, rate: float = RATE,
            constant: bool = True) -> None:
     """One mini-batch step on the rows of the batch, in place."""
     _, d = _exponentials(w, rows, prior, constant)
     d /= (d @ _ONES)[:, None]
-    d[np.arange(len(cls)), cls] -= 1
-    flat = rows.ravel()
-    order = np.argsort(flat.astype(np.uint16), kind="stable")  # CELLS fit: a radix sort
-    at = flat[order]
-    edge = np.flatnonzero(np.append(True, at[1:] != at[:-1]))[:len(at)]
-    used = at[edge]
-    g = np.add.reduceat(d.take(order // rows.shape[1], axis=0), edge, axis=0)
+    d.reshape(-1)[np.arange(0, d.size, CLASSES) + cls] -= 1
+    used, g = _sums(rows, d)
     if constant:
         used, g = np.append(used, len(w) - 1), np.concatenate([g, d.sum(axis=0, keepdims=True)])
-    step = squares[used] + np.einsum("ij,ij->i", g, g) / g.shape[1]
+    step = squares[used] + np.einsum("ij,ij->i", g, g) / CLASSES
     squares[used] = step
     g *= (rate / np.sqrt(step + 1.0))[:, None]
-    w[used] -= g
+    # whole rows are stored as one item each
+    w.view(_ROW)[used, 0] = (w.take(used, axis=0) - g).view(_ROW)[:, 0]
 
 
 def _changes(k: int, share: int, n: int, rows: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -373,7 +398,7 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
                             update(w[:CELLS], squares[:CELLS], rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
                         for k in range(0, len(token), BATCH):
                             s = slice(k, k + BATCH)
-                            update(w[CELLS:], squares[CELLS:], cells[s], branch[s], classes.shares[node[s]], STEP_RATE, False)
+                            update(w[CELLS:], squares[CELLS:], cells[s], branch[s], classes.shares.take(node[s], axis=0), STEP_RATE, False)
                         seen += len(cls)
             if seen:
                 yield from changed()
