@@ -144,6 +144,7 @@ class ForcedBoundaryBPE:
             body = [self._byte_of[c] for c in t.removesuffix(self.suffix)]
             self.inside.update(x << 8 | y for x, y in zip(body, body[1:]))
         self._chunks, self._words = Cache(), Cache()
+        self._plain: set[str] = set()  # characters known not to be odd
 
     # ------------------------------------------------------------ encoding
     def cuts(self, word: bytes) -> list[int]:
@@ -239,6 +240,13 @@ class ForcedBoundaryBPE:
         odd.update(parts[-1] for c in composed if not c.isspace() and differs(parts := unicodedata.normalize("NFD", c)))
         return re.compile("[" + "".join(unassigned() + sorted(map(re.escape, odd))) + "]")
 
+    def _odd_in(self, text: str) -> re.Pattern[str] | None:
+        """The odd characters of a text, if any. Each distinct character is tested once: the whole class is slow to search."""
+        new = set(text) - self._plain
+        odd = set(self._odd.findall("".join(new)))
+        self._plain |= new - odd
+        return re.compile("[" + "".join(map(re.escape, sorted(odd))) + "]") if odd else None
+
     def _by_file(self, chunk: str) -> bytes:
         normal, words = self._file
         out = []
@@ -254,8 +262,8 @@ class ForcedBoundaryBPE:
             if k % 2:
                 yield array("I", [self.special[piece]]).tobytes()
                 continue
-            lo = 0
-            while not piece.isascii() and (odd := self._odd.search(piece, lo)):
+            lo, strange = 0, None if piece.isascii() else self._odd_in(piece)
+            while strange and (odd := strange.search(piece, lo)):
                 # the white-space separated chunk around that character
                 start, stop = odd.start(), _SPACE.search(piece, odd.end())
                 while start > lo and not _SPACE.match(piece, start - 1):
