@@ -64,3 +64,11 @@ def test_records_of_an_xml_file(spark, tmp_dir):
     d = os.path.join(tmp_dir, "records")
     write_reports(_runs(spark, 20), d, "xml")
     assert sorted(r.job_id for r in read_reports(spark, d, "xml").collect()) == [f"j{i:03d} é" for i in range(20)]
+
+
+def test_record_files_are_bounded(spark, tmp_dir):
+    from vecflow.sinks.reports import FILE_RECORDS
+
+    write_reports(_runs(spark, 2 * FILE_RECORDS + 1).coalesce(1), tmp_dir, "xml")
+    assert len([n for n in os.listdir(tmp_dir) if n.startswith("part-")]) == 3
+    assert read_reports(spark, tmp_dir, "xml", "records").select("job_id").distinct().count() == 2 * FILE_RECORDS + 1

@@ -19,6 +19,8 @@ from vecflow.functions.report_columns import NS_PER_S
 from vecflow.functions.report_layout import V1_CONFIG, V1_TIMES, V1_XML_CONFIG, V2_ARGS, V2_TIMES, V2_XML_ARGS
 from vecflow.sinks.report_files import OPTIONAL_DEFAULTS
 
+#: records of a file, at most: XML files are read whole, each by one task (about 1 KB a record)
+FILE_RECORDS = 1 << 14
 FLAGS = ("generate", "lazy", "functional", "hybrid", "imperative")
 
 
@@ -114,8 +116,8 @@ def report_records(df: DataFrame, fmt: str = "json", version: int | str = 2) ->
 
 def write_reports(df: DataFrame, path: str, fmt: str = "json", version: int | str = 2,
                   mode: str = "overwrite") -> str:
-    """Write every run's report as a record (with its ``job_id``) into part files."""
-    writer = report_records(df, fmt, version).write.mode(mode).format(fmt)
+    """Write every run's report as a record (with its ``job_id``) into part files of FILE_RECORDS at most."""
+    writer = report_records(df, fmt, version).write.mode(mode).format(fmt).option("maxRecordsPerFile", FILE_RECORDS)
     if fmt == "xml":
         writer = writer.option("rowTag", "results").option("rootTag", "reports")
     writer.save(path)
