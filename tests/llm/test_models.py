@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from helpers import DOCS, odd_rows
+from vecflow.llm import common, quality, toxicity
 from vecflow.llm import language_model as lm
-from vecflow.llm import quality, toxicity
 
 SF = "/root/testdata/sf0.01"
 LARGER = "/root/testdata/sf0.1"  # sf0.01 has six held-out toxic documents
@@ -70,6 +70,51 @@ def test_sums_over_a_batch(few, monkeypatch):
     assert lm._sums(rows[:0], d[:0])[1].shape == (0, lm.CLASSES)
 
 
+def test_products_are_the_sums_scores():
+    """Exponentials multiplied per history give what exponentials of sums do; where a sum might be bounded, there are none."""
+    rng = np.random.default_rng(6)
+    w = rng.standard_normal((lm.CELLS, lm.CLASSES)).astype(np.float32)
+    prior = np.log(rng.dirichlet(np.ones(lm.CLASSES))).astype(np.float32)
+    rows, cls = rng.integers(0, lm.CELLS - 1, (lm.BATCH + 7, 4)), rng.integers(0, lm.CLASSES, lm.BATCH + 7)
+    factors = lm.factors_of(w[:-1], 4, prior + w[-1])
+    assert np.allclose(lm.class_shares(w, rows, cls, prior, factors), lm.class_shares(w, rows, cls, prior), atol=1e-4)
+    nodes = np.log(rng.dirichlet(np.ones(lm.WAYS), 70)).astype(np.float32)
+    classes = lm.Classes(1, 1, 1, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1 << 16, np.int64), np.zeros(32), prior, shares=nodes)
+    part = np.sort(rng.integers(0, 900, len(rows))), rng.integers(0, 70, len(rows)), cls, rows[:, :2]
+    assert np.allclose(lm.step_shares(w, 900, part, classes, lm.factors_of(w, 2, nodes)), lm.step_shares(w, 900, part, classes), atol=1e-3)
+    assert lm.factors_of(w * 20, 4, prior) is None
+
+
+def test_batches_share_their_arrays():
+    """A batch's sums lie where the batch before had its own: fresh arrays cost more than the sums."""
+    rows, d = np.arange(64).reshape(32, 2), np.ones((32, lm.CLASSES), np.float32)
+    assert np.shares_memory(lm._sums(rows, d)[1], lm._sums(rows, d)[1])
+
+
+def test_frequent_words_are_found_by_their_first_bits():
+    rng = np.random.default_rng(7)
+    crowd = (np.uint64(5) << np.uint64(44)) + np.arange(40, dtype=np.uint64) * np.uint64(3)  # one bucket
+    hashes = np.sort(np.concatenate([crowd, rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), np.array([0, (1 << 64) - 2], np.uint64)]))
+    words = np.concatenate([hashes, hashes + np.uint64(1), rng.integers(0, 1 << 63, 500).astype(np.uint64)])
+    for held in (hashes, hashes[:1], hashes[:0]):
+        at = lm.places_of(held, lm.buckets(held), words)
+        got = held[at] == words if len(held) else np.zeros(len(words), bool)
+        assert (got == np.isin(words, held)).all()
+
+
+def test_words_hashes_are_sums_of_powers():
+    texts = [b"The the " + b"Q" * 70_000 + b" x" * 40_000, b"", " \u00e9\u00df \u6f22".encode()]
+    h, _, at = lm.words_of(texts)
+    words = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t.lower())]
+    raw = []
+    for w in words:
+        total, power = 0, 1
+        for b in w:
+            total, power = total + (b + 1) * power, power * common._BASE % (1 << 64)
+        raw.append((total + len(w) * int(common._GOLDEN)) % (1 << 64))
+    assert at.tolist() == [0, 40_003, 40_003, 40_005] and (h == common.mix64(np.array(raw, np.uint64))).all()
+
+
 def test_histories_do_not_cross_texts():
     words, endings, at = lm.words_of([b"a b c", b"", b"d E"])
     classes = lm.Classes(1, 1, 1, np.sort(words), np.ones(5, np.int64), np.full(1 << 16, 31), np.zeros(32), np.zeros(32, np.float32))

@@ -70,6 +70,20 @@ _ONES = np.ones(CLASSES, dtype=np.float32)
 _ROW = np.dtype((np.void, 4 * CLASSES))
 #: cells whose occurrences in a batch are added cell by cell
 FEW = 32
+#: a worker's arrays for the rows of a batch: a fresh one for each batch costs more than what is put into it
+_ROOM: dict[str, np.ndarray] = {}
+
+
+def _room(name: str, rows: int) -> np.ndarray:
+    """A (rows, CLASSES) array that is kept, with any contents, until the next call with its name."""
+    if name not in _ROOM or len(_ROOM[name]) < rows:
+        _ROOM[name] = np.empty((rows, CLASSES), dtype=np.float32)
+    return _ROOM[name][:rows]
+
+
+def _rows(table: np.ndarray, at: np.ndarray, name: str) -> np.ndarray:
+    """Rows of a table in the array ``name``."""
+    return table.take(at, axis=0, out=_room(name, len(at)), mode="clip")  # without "clip" there is a second copy
 
 
 def held_out(id) -> bool:
@@ -108,6 +122,7 @@ class Classes:
     depth: np.ndarray | None = None  # steps inside each class
     base: np.ndarray | None = None  # [class, step]: first node of the step, a row of ``shares``
     shares: np.ndarray | None = None  # log share of each branch of a node
+    places: np.ndarray | None = None  # hash of each node
     cells: int = 0  # rows of the steps' parameter table, a power of two
 
     def of(self, words: np.ndarray, endings: np.ndarray) -> np.ndarray:
@@ -230,6 +245,7 @@ def branch_shares(vocabulary: DataFrame, classes: Classes, kinds: np.ndarray) ->
     low, high = STEP_CELLS
     classes.depth, classes.base = depth, base
     classes.shares = np.concatenate(shares) if shares else np.zeros((0, WAYS), np.float32)
+    classes.places = mix64(np.arange(1, len(classes.shares) + 1, dtype=np.uint64))
     classes.cells = min(max(low, 1 << max(0, classes.types // 4).bit_length()), high)
 
 
@@ -241,30 +257,69 @@ def steps(words: np.ndarray, at: np.ndarray, cls: np.ndarray, classes: Classes)
     c2 = np.where(c1 == END, END, np.append([END, END], cls[:-2])[:len(cls)])
     histories = before, mix64((c1 * CLASSES + c2 + 1).astype(np.uint64))
     depth = classes.depth[cls]
-    token = np.repeat(np.arange(len(cls)), depth)
-    k = np.arange(len(token)) - np.repeat(np.cumsum(depth) - depth, depth)
-    digits = (h[token] >> (59 - 5 * k).astype(np.uint64)).astype(np.int64)  # those before the step, and its own
-    branch = digits & (WAYS - 1)
-    node = classes.base[cls[token], k] + (digits >> 5)
-    place = mix64(node.astype(np.uint64) + np.uint64(1))
-    cells = np.empty((len(token), len(histories)), dtype=np.int64)
-    for f, x in enumerate(histories):
-        cells[:, f] = mix64(place + (np.uint64(2 * f + 1) * x)[token]) & np.uint64(max(classes.cells, 1) - 1)
+    first = np.append(0, np.cumsum(depth))
+    token, node, branch = (np.empty(first[-1], dtype=np.int64) for _ in range(3))
+    cells = np.empty((first[-1], len(histories)), dtype=np.int64)
+    for lo in range(0, len(cls), BATCH):  # arrays that fit a core's cache
+        s = slice(first[lo], first[min(lo + BATCH, len(cls))])
+        own = np.repeat(np.arange(lo, min(lo + BATCH, len(cls))), depth[lo:lo + BATCH])
+        k = np.arange(s.start, s.stop) - first[own]
+        digits = (h[own] >> (59 - 5 * k).astype(np.uint64)).astype(np.int64)  # those before the step, and its own
+        token[s], branch[s] = own, digits & (WAYS - 1)
+        at_node = node[s] = classes.base[cls[own], k] + (digits >> 5)
+        place = classes.places.take(at_node)
+        for f, x in enumerate(histories):
+            cells[s, f] = mix64(place + (np.uint64(2 * f + 1) * x[lo:lo + BATCH])[own - lo]) & np.uint64(max(classes.cells, 1) - 1)
     return token, node, branch, cells
 
 
-def step_shares(w: np.ndarray, tokens: int, part: tuple, classes: Classes) -> np.ndarray:
-    """What the history adds to the logarithm of each token's unigram share inside its class."""
+def step_shares(w: np.ndarray, tokens: int, part: tuple, classes: Classes, factors: tuple | None = None) -> np.ndarray:
+    """What the history adds to the logarithm of each token's unigram share inside its class; ``factors``: of w and the shares."""
     token, node, branch, cells = part
     parts = []
     for k in range(0, len(token), BATCH):
         s = slice(k, k + BATCH)
-        prior = classes.shares.take(node[s], axis=0)
-        more = log_shares(w, cells[s], branch[s], prior, False) - prior[np.arange(len(prior)), branch[s]]
+        if factors:
+            own, z = _products(factors[0], cells[s], branch[s])
+            more = np.log(own) - np.log(np.einsum("ij,ij->i", z, _rows(factors[1], node[s], "more")))
+        else:
+            prior = classes.shares.take(node[s], axis=0)
+            more = log_shares(w, cells[s], branch[s], prior, False) - prior[np.arange(len(prior)), branch[s]]
         parts.append(more)
     return np.bincount(token, weights=np.concatenate(parts), minlength=tokens) if parts else np.zeros(tokens)
 
 
+def class_shares(w: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, factors: tuple | None = None) -> np.ndarray:
+    """Natural logarithm of each class's share after its history; ``factors``: of w, and of the prior with the constant."""
+    out = np.empty(len(cls))
+    for k in range(0, len(cls), BATCH):
+        s = slice(k, k + BATCH)
+        if factors:
+            own, z = _products(factors[0], rows[s], cls[s])
+            out[s] = np.log(own * factors[1][cls[s]]) - np.log(z @ factors[1])
+        else:
+            out[s] = log_shares(w, rows[s], cls[s], prior)
+    return out
+
+
+def factors_of(w: np.ndarray, features: int, last: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Exponentials of parameters and of what is added last, whose products are those of the scores' sums.
+
+    None where a score might leave EDGE, where sums are bounded and products are not.
+    """
+    if features * np.abs(w).max(initial=0) + np.abs(last).max(initial=0) > EDGE:
+        return None
+    return np.exp(w), np.exp(last)
+
+
+def _products(e: np.ndarray, rows: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each row's own product, products of all classes) of the factors of each history."""
+    z = _rows(e, rows[:, 0], "scores")
+    for k in range(1, rows.shape[1]):
+        z *= _rows(e, rows[:, k], "more")
+    return z[np.arange(len(cls)), cls], z
+
+
 def positions(words: np.ndarray, endings: np.ndarray, at: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(class of each token, feature rows of its history without the constant, index of each text's first token); every text ends with END."""
     cls = np.insert(classes.of(words, endings), at[1:], END)
@@ -289,61 +344,76 @@ def positions(words: np.ndarray, endings: np.ndarray, at: np.ndarray, classes: C
     return cls, rows, first
 
 
-def _exponentials(w: np.ndarray, rows: np.ndarray, prior: np.ndarray, constant: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(scores within EDGE, exponentials of these) of each history's classes."""
-    z = w.take(rows[:, 0], axis=0)
+def _scores(w: np.ndarray, rows: np.ndarray, prior: np.ndarray, constant: bool = True) -> np.ndarray:
+    """Scores, within EDGE, of each history's classes, in the array "scores"."""
+    z = _rows(w, rows[:, 0], "scores")
     for k in range(1, rows.shape[1]):
-        z += w.take(rows[:, k], axis=0)
+        z += _rows(w, rows[:, k], "more")
     z += w[-1] + prior if constant else prior  # the constant row is the last
-    np.clip(z, -EDGE, EDGE, out=z)
-    return z, np.exp(z)
+    return np.clip(z, -EDGE, EDGE, out=z)
 
 
 def log_shares(w: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, constant: bool = True) -> np.ndarray:
     """Natural logarithm of the share that each history gives its class."""
-    z, e = _exponentials(w, rows, prior, constant)
-    return z[np.arange(len(cls)), cls] - np.log(e @ _ONES)
+    z = _scores(w, rows, prior, constant)
+    own = z[np.arange(len(cls)), cls]
+    return own - np.log(np.exp(z, out=z) @ _ONES)
 
 
 def _sums(rows: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cells that occur in ``rows``, sum of ``d`` over each cell's occurrences).
+    """(cells that occur in ``rows``, rising; sum of ``d`` over each cell's occurrences, in the array "sums").
 
-    Most cells occur once or a few times: the first occurrences of all are added together,
-    then the second ones, until only FEW cells have more.
+    Most cells occur once. Of the others, the second occurrences of all are added together,
+    then the third ones, until only FEW cells have more.
     """
     flat = rows.ravel()
     order = np.argsort(flat.astype(np.uint16), kind="stable")  # CELLS fit: a radix sort
     at = flat.take(order)
-    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))[:len(at)]
-    count = np.diff(np.append(first, len(at)))
-    most = np.argsort((len(at) - count).astype(np.uint16 if len(at) < 1 << 16 else np.int64), kind="stable")
-    first, count = first[most], count[most]
     order //= rows.shape[1]
-    g = d.take(order[first], axis=0)
-    m, j = np.count_nonzero(count > 1), 1
+    edge = np.empty(len(at) + 1, dtype=bool)
+    edge[:1] = edge[-1:] = True
+    np.not_equal(at[1:], at[:-1], out=edge[1:-1])
+    first = np.flatnonzero(edge)
+    count, first = np.diff(first), first[:-1]
+    g = _rows(d, order.take(first), "sums")
+    often = np.flatnonzero(count > 1)
+    count = count.take(often)
+    most = np.argsort(len(at) - count if len(at) >> 16 else (len(at) - count).astype(np.uint16), kind="stable")
+    often, count = often.take(most), count.take(most)
+    left, more = count - 1, _rows(g, often, "often")
+    place = first.take(often) + 1
+    m = len(often)
     while m > FEW:
-        g[:m] += d.take(order[first[:m] + j], axis=0)
-        j += 1
-        m = np.count_nonzero(count[:m] > j)
-    for i in range(m):
-        g[i] += d.take(order[first[i] + j:first[i] + count[i]], axis=0).sum(axis=0)
-    return at[first], g
+        more[:m] += _rows(d, order.take(place[:m]), "more")
+        place[:m] += 1
+        left[:m] -= 1
+        m = np.count_nonzero(left[:m])
+    for i, (a, n) in enumerate(zip(place[:m].tolist(), left[:m].tolist())):
+        more[i] += np.ones(n, np.float32) @ _rows(d, order[a:a + n], "more")
+    g.view(_ROW)[often, 0] = more.view(_ROW)[:, 0]
+    return at.take(first), g
 
 
 def update(w: np.ndarray, squares: np.ndarray, rows: np.ndarray, cls: np.ndarray, prior: np.ndarray, rate: float = RATE,
            constant: bool = True) -> None:
     """One mini-batch step on the rows of the batch, in place."""
-    _, d = _exponentials(w, rows, prior, constant)
-    d /= (d @ _ONES)[:, None]
+    d = _scores(w, rows, prior, constant)
+    np.exp(d, out=d)
+    d *= np.reciprocal(d @ _ONES)[:, None]
     d.reshape(-1)[np.arange(0, d.size, CLASSES) + cls] -= 1
     used, g = _sums(rows, d)
+    _learn(w, squares, used, g, rate)
     if constant:
-        used, g = np.append(used, len(w) - 1), np.concatenate([g, d.sum(axis=0, keepdims=True)])
+        _learn(w, squares, np.array([len(w) - 1]), d.sum(axis=0, keepdims=True), rate)
+
+
+def _learn(w: np.ndarray, squares: np.ndarray, used: np.ndarray, g: np.ndarray, rate: float) -> None:
+    """Moves the rows ``used`` against their gradients ``g``, which are overwritten."""
     step = squares[used] + np.einsum("ij,ij->i", g, g) / CLASSES
     squares[used] = step
     g *= (rate / np.sqrt(step + 1.0))[:, None]
-    # whole rows are stored as one item each
-    w.view(_ROW)[used, 0] = (w.take(used, axis=0) - g).view(_ROW)[:, 0]
+    new = np.subtract(_rows(w, used, "more"), g, out=g)
+    w.view(_ROW)[used, 0] = new.view(_ROW)[:, 0]  # whole rows are stored as one item each
 
 
 def _changes(k: int, share: int, n: int, rows: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -398,7 +468,7 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
                             update(w[:CELLS], squares[:CELLS], rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
                         for k in range(0, len(token), BATCH):
                             s = slice(k, k + BATCH)
-                            update(w[CELLS:], squares[CELLS:], cells[s], branch[s], classes.shares.take(node[s], axis=0), STEP_RATE, False)
+                            update(w[CELLS:], squares[CELLS:], cells[s], branch[s], _rows(classes.shares, node[s], "prior"), STEP_RATE, False)
                         seen += len(cls)
             if seen:
                 yield from changed()
@@ -429,6 +499,23 @@ def train(docs: DataFrame, classes: Classes, text: str, id: str, rounds: int = R
     return w
 
 
+def buckets(hashes: np.ndarray) -> np.ndarray:
+    """Where the (rising) hashes of each first 20 bits start."""
+    return np.searchsorted(hashes, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+
+
+def places_of(hashes: np.ndarray, starts: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A place in ``hashes`` (rising, with their ``buckets``) for each word: its own where it is there."""
+    last = max(len(hashes) - 1, 0)
+    at = np.minimum(starts.take((words >> np.uint64(44)).astype(np.int64)), last)
+    on = np.flatnonzero(hashes.take(at) < words) if len(hashes) else np.zeros(0, np.int64)
+    while len(on):  # buckets of hashes hold few
+        at[on] += 1
+        on = on[at[on] <= last]
+        on = on[hashes[at[on]] < words[on]]
+    return np.minimum(at, last)
+
+
 def score_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text; scores are log10."""
     spark = docs.sparkSession
@@ -446,10 +533,12 @@ def score_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
             break
         least = r.n
     head = sorted((np.int64(r.h).view(np.uint64), r.n) for r in vocabulary.where(F.col("n") >= least).select("h", "n").collect())
-    model = sc.broadcast((w, classes, np.array([h for h, _ in head], dtype=np.uint64), np.log10(np.array([n for _, n in head], dtype=np.float64) + 0.5)))
+    hashes = np.array([h for h, _ in head], dtype=np.uint64)
+    model = sc.broadcast((w, classes, hashes, buckets(hashes), np.log10(np.array([n for _, n in head], dtype=np.float64) + 0.5)))
 
     def run(batches):
-        w, classes, head, value = model.value
+        w, classes, head, starts, value = model.value
+        by_class, by_step = factors_of(w[:CELLS - 1], 4, classes.prior + w[CELLS - 1]), factors_of(w[CELLS:], 2, classes.shares)
         ln10 = np.log(10.0)
         end_value = np.log10(classes.ends + 0.5)
         single_value = np.log10(np.append(classes.single_counts, 0) + 0.5)
@@ -459,22 +548,22 @@ def score_documents(docs: DataFrame, text: str = "text", id: str = "doc_id") ->
             for lo, hi in text_slices(texts):
                 words, endings, at = words_of(texts[lo:hi])
                 cls, rows, first = positions(words, endings, at, classes)
-                logp = np.empty(len(cls))
-                for k in range(0, len(cls), BATCH):
-                    logp[k:k + BATCH] = log_shares(w[:CELLS], rows[k:k + BATCH], cls[k:k + BATCH], classes.prior)
-                logp += step_shares(w[CELLS:], len(cls), steps(words, at, cls, classes), classes)
+                logp = class_shares(w[:CELLS], rows, cls, classes.prior, by_class)
+                logp += step_shares(w[CELLS:], len(cls), steps(words, at, cls, classes), classes, by_step)
                 run_p = np.append(0, np.cumsum(logp / ln10 - classes.scale[cls]))
-                wc = classes.of(words, endings)
+                wc = np.delete(cls, first[1:] - 1)  # without the ends
                 alone = (wc >= 1) & (wc <= len(classes.singles))
-                k = np.minimum(np.searchsorted(head, words), max(len(head) - 1, 0))
+                k = places_of(head, starts, words)
                 known = head[k] == words if len(head) else np.zeros(len(words), dtype=bool)
                 vals = np.where(known, value[k], 0.0) if len(head) else np.zeros(len(words))
                 run_one = np.append(0, np.cumsum(np.where(alone, single_value[np.minimum(wc - 1, len(single_value) - 1)], 0.0)))
                 run_head = np.append(0, np.cumsum(np.where(alone, 0.0, vals)))
                 run_known = np.append(0, np.cumsum(known | alone))
+                unseen = np.flatnonzero(~(known | alone))
+                rare, part = words[unseen], np.searchsorted(unseen, at)
                 for d in range(hi - lo):
                     a, z = at[d], at[d + 1]
-                    tail, n = np.unique(words[a:z][~(known | alone)[a:z]], return_counts=True)
+                    tail, n = np.unique(rare[part[d]:part[d + 1]], return_counts=True)
                     row = (z - a + 1, run_known[z] - run_known[a] + (classes.ends > 0), run_p[first[d + 1]] - run_p[first[d]],
                            run_one[z] - run_one[a] + end_value, run_head[z] - run_head[a], tail.view(np.int64), n)
                     for o, x in zip(out, row):
